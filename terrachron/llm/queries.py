@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from terrachron.llm.common import table
+from terrachron.llm.decontamination import contamination
 from terrachron.llm.packing import pack_documents
 
 
@@ -12,7 +13,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op8_packing": op8_packing,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
