@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from terrachron.llm.common import table
 from terrachron.llm.decontamination import contamination
 from terrachron.llm.packing import pack_documents
+from terrachron.llm.sharding import assign_shards
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +18,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
 }
