@@ -8,6 +8,7 @@ from terrachron.llm.common import table
 from terrachron.llm.decontamination import contamination
 from terrachron.llm.packing import pack_documents
 from terrachron.llm.sharding import assign_shards
+from terrachron.llm.urls import judge_urls
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op5_urls": op5_urls,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
