@@ -25,8 +25,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: What a text may hold to be encoded by word: settled Latin characters (their classes are the same in every Unicode
 #: version) and no white space beside a space.
 BY_WORD = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f]|[ \\t\\n\\r] | [\\t\\n\\r]|^ | $")
-#: So many words are remembered by a Python worker; beyond, its memory starts anew.
-REMEMBERED = 400_000
+#: So many words (about 300 MB) are remembered by a Python worker; beyond, its memory starts anew.
+REMEMBERED = 1_500_000
 
 
 class ByteBpe:
