@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrachron.llm.common import table
 from terrachron.llm.decontamination import contamination
+from terrachron.llm.near_dup import near_duplicates
 from terrachron.llm.packing import pack_documents
 from terrachron.llm.sharding import assign_shards
 from terrachron.llm.urls import judge_urls
@@ -27,7 +28,12 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 QUERIES = {
+    "op2_minhash": op2_minhash,
     "op5_urls": op5_urls,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
