@@ -9,6 +9,7 @@ from terrachron.llm.decontamination import contamination
 from terrachron.llm.near_dup import near_duplicates
 from terrachron.llm.packing import pack_documents
 from terrachron.llm.sharding import assign_shards
+from terrachron.llm.substrings import repeat_report
 from terrachron.llm.urls import judge_urls
 
 
@@ -32,11 +33,16 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_minhash": op2_minhash,
     "op5_urls": op5_urls,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
+    "op10_substrings": op10_substrings,
     "op9_decontamination": op9_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
