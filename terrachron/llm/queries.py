@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrachron.llm.common import table
 from terrachron.llm.decontamination import contamination
+from terrachron.llm.embeddings import embedding_duplicates
 from terrachron.llm.near_dup import near_duplicates
 from terrachron.llm.packing import pack_documents
 from terrachron.llm.sharding import assign_shards
@@ -37,8 +38,13 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_minhash": op2_minhash,
+    "op4_embeddings": op4_embeddings,
     "op5_urls": op5_urls,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
