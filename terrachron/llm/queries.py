@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from terrachron.llm.common import table
 from terrachron.llm.decontamination import contamination
 from terrachron.llm.embeddings import embedding_duplicates
+from terrachron.llm.hmm import language_scores
 from terrachron.llm.near_dup import near_duplicates
 from terrachron.llm.packing import pack_documents
 from terrachron.llm.sharding import assign_shards
@@ -42,10 +43,15 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_minhash": op2_minhash,
     "op4_embeddings": op4_embeddings,
     "op5_urls": op5_urls,
+    "op6_hmm": op6_hmm,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op10_substrings": op10_substrings,
