@@ -20,8 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from terrachron.llm.buckets import linked_components
 from terrachron.llm.common import materialise, mix, texts_in, words_of
-from terrachron.llm.components import connected_components
 
 CHUNKS, WIDTH = 8, 5
 POSITIONS = CHUNKS * WIDTH
@@ -88,7 +88,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], names=["key", "id"])
 
 
-def _compare(k: int, share: tuple[int, int]):
+def _compare(share: tuple[int, int]):
     """Rows (a, b, a's set, b's set) to the pairs (a, b) with share[1] * intersection >= share[0] * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,15 +125,16 @@ def _apart(x: str, y: str, most: int):
     return total <= most
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, k: int, share: tuple[int, int], most: int) -> DataFrame:
-    """The pairs (a, b) whose signatures are near and whose full sets are similar enough."""
-    x, y = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
-    pairs = materialise(pairs.join(x, "a").join(y, "b").where(_apart("sa", "sb", most)).select("a", "b").distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialise(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "id long, set binary"))
-    x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), sets.select(F.col("id").alias("b"), F.col("set").alias("xb"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb")
-    return materialise(both.mapInArrow(_compare(k, share), "a long, b long").distinct())
+def _confirm(docs: DataFrame, k: int, share: tuple[int, int]):
+    """Pairs (a, b) to those whose full sets are similar enough. Only the texts of paired documents are looked at."""
+
+    def run(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        sets = materialise(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "id long, set binary"))
+        x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), sets.select(F.col("id").alias("b"), F.col("set").alias("xb"))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_compare(share), "a long, b long").distinct()
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), signature_distance: int = 24) -> DataFrame:
@@ -153,25 +154,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 1
     # One row for each set; two sets of one doc_id stay two rows.
     reps = materialise(full.join(sets, ["s1", "s2", "n"]).where("doc_id = rep").dropDuplicates(["s1", "s2", "n"]).select("doc_id", "n", "sig"))
     keys = reps.select("doc_id", "sig").mapInArrow(_keys, "key long, id long")
-    shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    shared = materialise(shared)
-    members = materialise(keys.join(shared.where("c > 2").select("key", "lo", "hi"), "key"))
-    stars = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    stars = stars.union(members.where("id <> hi and id <> lo").select(F.col("id").alias("a"), F.col("hi").alias("b")))
-    pairs = stars.union(shared.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).distinct()
-    links = _links(pairs, reps, docs, k, share, signature_distance).union(copies)
-    found = connected_components(links)
-    # Members of a key that are still apart meet each other.
-    now = members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    apart = materialise(now.join(mixed, "key").join(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "id").distinct())
-    if apart.take(1):
-        x, y = (apart.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "c", "n", "sig"))) for side in "ab")
-        similar = (share[1] * F.least("n_a", "n_b") >= share[0] * F.greatest("n_a", "n_b")) & _apart("sig_a", "sig_b", signature_distance)
-        more = x.join(y, (x["key"] == y["key"]) & (F.col("c_a") < F.col("c_b")) & similar).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-        more = _links(more, reps, docs, k, share, signature_distance)
-        if more.take(1):
-            found = connected_components(links.union(more))
+
+    def near(a: str, b: str):
+        sizes = [F.col(f"n{a}"), F.col(f"n{b}")]
+        return (share[1] * F.least(*sizes) >= share[0] * F.greatest(*sizes)) & _apart(f"sig{a}", f"sig{b}", signature_distance)
+
+    facts = reps.select(F.col("doc_id").alias("id"), "n", "sig")
+    found = linked_components(keys, facts, near, _confirm(docs, k, share), copies)
     out = described.join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

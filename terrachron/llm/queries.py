@@ -8,6 +8,7 @@ from terrachron.llm.common import table
 from terrachron.llm.decontamination import contamination
 from terrachron.llm.embeddings import embedding_duplicates
 from terrachron.llm.hmm import language_scores
+from terrachron.llm.lines import line_report
 from terrachron.llm.near_dup import near_duplicates
 from terrachron.llm.packing import pack_documents
 from terrachron.llm.sharding import assign_shards
@@ -47,8 +48,13 @@ def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_minhash": op2_minhash,
+    "op3_lines": op3_lines,
     "op4_embeddings": op4_embeddings,
     "op5_urls": op5_urls,
     "op6_hmm": op6_hmm,
