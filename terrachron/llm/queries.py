@@ -11,6 +11,7 @@ from terrachron.llm.hmm import language_scores
 from terrachron.llm.lines import line_report
 from terrachron.llm.near_dup import near_duplicates
 from terrachron.llm.packing import pack_documents
+from terrachron.llm.quality import quality_scores
 from terrachron.llm.sharding import assign_shards
 from terrachron.llm.substrings import repeat_report
 from terrachron.llm.urls import judge_urls
@@ -52,7 +53,12 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
     "op3_lines": op3_lines,
     "op4_embeddings": op4_embeddings,
