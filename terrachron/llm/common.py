@@ -62,3 +62,12 @@ def texts_in(batch: pa.RecordBatch, column: str, at_once: int = 1024):
     values = batch.column(batch.schema.get_field_index(column))
     for start in range(0, len(values), at_once):
         yield start, values.slice(start, at_once).to_pylist()
+
+
+def with_text(row: Column, text: Column, columns: list[str]) -> Column:
+    """A document's struct with another text, and with its length in n_chars where the documents have that column."""
+    same = row["text"].eqNullSafe(text)
+    changed = row.withField("text", text)
+    if "n_chars" in columns:
+        changed = changed.withField("n_chars", F.when(same, row["n_chars"]).otherwise(F.length(text)).cast("long"))
+    return changed

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from terrachron.llm.common import materialise, texts_in
+from terrachron.llm.common import materialise, texts_in, with_text
 
 #: Bytes that end a word: all ASCII but digits and letters. A-Z become a-z first.
 NORMAL = bytes(32 if b < 0x30 or 0x3A <= b < 0x41 or 0x5B <= b < 0x61 or 0x7B <= b < 0x80 else b + 32 if 0x41 <= b < 0x5B else b for b in range(256))
@@ -246,4 +246,4 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_wor
     rows = docs.select(F.struct("*").alias("_tc_row"), F.col("text").alias("_tc_text"))
     found = scan_documents(rows, benchmark, window, block_words).select("_tc_row", F.col("_tc_row.text").alias("_tc_text"), "_tc_spans")
     schema = T.StructType([rows.schema["_tc_row"], T.StructField("_tc_text", T.StringType())])
-    return found.mapInArrow(cut, schema).withColumn("_tc_row", F.col("_tc_row").withField("text", F.col("_tc_text"))).select("_tc_row.*")
+    return found.mapInArrow(cut, schema).withColumn("_tc_row", with_text(F.col("_tc_row"), F.col("_tc_text"), docs.columns)).select("_tc_row.*")

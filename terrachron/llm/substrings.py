@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from terrachron.llm.common import mix, texts_in
+from terrachron.llm.common import mix, texts_in, with_text
 
 #: The gear table: a random 32-bit word for each byte.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -134,7 +134,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 16, words: int = 4) -> Data
 
 def without_repeats(docs: DataFrame, min_words: int = 16, words: int = 4) -> DataFrame:
     """docs with repeated passages cut out of the text; all rows and columns stay."""
-    return remove_repeats(docs, min_words, words).select(F.col("_tc_row").withField("text", F.col("_tc_text")).alias("r")).select("r.*")
+    return remove_repeats(docs, min_words, words).select(with_text(F.col("_tc_row"), F.col("_tc_text"), docs.columns).alias("r")).select("r.*")
 
 
 def repeat_report(docs: DataFrame, min_words: int = 16, words: int = 4) -> DataFrame:
