@@ -10,35 +10,37 @@ from terrachron.llm.common import materialise
 from terrachron.llm.components import connected_components
 
 
-def linked_components(keys: DataFrame, facts: DataFrame, near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], links: DataFrame | None = None) -> DataFrame:
+def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, first: Callable[[str, str, str], Column] | None = None) -> DataFrame:
     """(node, component) of the confirmed links among ids that share a key; nodes that are their component's least id are left out.
 
-    keys: (key, id). facts: (id, ...), what `near` compares, given the suffixes of two sides. confirm: pairs (a, b) to
-    the linked ones. links: (a, b) that hold already. First the members of a key are compared with its least and its
-    greatest member. Links found are contracted, and only members of a key that are still apart meet each other, so
-    the components are those of all links, while a large group of alike members costs two pairs for each.
-    """
-    names = [c for c in facts.columns if c != "id"]
-    sides = [facts.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab"]
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(near("_a", "_b")).select("a", "b").distinct()
-        return materialise(confirm(materialise(pairs)))
+    keys: (key, id). facts_of: a table of ids that share a key to (id, ...), what `near` compares, given the suffixes of
+    two sides. confirm: pairs (a, b) to the linked ones. links: (a, b) that hold already. first: given a key column and
+    the suffixes, whether the key is the first that two ids share, so that they meet once.
 
+    First each id is compared with the least and the greatest id that it shares a key with. Links found are contracted,
+    and only members of a key that are still apart meet each other, so the components are those of all links, while a
+    large group of alike members costs two pairs for each.
+    """
     shared = materialise(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo <> hi"))
     members = materialise(keys.join(shared.where("c > 2").select("key", "lo", "hi"), "key"))
-    stars = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    stars = stars.union(members.where("id <> hi and id <> lo").select(F.col("id").alias("a"), F.col("hi").alias("b")))
-    pairs = stars.union(shared.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).distinct()
-    found_links = confirmed(pairs)
-    links = found_links if links is None else found_links.union(links)
-    found = connected_components(links)
+    ends = members.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    stars = ends.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a <> b")
+    pairs = materialise(stars.union(shared.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).distinct())
+    facts = facts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    names = [c for c in facts.columns if c != "id"]
+    sides = [facts.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab"]
+    found_links = materialise(confirm(materialise(pairs.join(sides[0], "a").join(sides[1], "b").where(near("_a", "_b")).select("a", "b"))))
+    found = connected_components(found_links if links is None else found_links.union(links))
     now = members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    apart = materialise(now.join(mixed, "key").join(facts, "id").distinct())
+    apart = materialise(now.join(mixed, "key").join(facts, "id"))
     if not apart.take(1):
         return found
-    x, y = (apart.select(F.col("key").alias(f"key_{s}"), F.col("id").alias(f"id_{s}"), F.col("c").alias(f"c_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in names)) for s in "ab")
-    meet = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b")) & near("_a", "_b"))
-    more = confirmed(meet.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
-    return connected_components(links.union(more)) if more.take(1) else found
+    x, y = (apart.select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "id", "c", *names))) for s in "ab")
+    meet = (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b"))
+    meet = meet & (first("key_a", "_a", "_b") if first else F.lit(True)) & near("_a", "_b")
+    more = x.join(y, meet).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    more = materialise(confirm(materialise(more if first else more.distinct())))
+    if not more.take(1):
+        return found
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

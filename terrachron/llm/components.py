@@ -11,30 +11,25 @@ from pyspark.sql import DataFrame, functions as F
 from terrachron.llm.common import materialise
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one edge, to a node that has none itself."""
+    nodes = edges.groupBy("a").agg(F.count("*").alias("n"))
+    open_ends = edges.join(nodes.select(F.col("a").alias("b")), "b", "left_semi").select(F.lit(1))
+    return not nodes.where("n > 1").select(F.lit(1)).union(open_ends).take(1)
 
 
 def connected_components(links: DataFrame, max_steps: int = 60) -> DataFrame:
     """links (a, b: any order, repeats allowed, nulls ignored) to (node, component) for every node that isn't its component's least."""
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialise(edges)
-    state = _state(edges)
+    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_steps):
-        if not state[0]:
-            break
+        if _settled(edges):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         # Large star: a node's larger neighbours move to its least neighbour (or itself).
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialise(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         # Small star: a node and its smaller neighbours move to the least of them.
-        large = materialise(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialise(moved.union(least.select("a", F.col("m").alias("b"))).distinct())
-        before, state = state, _state(edges)
-        if state == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    raise RuntimeError("components did not settle")

@@ -1,14 +1,14 @@
 """MinHash near-duplicates by a multi-index Hamming join over b-bit signatures.
 
-A document's signature is `chunks` x `width` positions of 16 bits, one for each hash function. Two signatures within
-D = 2 * chunks - 1 differing positions have, by the pigeonhole principle, a chunk with one differing position at
-most. So each chunk is indexed `width` times, each time without one position (the enumerated error): documents
-within D always share a key. Pairs that share a key and differ in at most `signature_distance` positions are
-confirmed on their full shingle sets.
-
-A key shared by many documents is not expanded into pairs. Its members are first compared with its least and its
-greatest member; after those links are contracted, only members that are still in different components meet, which
-decides every component exactly. Equal sets are contracted before all that.
+A document's signature is 8 chunks of 5 positions of 12 bits, one for each hash function. Two signatures within 15
+differing positions have, by the pigeonhole principle, a chunk with one differing position at most. So each chunk
+is indexed five times, each time without one position (the enumerated error): documents within 15 always share a
+key. Documents of similarity 0.8 differ in 8 positions on average and share no key with probability 2e-5 (0.9: 1e-9).
+
+Documents that share a key get a sketch of 512 further positions of 4 bits; pairs whose sketches differ in more than
+`sketch_distance` positions (4.5 standard deviations beyond what similarity 0.8 gives) are dropped, the others are
+confirmed on their full shingle sets. Equal sets are contracted before all that, and a key shared by many
+documents is not expanded into pairs (see buckets.py).
 """
 
 from __future__ import annotations
@@ -18,16 +18,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from terrachron.llm.buckets import linked_components
 from terrachron.llm.common import materialise, mix, texts_in, words_of
 
-CHUNKS, WIDTH = 8, 5
+CHUNKS, WIDTH, BITS = 8, 5, 12
 POSITIONS = CHUNKS * WIDTH
-LANES = POSITIONS // 4
-_seeds = mix(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64))
-XORS, FACTORS = _seeds[:POSITIONS], _seeds[POSITIONS:] | np.uint64(1)
+SKETCH, SKETCH_LANES = 512, 32
+_seeds = mix(np.arange(1, 2 * (POSITIONS + SKETCH) + 1, dtype=np.uint64))
+XORS, FACTORS = _seeds[: POSITIONS + SKETCH], _seeds[POSITIONS + SKETCH :] | np.uint64(1)
+#: A chunk's positions side by side in one long; a sketch's in 16 fields of each long.
+CHUNK_SHIFTS = np.arange(WIDTH, dtype=np.uint64) * np.uint64(BITS)
+SKETCH_SHIFTS = np.arange(16, dtype=np.uint64) * np.uint64(4)
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -43,14 +46,30 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(mix(out, len(h) if len(h) < k else 0))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """16 bits for each position: of the least value of that position's hash function."""
-    low = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(shingles), 4096):
-        part = shingles[None, start : start + 4096] ^ XORS[:, None]
-        part *= FACTORS[:, None]
+def least_values(shingles: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """The least value of each of the hash functions start to stop over a set, mixed."""
+    low = np.full(stop - start, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        part = shingles[None, at : at + 2048] ^ XORS[start:stop, None]
+        part *= FACTORS[start:stop, None]
         np.minimum(low, part.min(axis=1), out=low)
-    return (mix(low) >> np.uint64(48)).astype(np.uint16)
+    return mix(low)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """A long for each chunk: 12 bits for each of its positions."""
+    values = (least_values(shingles, 0, POSITIONS) >> np.uint64(64 - BITS)).reshape(CHUNKS, WIDTH)
+    return (values << CHUNK_SHIFTS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    values = (least_values(shingles, POSITIONS, POSITIONS + SKETCH) >> np.uint64(60)).reshape(SKETCH_LANES, 16)
+    return (values << SKETCH_SHIFTS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _lists(rows: list[np.ndarray], width: int) -> pa.ListArray:
+    flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), flat)
 
 
 def _describe(k: int):
@@ -63,11 +82,9 @@ def _describe(k: int):
                     n.append(len(s))
                     one.append(int(s.sum(dtype=np.uint64)))
                     two.append(int(np.bitwise_xor.reduce(mix(s, 7))) if len(s) else 0)
-                    lanes.append(signature(s).view(np.int64))
-            flat = pa.array(np.concatenate(lanes) if lanes else np.zeros(0, np.int64))
-            offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * LANES)
+                    lanes.append(signature(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat)],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), _lists(lanes, CHUNKS)],
                 names=["doc_id", "n", "s1", "s2", "sig"],
             )
 
@@ -75,17 +92,43 @@ def _describe(k: int):
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each key of each signature: a chunk without one position, with the chunk's and position's numbers."""
+    """A row for each key of each signature: a chunk without one position. The key's low six bits number the two."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        sig = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(len(ids), CHUNKS, WIDTH).astype(np.uint64)
+        ids = batch.column(0)
+        lanes = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), CHUNKS)
         for c in range(CHUNKS):
             for e in range(WIDTH):
-                key = np.full(len(ids), c * WIDTH + e, np.uint64)
-                for w in range(WIDTH):
-                    if w != e:
-                        key = mix(key * np.uint64(65537) + sig[:, c, w], 11)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], names=["key", "id"])
+                without = lanes[:, c] & ~(np.uint64((1 << BITS) - 1) << CHUNK_SHIFTS[e])
+                slot = c * WIDTH + e
+                key = mix(without, slot + 1) & ~np.uint64(63) | np.uint64(slot)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids], names=["key", "id"])
+
+
+def _differing(x: Column, y: Column, folds: tuple[int, ...], mask: int) -> Column:
+    """In how many fields two longs differ: the lowest bit of each field gathers the field's bits."""
+    d = x.bitwiseXOR(y)
+    for step in folds:
+        d = d.bitwiseOR(F.shiftrightunsigned(d, step))
+    return F.bit_count(d.bitwiseAND(F.lit(mask)))
+
+
+def _chunk_differs(x: Column, y: Column) -> Column:
+    d = x.bitwiseXOR(y)
+    for step in (6, 3):
+        d = d.bitwiseOR(F.shiftrightunsigned(d, step))
+    d = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2))
+    return F.bit_count(d.bitwiseAND(F.lit(sum(1 << BITS * i for i in range(WIDTH)))))
+
+
+def _first_key(key: str, a: str, b: str) -> Column:
+    """Whether a key is the first that two signatures share: no chunk before has one differing position or none, and of a chunk with none it is the first key."""
+    slot = F.col(key).bitwiseAND(F.lit(63))
+    chunk = F.floor(slot / WIDTH)
+    out = F.lit(False)
+    for c in reversed(range(CHUNKS)):
+        n = _chunk_differs(F.col(f"sig{a}")[c], F.col(f"sig{b}")[c])
+        out = F.when(n <= 1, (chunk == c) & ((n == 1) | (slot == c * WIDTH))).otherwise(out)
+    return out
 
 
 def _compare(share: tuple[int, int]):
@@ -108,36 +151,17 @@ def _compare(share: tuple[int, int]):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, k).tobytes() for _, texts in texts_in(batch, "text") for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+            for first, texts in texts_in(batch, "text"):
+                sets = [shingle_set(t, k) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), _lists([signature(s) for s in sets], CHUNKS), _lists([sketch(s) for s in sets], SKETCH_LANES), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["id", "n", "sig", "sketch", "set"],
+                )
 
     return run
 
 
-def _apart(x: str, y: str, most: int):
-    """Whether two signatures differ in at most `most` 16-bit positions: one bit for each lane that isn't zero."""
-    total = F.lit(0)
-    for i in range(LANES):
-        d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
-        for step in (8, 4, 2, 1):  # a lane's lowest bit gathers its 16 bits
-            d = d.bitwiseOR(F.shiftrightunsigned(d, step))
-        total = total + F.bit_count(d.bitwiseAND(F.lit(0x0001000100010001)))
-    return total <= most
-
-
-def _confirm(docs: DataFrame, k: int, share: tuple[int, int]):
-    """Pairs (a, b) to those whose full sets are similar enough. Only the texts of paired documents are looked at."""
-
-    def run(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = materialise(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "id long, set binary"))
-        x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), sets.select(F.col("id").alias("b"), F.col("set").alias("xb"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_compare(share), "a long, b long").distinct()
-
-    return run
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), signature_distance: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100), sketch_distance: int = 136) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked if share[1] * |intersection| >= share[0] * |union| of their sets of k-word shingles (of the
@@ -152,15 +176,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 1
     copies = full.select("doc_id", "s1", "s2", "n").join(sets, ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     copies = materialise(copies.distinct())
     # One row for each set; two sets of one doc_id stay two rows.
-    reps = materialise(full.join(sets, ["s1", "s2", "n"]).where("doc_id = rep").dropDuplicates(["s1", "s2", "n"]).select("doc_id", "n", "sig"))
-    keys = reps.select("doc_id", "sig").mapInArrow(_keys, "key long, id long")
+    reps = full.join(sets, ["s1", "s2", "n"]).where("doc_id = rep").dropDuplicates(["s1", "s2", "n"]).select("doc_id", "sig")
+    keys = materialise(reps).mapInArrow(_keys, "key long, id long")
+    candidates: list[DataFrame] = []
 
-    def near(a: str, b: str):
+    def facts_of(ids: DataFrame) -> DataFrame:
+        paired = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+        candidates.append(materialise(paired.mapInArrow(_sets(k), "id long, n long, sig array<long>, sketch array<long>, set binary")))
+        return candidates[0].select("id", "n", "sig", "sketch")
+
+    def near(a: str, b: str) -> Column:
         sizes = [F.col(f"n{a}"), F.col(f"n{b}")]
-        return (share[1] * F.least(*sizes) >= share[0] * F.greatest(*sizes)) & _apart(f"sig{a}", f"sig{b}", signature_distance)
+        differing = sum((_differing(F.col(f"sketch{a}")[i], F.col(f"sketch{b}")[i], (2, 1), 0x1111111111111111) for i in range(SKETCH_LANES)), F.lit(0))
+        return (share[1] * F.least(*sizes) >= share[0] * F.greatest(*sizes)) & (differing <= sketch_distance)
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        x, y = (candidates[0].select(F.col("id").alias(s), F.col("set").alias(f"x{s}")) for s in "ab")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_compare(share), "a long, b long")
 
-    facts = reps.select(F.col("doc_id").alias("id"), "n", "sig")
-    found = linked_components(keys, facts, near, _confirm(docs, k, share), copies)
+    found = linked_components(keys, facts_of, near, confirm, copies, _first_key)
     out = described.join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
