@@ -2,16 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from terrachron.plans.queries import ORACLE_SQL, QUERIES, q01_as_of
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+FLAGSHIP = q01_as_of
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").agg(F.count("*").alias("n"))
-
-
-FLAGSHIP = _smoke
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
