@@ -24,7 +24,10 @@ from terrachron.llm.common import texts_in
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: What a text may hold to be encoded by word: settled Latin characters (their classes are the same in every Unicode
 #: version) and no white space beside a space.
-BY_WORD = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f]|[ \\t\\n\\r] | [\\t\\n\\r]|^ | $")
+SETTLED = bytes([10, *range(0x20, 0x7F), *range(0xA1, 0x100)])
+UNSETTLED = re.compile("[^\\n\\x20-\\x7e\\xa1-\\u024f]")
+#: A word of letters and the punctuation behind it: two parts to the pre-tokenizer.
+PUNCTUATED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)").fullmatch
 #: So many words (about 300 MB) are remembered by a Python worker; beyond, its memory starts anew.
 REMEMBERED = 1_500_000
 
@@ -46,6 +49,15 @@ class ByteBpe:
         self.tokenizer.encode_special_tokens = as_text
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}  # without a space before
+
+    def _by_word(self, text: str) -> bool:
+        try:
+            settled = not text.encode("latin-1").translate(None, SETTLED)
+        except UnicodeEncodeError:
+            settled = not UNSETTLED.search(text)
+        spaced = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+        return settled and not spaced and not any(s in text for s in self.special)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -61,21 +73,39 @@ class ByteBpe:
             self.known[word] = data[start:cut]
             start = cut
 
+    def _head(self, word: str) -> bytes:
+        if word not in self.heads:
+            self.heads[word] = self._ids(word).tobytes()
+        return self.heads[word]
+
+    def _add(self, words: list[str]) -> None:
+        """Learns new words: those with punctuation behind from their two parts."""
+        known, whole, parts = self.known, [], []
+        for w in words:
+            if m := PUNCTUATED(w):
+                parts.append((w, m[1], m[2]))
+            else:
+                whole.append(w)
+        whole = list({*whole, *(a for _, a, _ in parts if a not in known)})
+        for start in range(0, len(whole), 20_000):
+            self._learn(whole[start : start + 20_000])
+        for w, a, b in parts:
+            known[w] = known[a] + self._head(b)
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        by_word = [not (BY_WORD.search(t) or any(s in t for s in self.special)) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        words = [t.split(" ") if ok else [] for t, ok in zip(texts, by_word)]
+            self.heads.clear()
+        words = [t.split(" ") if self._by_word(t) else [] for t in texts]
         found = [list(map(self.known.get, w[1:])) for w in words]
         gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
-        if new := list({w[i + 1] for w, gap in zip(words, gaps) for i in gap}):
-            for start in range(0, len(new), 20_000):
-                self._learn(new[start : start + 20_000])
+        if new := {w[i + 1] for w, gap in zip(words, gaps) for i in gap}:
+            self._add(list(new))
         out = []
         for text, w, f, gap in zip(texts, words, found, gaps):
             for i in gap:
                 f[i] = self.known[w[i + 1]]
-            out.append(np.frombuffer(self._ids(w[0]).tobytes() + b"".join(f), "<u4") if f else self._ids(text))
+            out.append(np.frombuffer(self._head(w[0]) + b"".join(f), "<u4") if f else self._ids(text))
         return out
 
 
