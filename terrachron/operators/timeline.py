@@ -40,12 +40,12 @@ def resolve_world(lifetimes: DataFrame, geometries: DataFrame, parents: DataFram
 
 
 def availability(objects: DataFrame, lifetimes: DataFrame, geometries: DataFrame, month: str) -> DataFrame:
-    """objects (object_id) with `state`: Unknown (no lifetime rows), Absent, GeometryGap or Available at the month."""
-    known = lifetimes.select("object_id").distinct().withColumn("_known", F.lit(True))
-    alive = active_at(lifetimes, month).select("object_id", F.lit(True).alias("_alive"))
+    """objects (object_id) with `state`: Available (alive, with a shape), Absent (not alive), GeometryGap or, for a life without bounds, Unknown."""
+    bounded = F.col("valid_from").isNotNull() | F.col("valid_to").isNotNull()
+    alive = active_at(lifetimes, month).select("object_id", bounded.alias("_bounded"))
     shaped = active_at(geometries, month).select("object_id", F.lit(True).alias("_shaped"))
-    out = objects.join(known, "object_id", "left").join(alive, "object_id", "left").join(shaped, "object_id", "left")
-    state = F.when(F.col("_known").isNull(), "Unknown").when(F.col("_alive").isNull(), "Absent").when(F.col("_shaped").isNull(), "GeometryGap").otherwise("Available")
+    out = objects.join(alive, "object_id", "left").join(shaped, "object_id", "left")
+    state = F.when(F.col("_bounded").isNull(), "Absent").when(F.col("_shaped"), "Available").when(F.col("_bounded"), "GeometryGap").otherwise("Unknown")
     return out.select("object_id", state.alias("state"))
 
 

@@ -33,7 +33,7 @@ def test_world_at_month(world):
 def test_availability_and_edits(spark, world):
     ids = spark.createDataFrame([("A",), ("B",), ("X",)], "object_id string")
     state = lambda month: {r.object_id: r.state for r in timeline.availability(ids, world[0], world[1], month).collect()}
-    assert state("-0001-06") == {"A": "Available", "B": "GeometryGap", "X": "Unknown"}
+    assert state("-0001-06") == {"A": "Available", "B": "GeometryGap", "X": "Absent"}
     assert state("1930-01")["B"] == "Absent"
     halves = timeline.split_at(world[2].where("object_id = 'B' and ord = 1"), "1912-05").select("part", "lo", "hi").collect()
     assert {tuple(r) for r in halves} == {("before", 19100102, 19120430), ("after", 19120501, 19151231)}
