@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from terrachron.functions import geometry, numeric, temporal, text
-from terrachron.operators import changes, hierarchy, intervals, quality, ranking, spatial
+from terrachron.operators import changes, hierarchy, intervals, places, quality, ranking, rivers, spatial, timeline
 from terrachron.sources.tables import table
 
 QUERIES: dict = {}
@@ -380,3 +380,50 @@ def q31_ring_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring, mean = F.col("ring"), geometry.vertex_mean(F.col("ring"))
     at = lambda dx, dy: geometry.in_ring(lon + dx, lat + dy, ring).cast("int")
     return rows.select("id", F.round(geometry.signed_area(ring), 6).alias("area"), F.round(mean["x"], 3).alias("mid_x"), F.round(mean["y"], 3).alias("mid_y"), at(0.0, 0.0).alias("centre"), at(2.0, 1.0).alias("corner"), at(3.0, 0.0).alias("far"))
+
+
+_REACHES = "SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS nxt, p_size AS a, p_retailprice AS f FROM part"
+
+
+def _reaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(key.alias("id"), F.when(key > 1, F.floor(key / 2)).cast("long").alias("next_id"), F.col("p_size").alias("upstream_area"), F.col("p_retailprice").alias("flow"))
+
+
+@query(f"""
+WITH RECURSIVE n AS ({_REACHES}),
+b AS (SELECT id, nxt FROM (SELECT *, row_number() OVER (PARTITION BY nxt ORDER BY a DESC, f DESC, id DESC) AS r FROM n WHERE nxt IS NOT NULL) WHERE r = 1),
+t AS (SELECT id, id AS chain_id, 0 AS position FROM n WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT b.id, t.chain_id, t.position + 1 FROM b JOIN t ON b.nxt = t.id)
+SELECT id, chain_id, CAST(position AS INTEGER) AS position FROM t""")
+def q32_river_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains along each reach's best tributary (forest: half the key)."""
+    return rivers.chains(_reaches(spark, sf_dir)).select("id", "chain_id", "position")
+
+
+@query(f"""
+WITH RECURSIVE n AS ({_REACHES}), t AS (SELECT id, id AS top FROM n WHERE nxt IS NULL UNION ALL SELECT n.id, t.top FROM n JOIN t ON n.nxt = t.id)
+SELECT top AS system_id, count(*) AS n FROM t GROUP BY top""")
+def q33_river_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many reaches flow to each outlet."""
+    return rivers.systems(_reaches(spark, sf_dir)).groupBy("system_id").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS lo FROM orders),
+a AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM o WHERE lo <= 19970331)
+SELECT CAST(o_custkey AS VARCHAR) AS object_id, o_orderkey AS ord, CAST(lo AS BIGINT) AS lo FROM a WHERE r = 1""")
+def q34_active_at_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first record in input order that holds the last day of a month; records are open from their day on."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("object_id"), F.col("o_orderkey").alias("ord"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"))
+    return timeline.active_at(timeline.with_bounds(rows), "1997-03").select("object_id", "ord", "lo")
+
+
+@query("""
+WITH p AS (SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE) * 2, 4) AS lon, round(CAST(embedding[2] AS DOUBLE) * 2, 4) AS lat, label AS country FROM embeddings)
+SELECT a.id AS a_id, b.id AS b_id FROM p a JOIN p b ON a.country = b.country AND a.id < b.id
+WHERE 12742017.6 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 5000""")
+def q35_near_namesakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one country and name within five kilometres."""
+    e = F.col("embedding")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(e[0].cast("double") * 2, 4).alias("lon"), F.round(e[1].cast("double") * 2, 4).alias("lat"), F.col("label").cast("string").alias("country"), F.lit("One  Name").alias("name"))
+    return places.near_namesakes(rows, 5000.0).select("a_id", "b_id")
