@@ -35,6 +35,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of so many keys (about 50 MB once hashed) may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df written out, and marked for broadcast if it has `limit` rows at most; beyond, it is joined like any other table."""
+    df = materialise(df)
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

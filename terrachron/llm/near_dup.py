@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terrachron.llm.buckets import linked_components
-from terrachron.llm.common import materialise, mix, texts_in, words_of
+from terrachron.llm.common import materialise, mix, small_side, texts_in, words_of
 
 CHUNKS, WIDTH, BITS = 8, 5, 12
 POSITIONS = CHUNKS * WIDTH
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 1
     candidates: list[DataFrame] = []
 
     def facts_of(ids: DataFrame) -> DataFrame:
-        paired = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+        paired = docs.join(small_side(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").select("doc_id", "text")
         candidates.append(materialise(paired.mapInArrow(_sets(k), "id long, n long, sig array<long>, sketch array<long>, set binary")))
         return candidates[0].select("id", "n", "sig", "sketch")
 
