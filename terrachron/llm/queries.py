@@ -13,6 +13,7 @@ from terrachron.llm.near_dup import near_duplicates
 from terrachron.llm.packing import pack_documents
 from terrachron.llm.quality import quality_scores
 from terrachron.llm.sharding import assign_shards
+from terrachron.llm.sql import ORACLE_SQL
 from terrachron.llm.substrings import repeat_report
 from terrachron.llm.urls import judge_urls
 
@@ -69,4 +70,5 @@ QUERIES = {
     "op10_substrings": op10_substrings,
     "op9_decontamination": op9_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
