@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrachron.llm.common import materialise
+from terrachron.llm.common import materialise, small_side
 from terrachron.llm.components import connected_components
 
 
@@ -22,7 +22,7 @@ def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame
     large group of alike members costs two pairs for each.
     """
     shared = materialise(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo <> hi"))
-    members = materialise(keys.join(shared.where("c > 2").select("key", "lo", "hi"), "key"))
+    members = materialise(keys.join(small_side(shared.where("c > 2").select("key", "lo", "hi")), "key"))
     ends = members.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     stars = ends.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a <> b")
     pairs = materialise(stars.union(shared.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).distinct())

@@ -84,35 +84,67 @@ def test_signatures_within_the_distance_share_a_key():
         assert any((a[c] != b[c]).sum() <= 1 for c in range(near_dup.CHUNKS))
 
 
+def plain_lines(text):
+    """(line, its normalised words) of each line, without the vectorised hashing."""
+    return [(line, tuple(line.encode().translate(lines.NORMAL).split())) for line in text.split("\n")]
+
+
+def plain_simhash(words):
+    totals = np.zeros(64, int)
+    for w in words:
+        h = lines.line_features([w])[2][0]
+        totals += [1 if h >> np.uint64(b) & np.uint64(1) else -1 for b in range(64)]
+    return sum(1 << b for b in range(64) if totals[b] > 0)
+
+
 def test_lines(docs, rows):
     node = {}
     for i, t in sorted(rows):
-        for line in t.split("\n"):
-            w = lines.normal_words(line)
+        for _, w in plain_lines(t):
             if len(w) >= 3:
-                node.setdefault(lines.line_hash(w), (i, w))
-    hashes = list(node)
-    sims = lines.simhashes([node[h][1] for h in hashes]).view(np.uint64)
-    parent = {h: h for h in hashes}
-    for i in range(len(hashes)):
+                node.setdefault(w, i)
+    keys = list(node)
+    sims = np.array([plain_simhash(w) for w in keys], np.uint64)
+    parent = {k: k for k in range(len(keys))}
+    number = {w: k for k, w in enumerate(keys)}
+    for i in range(len(keys)):
         for j in np.flatnonzero(np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= lines.DISTANCE) + i + 1:
-            if lines.similar(*(b" ".join(node[hashes[x]][1]).decode() for x in (i, j)), 0.9):
-                join(parent, hashes[i], hashes[j])
+            if lines.similar(*(b" ".join(keys[x]).decode() for x in (i, j)), 0.9):
+                join(parent, i, int(j))
     stays = defaultdict(lambda: 1 << 60)
-    for h in hashes:
-        stays[root(parent, h)] = min(stays[root(parent, h)], node[h][0])
+    for w, k in number.items():
+        stays[root(parent, k)] = min(stays[root(parent, k)], node[w])
     got = {r.doc_id: r for r in lines.line_report(docs).collect()}
+    removed = 0
     for i, t in rows:
         seen, kept = set(), []
-        for line in t.split("\n"):
-            w = lines.normal_words(line)
+        for line, w in plain_lines(t):
             if len(w) >= 3:
-                of = root(parent, lines.line_hash(w))
+                of = root(parent, number[w])
                 if stays[of] != i or of in seen:
                     continue
                 seen.add(of)
             kept.append(line)
+        removed += t.count("\n") + 1 - len(kept)
         assert (got[i].n_removed, got[i].text_crc32) == (t.count("\n") + 1 - len(kept), zlib.crc32("\n".join(kept).encode()))
+    assert removed
+
+
+def test_line_hashes_do_not_depend_on_what_stands_around(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab1.,é \n") for _ in range(rng.randrange(300))).encode() for _ in range(60)]
+    together = lines.line_features(texts)
+    alone = [lines.line_features([line])[1][0] for t in texts for line in t.split(b"\n")]
+    assert together[1].tolist() == alone and together[0].sum() == len(together[2])
+    by_words = defaultdict(set)
+    for h, line in zip(alone, (line for t in texts for line in t.split(b"\n"))):
+        by_words[tuple(line.translate(lines.NORMAL).split())].add(int(h))
+    assert all(len(v) == 1 for v in by_words.values()) and len(set.union(*by_words.values())) == len(by_words)
+    monkeypatch.setattr(lines, "BLOCK", 64)  # many blocks, words across their ends
+    lines._tables.cache_clear()
+    short = [t for t in texts if max(map(len, t.translate(lines.NORMAL).split() or [b""])) < 64]
+    assert lines.line_features(short)[1].tolist() == [h for t in short for h in (lines.line_features([line])[1][0] for line in t.split(b"\n"))]
+    lines._tables.cache_clear()
 
 
 def test_edit_distance():
