@@ -95,3 +95,14 @@ def test_latest_revisions(spark, tmp_path):
         query.awaitTermination()
     got = {(r.key, r.revision, r.payload) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", 3, "q"), ("b", 1, "r"), ("b", 2, "s")}
+
+
+def test_staged_batches(spark, tmp_path):
+    schema = "id long, v string"
+    spark.createDataFrame([(i, str(i)) for i in range(20)], schema).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    rows, found = latest.staged(stream(), str(tmp_path / "a"), "")
+    assert rows.count() == 20
+    assert latest.staged(stream(), str(tmp_path / "b"), found)[1] == found
+    with pytest.raises(ValueError):
+        latest.staged(stream(), str(tmp_path / "c"), "0" * 64)
