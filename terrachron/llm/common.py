@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="terrachron-"))
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = own = tempfile.mkdtemp(prefix="terrachron-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return _own_dirs[context.applicationId]
 
 
 def materialise(df: DataFrame) -> DataFrame:
