@@ -10,16 +10,31 @@ from terrachron.llm.common import materialise, small_side
 from terrachron.llm.components import connected_components
 
 
-def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, first: Callable[[str, str, str], Column] | None = None) -> DataFrame:
+def _apart(members: DataFrame, found: DataFrame, facts: DataFrame) -> DataFrame:
+    """(key, id, c, facts) of the members of keys that hold more than one component c."""
+    now = members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    return materialise(now.join(mixed, "key").join(facts, "id"))
+
+
+def _many_pairs(apart: DataFrame) -> bool:
+    """Whether the members of different components are more than four pairs for each member."""
+    of = apart.groupBy("key", "c").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    n, pairs = of.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+    return n is not None and pairs > 4 * n
+
+
+def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, first: Callable[[str, str, str], Column] | None = None, rounds: int = 0) -> DataFrame:
     """(node, component) of the confirmed links among ids that share a key; nodes that are their component's least id are left out.
 
     keys: (key, id). facts_of: a table of ids that share a key to (id, ...), what `near` compares, given the suffixes of
     two sides. confirm: pairs (a, b) to the linked ones. links: (a, b) that hold already. first: given a key column and
-    the suffixes, whether the key is the first that two ids share, so that they meet once.
+    the suffixes, whether the key is the first that two ids share, so that they meet once. rounds: how often, at most,
+    members that are still apart are first compared with one of their key, while that is less work than that all meet.
 
     First each id is compared with the least and the greatest id that it shares a key with. Links found are contracted,
     and only members of a key that are still apart meet each other, so the components are those of all links, while a
-    large group of alike members costs two pairs for each.
+    large group of alike members costs two pairs for each, and one more for each round.
     """
     shared = materialise(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo <> hi"))
     members = materialise(keys.join(small_side(shared.where("c > 2").select("key", "lo", "hi")), "key"))
@@ -31,9 +46,19 @@ def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame
     sides = [facts.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab"]
     found_links = materialise(confirm(materialise(pairs.join(sides[0], "a").join(sides[1], "b").where(near("_a", "_b")).select("a", "b"))))
     found = connected_components(found_links if links is None else found_links.union(links))
-    now = members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    apart = materialise(now.join(mixed, "key").join(facts, "id"))
+    apart = _apart(members, found, facts)
+    for i in range(rounds):
+        if not _many_pairs(apart):
+            break
+        centre = apart.groupBy("key").agg(F.min_by(F.struct("id", "c", *names), F.xxhash64(F.lit(i), "id")).alias("m"))
+        centre = centre.select(F.col("key").alias("key_a"), *(F.col(f"m.{c}").alias(f"{c}_a") for c in ("id", "c", *names)))
+        others = apart.select(*(F.col(c).alias(f"{c}_b") for c in ("key", "id", "c", *names)))
+        stars = others.join(centre, (F.col("key_a") == F.col("key_b")) & (F.col("c_a") != F.col("c_b")) & near("_a", "_b"))
+        more = materialise(confirm(materialise(stars.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())))
+        if not more.take(1):
+            break
+        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        apart = _apart(members, found, facts)
     if not apart.take(1):
         return found
     x, y = (apart.select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "id", "c", *names))) for s in "ab")
