@@ -142,9 +142,21 @@ def test_line_hashes_do_not_depend_on_what_stands_around(monkeypatch):
     assert all(len(v) == 1 for v in by_words.values()) and len(set.union(*by_words.values())) == len(by_words)
     monkeypatch.setattr(lines, "BLOCK", 64)  # many blocks, words across their ends
     lines._tables.cache_clear()
-    short = [t for t in texts if max(map(len, t.translate(lines.NORMAL).split() or [b""])) < 64]
-    assert lines.line_features(short)[1].tolist() == [h for t in short for h in (lines.line_features([line])[1][0] for line in t.split(b"\n"))]
+    texts += [b"x" * 200 + b" " + b"y" * 64, b"x" * 199 + b"z"]
+    assert lines.line_features(texts)[1].tolist() == [h for t in texts for h in (lines.line_features([line])[1][0] for line in t.split(b"\n"))]
+    cut = [lines.line_features(texts)[1].tolist()]
+    monkeypatch.undo()
     lines._tables.cache_clear()
+    assert cut == [lines.line_features(texts)[1].tolist()]
+
+
+def test_lines_of_one_large_group(spark):
+    """Many near copies of one line that aren't all within two bits of each other: few stay apart, as brute force says."""
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words) if rng.random() < 0.03 else w for w in words) for _ in range(160)]
+    rows = list(enumerate(texts))
+    test_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
 
 
 def test_edit_distance():
