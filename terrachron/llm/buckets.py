@@ -17,11 +17,11 @@ def _apart(members: DataFrame, found: DataFrame, facts: DataFrame) -> DataFrame:
     return materialise(now.join(mixed, "key").join(facts, "id"))
 
 
-def _many_pairs(apart: DataFrame) -> bool:
-    """Whether the members of different components are more than four pairs for each member."""
+def _pairs_to_meet(apart: DataFrame) -> tuple[float, float]:
+    """How many members there are, and how many pairs of them are of one key and of different components."""
     of = apart.groupBy("key", "c").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
     n, pairs = of.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-    return n is not None and pairs > 4 * n
+    return n or 0.0, pairs or 0.0
 
 
 def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, first: Callable[[str, str, str], Column] | None = None, rounds: int = 0) -> DataFrame:
@@ -30,7 +30,7 @@ def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame
     keys: (key, id). facts_of: a table of ids that share a key to (id, ...), what `near` compares, given the suffixes of
     two sides. confirm: pairs (a, b) to the linked ones. links: (a, b) that hold already. first: given a key column and
     the suffixes, whether the key is the first that two ids share, so that they meet once. rounds: how often, at most,
-    members that are still apart are first compared with one of their key, while that is less work than that all meet.
+    members that are still apart are first compared with one of their key, while that is less work than that all meet and each round halves it.
 
     First each id is compared with the least and the greatest id that it shares a key with. Links found are contracted,
     and only members of a key that are still apart meet each other, so the components are those of all links, while a
@@ -47,9 +47,13 @@ def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame
     found_links = materialise(confirm(materialise(pairs.join(sides[0], "a").join(sides[1], "b").where(near("_a", "_b")).select("a", "b"))))
     found = connected_components(found_links if links is None else found_links.union(links))
     apart = _apart(members, found, facts)
+    before = float("inf")
     for i in range(rounds):
-        if not _many_pairs(apart):
+        # A round costs about as much as 32 pairs for each member, and the next one only pays if this one halves them.
+        n, pairs = _pairs_to_meet(apart)
+        if pairs <= 32 * n or pairs > before / 2:
             break
+        before = pairs
         centre = apart.groupBy("key").agg(F.min_by(F.struct("id", "c", *names), F.xxhash64(F.lit(i), "id")).alias("m"))
         centre = centre.select(F.col("key").alias("key_a"), *(F.col(f"m.{c}").alias(f"{c}_a") for c in ("id", "c", *names)))
         others = apart.select(*(F.col(c).alias(f"{c}_b") for c in ("key", "id", "c", *names)))
