@@ -1,17 +1,18 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, a join on pigeonhole blocks, edit similarity, components.
+"""Fuzzy line deduplication: keys of word runs of normalised lines, a join on shared keys, edit similarity, components.
 
 Lines are normalised (A-Z lower-cased, digits to 0, other ASCII to single spaces). Equal normalised lines are one
-node. The 64-bit SimHashes of two nodes within two bits of each other agree in three of five blocks, so each node is
-indexed under the ten choices of three blocks (38 bits or more, few chance meetings at any size). Pairs within two
-bits are confirmed by their edit similarity. Of a connected group of lines the occurrence in the document with the
-least doc_id, and there the first, stays.
+node. A node's keys are hashes of runs of words, each of RUN characters or more, chosen by winnowing (the least hash of
+every window of starts; the window grows with the line up to WIDEST), and for lines of up to SHORT words also of the
+line without each one and each two of its words. So near copies meet if they share one run, wherever else they differ.
+Candidates within exact bounds of length and letter counts are confirmed by their edit similarity. Of a connected group
+of lines the occurrence in the document with the least doc_id, and there the first, stays.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +28,14 @@ BLOCK = 1 << 21
 #: A random word for each byte, an odd base and its inverse: a word's hash is a polynomial of its bytes, mixed.
 BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 BASE = 0x9E3779B97F4A7C15
-#: Each byte's bits, the highest first, as eight counters.
-LANES = np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8).copy().view(np.uint64).ravel()
-#: Five blocks of the 64 bits; a key holds three of them.
-BLOCKS = (13, 13, 13, 13, 12)
-DISTANCE = 2
-
-
-def masks() -> list[int]:
-    starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    blocks = [((1 << n) - 1) << s for n, s in zip(BLOCKS, starts)]
-    found = [sum(c) for c in itertools.combinations(blocks, len(BLOCKS) - DISTANCE)]
-    return [m - (1 << 64) if m >> 63 else m for m in found]
+#: Characters of a run of words, the widest window of starts, and the most words of a line that is also keyed without some of its words.
+RUN, WIDEST, SHORT = 18, 6, 8
+#: Letters to 16 classes, whose counts bound the edit distance; -1 isn't counted.
+CLASSES = np.full(256, -1, np.int8)
+for _i, _c in enumerate(b"etaoinshrdlucmfwypvbgkjqxz0"):
+    CLASSES[_c] = _i if _i < 12 else 12 + _i % 4
+#: How many bits of a 64-bit SimHash candidates may differ by: all, as candidates don't depend on it.
+DISTANCE = 64
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -79,8 +76,8 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all lines of the texts, one after the other: words, hash; and of all words: hash, line; and the number of lines of each text."""
+def _features(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """What line_features returns, and the normalised bytes and where in them words start."""
     lines = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
     data = np.frombuffer(b"\n".join(texts).translate(NORMAL), np.uint8)
     starts, hashes = _word_hashes(data)
@@ -92,27 +89,78 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if len(some):
         place = np.arange(len(line)) - first[line]
         out[some] = np.add.reduceat(mix(hashes, 99) * _powers(BASE, int(n.max()))[place], first[some])
-    return n, mix(out).view(np.int64), hashes, line, lines
+    return n, mix(out).view(np.int64), hashes, line, lines, data, starts
 
 
-def simhashes(hashes: np.ndarray, line: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A bit of a line is set if more of its words have it set in their hash than not.
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines of the texts, one after the other: words, hash; and of all words: hash, line; and the number of lines of each text."""
+    return _features(texts)[:5]
 
-    Eight counters of a byte each share a 64-bit integer, so runs of at most 255 words are summed before they are widened.
-    """
-    ones = np.zeros((len(n), 64), np.int32)
-    for start in range(0, len(hashes), 65536):
-        own = line[start : start + 65536]
-        edge = np.flatnonzero(np.diff(own, prepend=-1))
-        length = np.diff(edge, append=len(own))
-        runs = -(-length // 255)
-        run = np.repeat(edge, runs) + 255 * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
-        counts = np.add.reduceat(LANES[hashes[start : start + 65536].view(np.uint8).reshape(-1, 8)], run, axis=0)
-        counts = counts.view(np.uint8).reshape(-1, 64)
-        if len(run) > len(edge):
-            counts = np.add.reduceat(counts, np.cumsum(runs) - runs, axis=0, dtype=np.int32)
-        ones[own[edge]] += counts
-    return np.packbits(2 * ones > n[:, None], axis=1).view("<i8").ravel()
+
+def _bounds(data: np.ndarray, starts: np.ndarray, line: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of each word; characters of each line, its words joined by one space; letter counts of each line, 16 bytes that stop at 255."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(len(n), np.int64), np.zeros((len(n), 2), np.int64)
+    size = np.add.reduceat((data > 32) & (data & 0xC0 != 0x80), starts, dtype=np.int64)
+    length = np.bincount(line, size, len(n)).astype(np.int64) + np.maximum(n - 1, 0)
+    kind = CLASSES[data]
+    at = np.flatnonzero(kind >= 0)
+    owner = np.cumsum(data == 10)[at]
+    counts = np.bincount(owner * 16 + kind[at], minlength=16 * len(n)).reshape(-1, 16)
+    return size, length, np.minimum(counts, 255).astype(np.uint8).view("<i8")
+
+
+def line_keys(hashes: np.ndarray, size: np.ndarray, line: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the lines, and the line of each, in order of lines: word runs by winnowing, and short lines without one or two words."""
+    words = mix(hashes, 7)
+    first = np.cumsum(n) - n
+    reach = np.cumsum(size + 1)  # a word and the space behind it
+    # A run ends with the first word that brings it to RUN characters, within its line.
+    end = np.searchsorted(reach, reach - size - 1 + RUN + 1)
+    runs = end < (first + n)[line]
+    value = np.zeros(len(words), np.uint64)
+    at = np.flatnonzero(runs)
+    for i in range(int((end - np.arange(len(end)))[at].max()) + 1 if len(at) else 0):
+        now = at[at + i <= end[at]]
+        value[now] = mix(value[now] * np.uint64(BASE) + words[now + i])
+    # Starts with a run are the first ones of their line. One is chosen if it is the least of a window of starts.
+    value, of = value[at], line[at]
+    window = np.minimum(np.clip(n // 8, 1, WIDEST)[of], np.bincount(of, minlength=len(n))[of])
+    room = np.ones(len(at), np.int64)
+    for back in (True, False):
+        less = np.ones(len(at), bool)
+        for i in range(1, min(WIDEST, len(at))):
+            ahead = np.zeros(len(at), bool)
+            if back:
+                ahead[i:] = (of[:-i] == of[i:]) & (value[:-i] > value[i:])
+            else:
+                ahead[:-i] = (of[:-i] == of[i:]) & (value[i:] >= value[:-i])
+            less &= ahead
+            room += less
+    chosen = room >= window
+    keys, owners = [mix(value[chosen], 1)], [of[chosen]]
+    for k in range(2, SHORT + 1):
+        some = np.flatnonzero(n == k)
+        table = words[first[some][:, None] + np.arange(k)]
+        for left in {k - 1, max(k - 2, 3)} - {k}:
+            if left < 2:
+                continue
+            for kept in itertools.combinations(range(k), left):
+                total = np.zeros(len(some), np.uint64)
+                for j in kept:
+                    total = mix(total * np.uint64(BASE) + table[:, j])
+                keys.append(mix(total, 2))
+                owners.append(some)
+        # A line without a word meets one that has no such word.
+        if k > 2:
+            total = np.zeros(len(some), np.uint64)
+            for j in range(k):
+                total = mix(total * np.uint64(BASE) + table[:, j])
+            keys.append(mix(total, 2))
+            owners.append(some)
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return keys[order].view(np.int64), owners[order]
 
 
 def _together(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -169,18 +217,23 @@ def similar(a: str, b: str, share: float) -> bool:
 
 
 def _lines(min_words: int):
-    """Rows (doc, text) to (doc, h, s): each long enough line of each text."""
+    """Rows (doc, text) to (doc, h, size, c0, c1, keys): each long enough line of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for start, texts in texts_in(batch, "text", 512):
                 for first, group in _together(texts):
-                    n, h, words, line, lines = line_features(group)
+                    n, h, words, line, lines, data, starts = _features(group)
                     owner = np.repeat(docs[start + first : start + first + len(group)], lines)
+                    size, length, counts = _bounds(data, starts, line, n)
                     use = n >= min_words
-                    s = simhashes(words, line, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(owner[use], pa.int64()), pa.array(h[use]), pa.array(s[use])], names=["doc", "h", "s"])
+                    keys, of = line_keys(words, size, line, n)
+                    mine = use[of]
+                    ends = np.cumsum(np.bincount(of[mine], minlength=len(n))[use])
+                    keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys[mine]))
+                    columns = [pa.array(owner[use], pa.int64()), pa.array(h[use]), pa.array(length[use]), *(pa.array(np.ascontiguousarray(counts[use, i])) for i in (0, 1)), keys]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "h", "size", "c0", "c1", "keys"])
 
     return run
 
@@ -262,23 +315,24 @@ def remove_lines(docs: DataFrame, min_words: int = 3, share: float = 0.9) -> Dat
     as the least long. An empty table gives no rows.
     """
     doc = _document(docs)
-    lines = materialise(docs.select(doc.alias("doc"), "text").mapInArrow(_lines(min_words), "doc long, h long, s long"))
-    nodes = materialise(lines.groupBy("h").agg(F.min("s").alias("s"), F.min("doc").alias("d0"), F.count("*").alias("n")))
-
-    def key(s: str, i: int, mask: int) -> Column:
-        return F.xxhash64(F.lit(i), F.col(s).bitwiseAND(F.lit(mask)))
-
-    def first(shared: str, a: str, b: str) -> Column:
-        alike = lambda mask: F.col(f"s{a}").bitwiseXOR(F.col(f"s{b}")).bitwiseAND(F.lit(mask)) == 0
-        return F.col(shared) == F.coalesce(*(F.when(alike(m), key(f"s{a}", i, m)) for i, m in enumerate(masks())), F.col(shared))
+    lines = materialise(docs.select(doc.alias("doc"), "text").mapInArrow(_lines(min_words), "doc long, h long, size long, c0 long, c1 long, keys array<long>"))
+    nodes = materialise(lines.groupBy("h").agg(*(F.min(c).alias(c) for c in ("size", "c0", "c1")), F.min("doc").alias("d0"), F.count("*").alias("n")))
 
-    keys = nodes.select(F.col("h").alias("id"), F.explode(F.array(*(key("s", i, m) for i, m in enumerate(masks())))).alias("key"))
+    # Equal lines have equal keys: those of a line's one occurrence, or of all without repeats.
+    once = lines.select("h", F.explode("keys").alias("key"))
+    keys = once.groupBy("key", "h").agg(F.lit(1).alias("one")).select("key", F.col("h").alias("id"))
 
     def facts_of(ids: DataFrame) -> DataFrame:
-        return materialise(nodes.select(F.col("h").alias("id"), "s").join(ids, "id", "left_semi"))
+        return materialise(nodes.select(F.col("h").alias("id"), "size", "c0", "c1").join(ids, "id", "left_semi"))
 
     def near(a: str, b: str) -> Column:
-        return F.bit_count(F.col(f"s{a}").bitwiseXOR(F.col(f"s{b}"))) <= DISTANCE
+        # An edit changes the length by one at most, and adds one letter at most and removes one.
+        most = F.greatest(f"size{a}", f"size{b}") * (1 - share) + 1e-6
+        count = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
+        apart = [count(F.col(f"{c}{a}"), i) - count(F.col(f"{c}{b}"), i) for c in ("c0", "c1") for i in range(8)]
+        zero = F.lit(0).cast("long")
+        added, removed = (reduce(lambda x, y: x + y, (F.greatest(zero, sign * d) for d in apart)) for sign in (1, -1))
+        return (F.abs(F.col(f"size{a}") - F.col(f"size{b}")) <= most) & (added <= most) & (removed <= most)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
@@ -288,7 +342,7 @@ def remove_lines(docs: DataFrame, min_words: int = 3, share: float = 0.9) -> Dat
         x, y = found.select(F.col("h").alias("a"), F.col("line").alias("xa")), found.select(F.col("h").alias("b"), F.col("line").alias("xb"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_compare(share), "a long, b long")
 
-    found = linked_components(keys.select("key", "id"), facts_of, near, confirm, first=first, rounds=6)
+    found = linked_components(keys.select("key", "id"), facts_of, near, confirm, rounds=6)
     named = nodes.join(found, F.col("h") == F.col("node"), "left").select("h", "d0", "n", F.coalesce("component", "h").alias("group"))
     fuzzy = found.select(F.col("component").alias("group")).distinct().withColumn("fuzzy", F.lit(True))
     named = named.join(fuzzy, "group", "left").where("n > 1 or fuzzy")
