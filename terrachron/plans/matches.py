@@ -99,3 +99,15 @@ SELECT user_id, event_id, CAST(ceil(row_number() OVER (PARTITION BY user_id ORDE
 def q43_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events in batches of 25."""
     return matching.batches(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 25).drop("ts")
+
+
+@query("""
+WITH p AS (SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE) * 300, 3) AS lon, round(CAST(embedding[2] AS DOUBLE) * 150, 3) AS lat FROM embeddings),
+b AS (SELECT id, lon - 1 AS w, lat - 1 AS s, lon + 1 AS e, lat + 1 AS n FROM p)
+SELECT p.id AS a_id, b.id AS b_id FROM p JOIN b ON p.lon BETWEEN b.w AND b.e AND p.lat BETWEEN b.s AND b.n""")
+def q44_box_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in the boxes around all of them, by grid cells (q06 has the boxes of a tenth)."""
+    points = _xy(spark, sf_dir)
+    point = points.select("id", F.col("x").alias("w"), F.col("y").alias("s"), F.col("x").alias("e"), F.col("y").alias("n"))
+    box = points.select("id", (F.col("x") - 1).alias("w"), (F.col("y") - 1).alias("s"), (F.col("x") + 1).alias("e"), (F.col("y") + 1).alias("n"))
+    return spatial.boxes_join(point, box, 5.0)

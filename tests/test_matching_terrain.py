@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from terrachron.functions import segments
 from terrachron.operators import calibration, graph, matching, terrain
+from terrachron.registry import QUERIES
 
 
 def test_nearest_segment_is_that_of_brute_force(spark):
@@ -98,3 +99,13 @@ def test_acceptance(spark):
     got = {r.k: r.ok for r in rows.groupBy("k").agg(calibration.accepted(F.col("r"), 0.15).alias("ok")).collect()}
     assert got == {"a": True, "b": False, "c": False}
     assert float(rows.agg(calibration.exact_sum(F.col("r"), 2)).first()[0]) == 3.2
+
+
+def test_box_join_of_all_boxes(spark, tmp_path):
+    """Each row's box is joined, whatever its id."""
+    rows = [(i, [i * 0.002 - 0.05, (i % 7) * 0.003]) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    at = {i: (round(x * 300, 3), round(y * 150, 3)) for i, (x, y) in rows}
+    want = {(a, b) for a, (x, y) in at.items() for b, (u, v) in at.items() if u - 1 <= x <= u + 1 and v - 1 <= y <= v + 1}
+    got = [tuple(r) for r in QUERIES["q44_box_join_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {b for _, b in got} == set(at)
