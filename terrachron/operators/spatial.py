@@ -32,23 +32,30 @@ def boxes_join(a: DataFrame, b: DataFrame, size: float, most_cells: int = 4096)
 
 
 def neighbours(points: DataFrame, km: float) -> DataFrame:
-    """Ordered pairs (id, other, distance) of points (id, lon, lat) within km of each other, away from the poles and the antimeridian.
+    """Ordered pairs (id, other, distance) of points (id, lon, lat) within km of each other, also across the antimeridian and the poles.
 
-    Cells are as high as the distance; their width in longitude grows with the latitude of the band, so a point meets the
-    points of three bands in the cells that its own reach touches.
+    Cells are as high as the distance; each band of latitude is a whole turn of cells, as wide as the distance reaches at
+    its far edge, or one cell where that is half a turn. A point meets the points of three bands in the cells that its own
+    reach touches, counted modulo the turn.
     """
-    degrees = km / 111.0
+    degrees = min(km / 111.0, 180.0)
     band = F.floor(F.col("lat") / degrees)
 
-    def reach(b: Column) -> Column:  # degrees of longitude that km spans at the band's far edge
-        far = F.least(F.lit(89.0), F.greatest(F.abs(b), F.abs(b + 1)) * degrees)
-        return F.lit(degrees) / F.cos(F.radians(far))
+    def reach(b: Column) -> Column:  # degrees of longitude that km spans at the band's far edge, 180 at most
+        far = F.greatest(F.abs(b), F.abs(b + 1)) * degrees
+        share = F.sin(F.radians(F.lit(degrees / 2))) / F.cos(F.radians(far))
+        return F.when((far < 90) & (share < 1), 2 * F.degrees(F.asin(share))).otherwise(180.0)
 
-    home = points.withColumn("_band", band).withColumn("_cell", F.floor(F.col("lon") / reach(F.col("_band"))))
+    def turn(b: Column) -> Column:  # cells of the band
+        return F.when(reach(b) < 180, F.floor(360 / reach(b))).otherwise(F.lit(1).cast("long"))
+
+    own = turn(F.col("_band"))
+    cell = lambda x: F.floor((x + 180) * own / 360)
+    home = points.withColumn("_band", band).withColumn("_cell", F.pmod(cell(F.col("lon")), own))
     asked = points.select(F.col("id").alias("_id"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
     span = F.greatest(reach(F.col("_band")), reach(F.floor(F.col("_lat") / degrees)))
-    cell = lambda x: F.floor(x / reach(F.col("_band")))
-    asked = asked.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lon") - span), cell(F.col("_lon") + span))))
+    touched = F.transform(F.sequence(cell(F.col("_lon") - span), cell(F.col("_lon") + span)), lambda c: F.pmod(c, own))
+    asked = asked.withColumn("_cell", F.explode(F.array_distinct(touched)))
     pairs = asked.join(home, ["_band", "_cell"]).where(F.col("_id") != F.col("id"))
     distance = rank_distance_km(F.col("_lon"), F.col("_lat"), F.col("lon"), F.col("lat"))
     return pairs.withColumn("distance", distance).where(F.col("distance") <= km).select(F.col("_id").alias("id"), F.col("id").alias("other"), "distance")

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +96,20 @@ def test_functions(spark):
     assert not value(text.finds(F.lit("abc"), " ")) and value(text.finds(F.lit("A  b c"), "B C"))
     assert value(text.label_width(F.lit("ab漢"), 1.0, 2.0)) == 4.0
     assert [value(ranking.stage(F.lit(x), [9, 5, 1])) for x in (10, 5, 0)] == [1, 2, None]
+
+
+def test_neighbours_across_the_antimeridian_and_the_poles(spark):
+    rng = random.Random(9)
+    made = [(179.9, 0.0), (-179.9, 0.0), (180.0, 60.0), (-180.0, 60.5), (0.0, 90.0), (77.0, 89.5), (-103.0, 89.5), (10.0, -90.0), (170.0, -89.2), (-60.0, -89.9)]
+    made += [(rng.choice([-1, 1]) * rng.uniform(177, 180), rng.uniform(-85, 85)) for _ in range(150)]
+    made += [(rng.uniform(-180, 180), rng.choice([-1, 1]) * rng.uniform(84, 90)) for _ in range(150)]
+
+    def km(a, b):
+        (x, y), (u, v) = ([math.radians(c) for c in p] for p in (a, b))
+        h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2
+        return 12742.016 * math.asin(min(1, math.sqrt(h)))
+
+    for reach in (200.0, 220.0):
+        want = {(i, j) for i, a in enumerate(made) for j, b in enumerate(made) if i != j and km(a, b) <= reach}
+        got = [(r.id, r.other) for r in spatial.neighbours(spark.createDataFrame([(i, *p) for i, p in enumerate(made)], "id long, lon double, lat double"), reach).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and {(0, 1), (2, 3), (5, 6), (7, 8)} <= want
