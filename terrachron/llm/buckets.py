@@ -27,7 +27,7 @@ def _pairs_to_meet(apart: DataFrame) -> tuple[float, float]:
 def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, first: Callable[[str, str, str], Column] | None = None, rounds: int = 0) -> DataFrame:
     """(node, component) of the confirmed links among ids that share a key; nodes that are their component's least id are left out.
 
-    keys: (key, id). facts_of: a table of ids that share a key to (id, ...), what `near` compares, given the suffixes of
+    keys: (key, id), repeats allowed. facts_of: a table of ids that share a key to (id, ...), what `near` compares, given the suffixes of
     two sides. confirm: pairs (a, b) to the linked ones. links: (a, b) that hold already. first: given a key column and
     the suffixes, whether the key is the first that two ids share, so that they meet once. rounds: how often, at most,
     members that are still apart are first compared with one of their key, while that is less work than that all meet and each round halves it.
@@ -37,7 +37,7 @@ def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame
     large group of alike members costs two pairs for each, and one more for each round.
     """
     shared = materialise(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo <> hi"))
-    members = materialise(keys.join(small_side(shared.where("c > 2").select("key", "lo", "hi")), "key"))
+    members = materialise(keys.join(small_side(shared.where("c > 2").select("key", "lo", "hi")), "key").distinct())
     ends = members.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     stars = ends.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a <> b")
     pairs = materialise(stars.union(shared.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))).distinct())

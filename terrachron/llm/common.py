@@ -15,6 +15,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table: A-Z to a-z, everything else as it is.
 LOWER_TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
+#: Arrow's buffers come from the system's allocator, which gives a batch's memory back when the batch goes.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -32,22 +35,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[context.applicationId]
 
 
+def _write(df: DataFrame) -> str:
+    path = f"{shared_dir(df.sparkSession)}/tc-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends at files that outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tc-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df))
 
 
-#: A table of so many keys (about 50 MB once hashed) may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: A written table of so many bytes may be broadcast. Hashes and ids hardly compress; in memory it is a few times that.
+BROADCAST_BYTES = 16 << 20
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df written out, and marked for broadcast if it has `limit` rows at most; beyond, it is joined like any other table."""
-    df = materialise(df)
-    return F.broadcast(df) if df.count() <= limit else df
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df written out, and marked for broadcast if its files have `limit` bytes at most; beyond, it is joined like any other table."""
+    spark = df.sparkSession
+    path = _write(df)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    found = spark.read.schema(df.schema).parquet(path)
+    return F.broadcast(found) if size <= limit else found.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,10 +89,21 @@ def texts_in(batch: pa.RecordBatch, column: str, at_once: int = 1024):
         yield start, values.slice(start, at_once).to_pylist()
 
 
-def with_text(row: Column, text: Column, columns: list[str]) -> Column:
-    """A document's struct with another text, and with its length in n_chars where the documents have that column."""
-    same = row["text"].eqNullSafe(text)
-    changed = row.withField("text", text)
-    if "n_chars" in columns:
-        changed = changed.withField("n_chars", F.when(same, row["n_chars"]).otherwise(F.length(text)).cast("long"))
-    return changed
+def with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with another text, and with its length in n_chars where they have that column and the text has changed."""
+    same = F.col("text").eqNullSafe(text)
+    made = {"text": text}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return docs.withColumns(made)
+
+
+def document_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """What a row belongs to, as two longs: its document and its text.
+
+    A row without doc_id is a document by its text: equal texts without id are one document, below all usual ids. The
+    second one parts the rows of one document, so what is gathered for a row is bounded by that row's own text.
+    """
+    by_text = F.xxhash64(text)
+    own = F.lit(-(2**62)) - F.pmod(by_text, F.lit(2**62))
+    return F.coalesce(doc_id.cast("long"), own), by_text

@@ -4,7 +4,7 @@ Training texts are streamed through the automaton word by word; the longest matc
 windows (n consecutive item words, or a whole shorter item) end there. The words inside matched windows are hit.
 
 The automaton is built on the driver from one block of items at a time and broadcast. A block holds at most
-`block_words` words, so what is broadcast is bounded; a larger benchmark takes several blocks, each a pass over what the
+`block_words` words (70 MB for each 100,000), so what is broadcast is bounded; a larger benchmark takes several blocks, each a pass over what the
 pass before it has written.
 """
 
@@ -17,12 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from terrachron.llm.common import materialise, texts_in, with_text
+from terrachron.llm.common import materialise, with_text
 
 #: Bytes that end a word: all ASCII but digits and letters. A-Z become a-z first.
 NORMAL = bytes(32 if b < 0x30 or 0x3A <= b < 0x41 or 0x5B <= b < 0x61 or 0x7B <= b < 0x80 else b + 32 if 0x41 <= b < 0x5B else b for b in range(256))
 
 
+#: Item words of one block: its automaton takes about 70 MB for each 100,000 in a Python worker.
+BLOCK_WORDS = 200_000
+
+
 def item_words(text: str | None) -> list[bytes]:
     return [] if not text else text.encode("utf-8", "surrogatepass").translate(NORMAL).split()
 
@@ -97,6 +101,7 @@ class Automaton:
         n, link, length, nxt, cut, short, owners = self.window, self.link, self.length, self.next, self.cut, self.short, self.owners
         spans: list[tuple[int, int]] = []
         found: set = set()
+        at: set[int] = set()  # states that hold matched windows; their items are joined once, at the end
         state = size = 0
         for i, w in enumerate(map(self.ids.get, words)):
             if w is None:
@@ -112,7 +117,7 @@ class Automaton:
             if size >= n:
                 reach = size
                 # The last n words lie in the state or, if the match is longer there, on its suffix path.
-                found |= owners[cut[state]]
+                at.add(cut[state])
             if short[state]:
                 for m, keys in short[state]:
                     if m <= size:
@@ -123,7 +128,7 @@ class Automaton:
                 while spans and spans[-1][1] >= a:
                     a = min(a, spans.pop()[0])
                 spans.append((a, i + 1))
-        return spans, found
+        return spans, found.union(*(owners[v] for v in at))
 
 
 def build(items: dict, window: int) -> Automaton:
@@ -162,38 +167,46 @@ def _merged(spans: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[t
     return out
 
 
-def _scan(shared, keep_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+FOUND = "words long, hit long, spans binary, items array<long>"
+
+
+def _scan(shared):
+    """Texts, and the spans and items found by blocks before, to what FOUND has."""
+
+    def run(texts: pa.Array, spans_before: pa.Array, items_before: pa.Array) -> pa.Array:
         automaton = shared.value
-        for batch in batches:
-            before = batch.select(["_tc_spans", "_tc_items"]).to_pylist()
-            words_in, hits, spans, items = [], [], [], []
-            for start, texts in texts_in(batch, "_tc_text"):
-                for text, old in zip(texts, before[start:]):
-                    words = item_words(text)
-                    hit, keys = automaton.scan(words)
-                    hit = _merged(hit, np.frombuffer(old["_tc_spans"], "<i8").reshape(-1, 2).tolist())
-                    words_in.append(len(words))
-                    hits.append(sum(b - a for a, b in hit))
-                    spans.append(np.array(hit, "<i8").tobytes())
-                    items.append(sorted({*old["_tc_items"], *(k for k, _ in keys)}))
-            text = batch.column(1) if keep_text else pa.nulls(len(hits), pa.string())
-            out = [batch.column(0), text, pa.array(words_in, pa.int64()), pa.array(hits, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, names=["_tc_row", "_tc_text", "_tc_words", "_tc_hit", "_tc_spans", "_tc_items"])
+        words_in, hits, spans, items = [], [], [], []
+        for start in range(0, len(texts), 1024):
+            before = zip(*(x.slice(start, 1024).to_pylist() for x in (texts, spans_before, items_before)))
+            for text, old_spans, old_items in before:
+                words = item_words(text)
+                hit, keys = automaton.scan(words)
+                if old_spans:
+                    hit = _merged(hit, np.frombuffer(old_spans, "<i8").reshape(-1, 2).tolist())
+                words_in.append(len(words))
+                hits.append(sum(b - a for a, b in hit))
+                spans.append(np.array(hit, "<i8").tobytes())
+                items.append(sorted({*(old_items or ()), *(k for k, _ in keys)}))
+        out = [pa.array(words_in, pa.int64()), pa.array(hits, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(out, names=[c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
 
-def scan_documents(rows: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 1_000_000) -> DataFrame:
-    """rows (_tc_row: any struct, _tc_text) with _tc_words, _tc_hit, _tc_spans (from and to of each hit span, as int64) and _tc_items (ids)."""
-    schema = T.StructType([rows.schema["_tc_row"], *T.StructType.fromDDL("_tc_text string, _tc_words long, _tc_hit long, _tc_spans binary, _tc_items array<long>").fields])
-    out = rows.select("_tc_row", "_tc_text", F.lit(b"").alias("_tc_spans"), F.array().cast("array<long>").alias("_tc_items"))
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs with the struct _tc_found: words, hit, spans (from and to of each hit span, as int64), items (ids).
+
+    Only the text goes to Python. A null or empty text has no words and no hits; repeated rows get equal results; an
+    empty table gives no rows; all columns stay.
+    """
+    out = docs.withColumn("_tc_found", F.lit(None).cast(T.StructType.fromDDL(FOUND)))
     blocks = blocks_of(benchmark, block_words)
     block = next(blocks, {})
     while block is not None:
         after = next(blocks, None)
-        shared = rows.sparkSession.sparkContext.broadcast(build(block, window))
-        out = out.select("_tc_row", "_tc_text", "_tc_spans", "_tc_items").mapInArrow(_scan(shared, after is not None), schema)
+        shared = docs.sparkSession.sparkContext.broadcast(build(block, window))
+        scan = F.arrow_udf(_scan(shared), T.StructType.fromDDL(FOUND)).asNondeterministic()
+        out = out.withColumn("_tc_found", scan("text", "_tc_found.spans", "_tc_found.items"))
         if after is not None:
             out = materialise(out)
         block = after
@@ -204,46 +217,54 @@ def _digest(items: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.transform(F.array_distinct(items), lambda x: x.cast("string"))), ","), 256)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: tuple[int, int] = (1, 20), block_words: int = 1_000_000) -> DataFrame:
+def _contaminated(coverage: tuple[int, int]) -> Column:
+    hit, words = F.col("_tc_found.hit"), F.col("_tc_found.words")
+    return (hit > 0) & (coverage[1] * hit >= coverage[0] * words)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: tuple[int, int] = (1, 20), block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs (doc_id, text) judged against benchmark (item_id, text); one row for each row of docs.
 
     n_words, n_hit (words inside matched windows), n_items, items_sha256, contaminated: n_hit > 0 and
     coverage[1] * n_hit >= coverage[0] * n_words. A null text has no words; an item without id, text or words is
     no item; repeated items with one id count once. Other columns of docs are ignored.
     """
-    rows = docs.select(F.struct("doc_id").alias("_tc_row"), F.col("text").alias("_tc_text"))
-    found = scan_documents(rows, benchmark, window, block_words)
+    found = scan_documents(docs.select("doc_id", "text"), benchmark, window, block_words)
     return found.select(
-        F.col("_tc_row.doc_id").alias("doc_id"), F.col("_tc_words").alias("n_words"), F.col("_tc_hit").alias("n_hit"),
-        F.size("_tc_items").cast("long").alias("n_items"), _digest(F.col("_tc_items")).alias("items_sha256"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (coverage[1] * F.col("n_hit") >= coverage[0] * F.col("n_words")))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: tuple[int, int] = (1, 20), block_words: int = 1_000_000) -> DataFrame:
-    """docs without the documents that `contamination` finds contaminated; the others stay as they are."""
-    rows = docs.select(F.struct("*").alias("_tc_row"), F.col("text").alias("_tc_text"))
-    found = scan_documents(rows, benchmark, window, block_words)
-    return found.where(~((F.col("_tc_hit") > 0) & (coverage[1] * F.col("_tc_hit") >= coverage[0] * F.col("_tc_words")))).select("_tc_row.*")
-
-
-def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 1_000_000) -> DataFrame:
-    """docs with the words of every matched window cut out of the text (from the first word's start to the last one's end)."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if spans:
-                    data = text.encode("utf-8", "surrogatepass")
-                    at = [m.span() for m in word.finditer(data)]
-                    for a, b in reversed(np.frombuffer(spans, "<i8").reshape(-1, 2).tolist()):
-                        data = data[: at[a][0]] + data[at[b - 1][1] :]
-                    text = data.decode("utf-8", "surrogatepass")
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_tc_row", "_tc_text"])
-
-    rows = docs.select(F.struct("*").alias("_tc_row"), F.col("text").alias("_tc_text"))
-    found = scan_documents(rows, benchmark, window, block_words).select("_tc_row", F.col("_tc_row.text").alias("_tc_text"), "_tc_spans")
-    schema = T.StructType([rows.schema["_tc_row"], T.StructField("_tc_text", T.StringType())])
-    return found.mapInArrow(cut, schema).withColumn("_tc_row", with_text(F.col("_tc_row"), F.col("_tc_text"), docs.columns)).select("_tc_row.*")
+        "doc_id", F.col("_tc_found.words").alias("n_words"), F.col("_tc_found.hit").alias("n_hit"),
+        F.size("_tc_found.items").cast("long").alias("n_items"), _digest(F.col("_tc_found.items")).alias("items_sha256"), _contaminated(coverage).alias("contaminated"),
+    )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: tuple[int, int] = (1, 20), block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the documents that `contamination` finds contaminated; the others stay as they are.
+
+    A null or empty text is never contaminated. Repeated rows go or stay together, a null doc_id makes no difference,
+    an empty table gives no rows, an empty benchmark takes nothing out.
+    """
+    return scan_documents(docs, benchmark, window, block_words).where(~_contaminated(coverage)).drop("_tc_found")
+
+
+def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    out = []
+    for text, found in zip(texts.to_pylist(), spans.to_pylist()):
+        if found:
+            data = text.encode("utf-8", "surrogatepass")
+            at = [m.span() for m in word.finditer(data)]
+            for a, b in reversed(np.frombuffer(found, "<i8").reshape(-1, 2).tolist()):
+                data = data[: at[a][0]] + data[at[b - 1][1] :]
+            text = data.decode("utf-8", "surrogatepass")
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
+def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs with the words of every matched window cut out of the text (from the first word's start to the last one's end).
+
+    What stands between words (white space, punctuation) before and behind a span stays. Null and empty texts stay as
+    they are; n_chars follows the text where it changes; all rows and columns stay; an empty table gives no rows.
+    """
+    found = scan_documents(docs, benchmark, window, block_words)
+    cut = F.arrow_udf(_cut, "string").asNondeterministic()
+    return with_text(found.withColumn("_tc_left", cut("text", "_tc_found.spans")), F.col("_tc_left")).drop("_tc_left", "_tc_found")

@@ -1,11 +1,17 @@
-"""Fuzzy line deduplication: keys of word runs of normalised lines, a join on shared keys, edit similarity, components.
+"""Fuzzy line deduplication: pigeonhole blocks of normalised lines, a join on them, edit similarity, components.
 
 Lines are normalised (A-Z lower-cased, digits to 0, other ASCII to single spaces). Equal normalised lines are one
-node. A node's keys are hashes of runs of words, each of RUN characters or more, chosen by winnowing (the least hash of
-every window of starts; the window grows with the line up to WIDEST), and for lines of up to SHORT words also of the
-line without each one and each two of its words. So near copies meet if they share one run, wherever else they differ.
+node. A line's words are dealt by their place into BLOCKS blocks, each with a 32-bit fingerprint. Lines of equally many
+words that differ in two blocks at most have, by the pigeonhole principle, three in common: each three of the five
+(with the number of words) are a key. Lines of four or three words are keyed without each one of them. A word more or
+less moves all blocks behind it, so the first and the last half of a line are keys too. Every key holds half of a line
+or more, so a phrase that many lines share makes no bucket.
+
 Candidates within exact bounds of length and letter counts are confirmed by their edit similarity. Of a connected group
 of lines the occurrence in the document with the least doc_id, and there the first, stays.
+
+Votes of words in one 64-bit SimHash aren't used for the blocks: one word of ten flips 8 bits of 64 on average, so
+blocks of bits that are selective enough to join on lose nearly all near copies of ordinary lines (see the README).
 """
 
 from __future__ import annotations
@@ -19,23 +25,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from terrachron.llm.buckets import linked_components
-from terrachron.llm.common import BROADCAST_ROWS, materialise, mix, small_side, texts_in, with_text
+from terrachron.llm.common import document_key, materialise, mix, small_side, texts_in, with_text
 
 #: Digits to 0, A-Z to a-z, other ASCII to a space, but line feeds stay.
 NORMAL = bytes(48 if 0x30 <= b < 0x3A else b + 32 if 0x41 <= b < 0x5B else b if b >= 0x80 or 0x61 <= b < 0x7B or b == 10 else 32 for b in range(256))
 #: Words are hashed in blocks of so many bytes, texts are taken together up to so many.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 #: A random word for each byte, an odd base and its inverse: a word's hash is a polynomial of its bytes, mixed.
 BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 BASE = 0x9E3779B97F4A7C15
-#: Characters of a run of words, the widest window of starts, and the most words of a line that is also keyed without some of its words.
-RUN, WIDEST, SHORT = 18, 6, 8
+#: Blocks of a line, and the least words of a half that is a key.
+BLOCKS, HALF = 5, 3
 #: Letters to 16 classes, whose counts bound the edit distance; -1 isn't counted.
 CLASSES = np.full(256, -1, np.int8)
 for _i, _c in enumerate(b"etaoinshrdlucmfwypvbgkjqxz0"):
     CLASSES[_c] = _i if _i < 12 else 12 + _i % 4
-#: How many bits of a 64-bit SimHash candidates may differ by: all, as candidates don't depend on it.
-DISTANCE = 64
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -110,57 +114,44 @@ def _bounds(data: np.ndarray, starts: np.ndarray, line: np.ndarray, n: np.ndarra
     return size, length, np.minimum(counts, 255).astype(np.uint8).view("<i8")
 
 
-def line_keys(hashes: np.ndarray, size: np.ndarray, line: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the lines, and the line of each, in order of lines: word runs by winnowing, and short lines without one or two words."""
+def _sums(values: np.ndarray) -> np.ndarray:
+    """0 and the running sums, modulo 2 ** 64."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
+def line_blocks(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line: BLOCKS fingerprints of its words' blocks (the first n where it has fewer words); the keys of its halves, and the line of each of these."""
     words = mix(hashes, 7)
     first = np.cumsum(n) - n
-    reach = np.cumsum(size + 1)  # a word and the space behind it
-    # A run ends with the first word that brings it to RUN characters, within its line.
-    end = np.searchsorted(reach, reach - size - 1 + RUN + 1)
-    runs = end < (first + n)[line]
-    value = np.zeros(len(words), np.uint64)
-    at = np.flatnonzero(runs)
-    for i in range(int((end - np.arange(len(end)))[at].max()) + 1 if len(at) else 0):
-        now = at[at + i <= end[at]]
-        value[now] = mix(value[now] * np.uint64(BASE) + words[now + i])
-    # Starts with a run are the first ones of their line. One is chosen if it is the least of a window of starts.
-    value, of = value[at], line[at]
-    window = np.minimum(np.clip(n // 8, 1, WIDEST)[of], np.bincount(of, minlength=len(n))[of])
-    room = np.ones(len(at), np.int64)
-    for back in (True, False):
-        less = np.ones(len(at), bool)
-        for i in range(1, min(WIDEST, len(at))):
-            ahead = np.zeros(len(at), bool)
-            if back:
-                ahead[i:] = (of[:-i] == of[i:]) & (value[:-i] > value[i:])
-            else:
-                ahead[:-i] = (of[:-i] == of[i:]) & (value[i:] >= value[:-i])
-            less &= ahead
-            room += less
-    chosen = room >= window
-    keys, owners = [mix(value[chosen], 1)], [of[chosen]]
-    for k in range(2, SHORT + 1):
-        some = np.flatnonzero(n == k)
-        table = words[first[some][:, None] + np.arange(k)]
-        for left in {k - 1, max(k - 2, 3)} - {k}:
-            if left < 2:
-                continue
-            for kept in itertools.combinations(range(k), left):
-                total = np.zeros(len(some), np.uint64)
-                for j in kept:
-                    total = mix(total * np.uint64(BASE) + table[:, j])
-                keys.append(mix(total, 2))
-                owners.append(some)
-        # A line without a word meets one that has no such word.
-        if k > 2:
-            total = np.zeros(len(some), np.uint64)
-            for j in range(k):
-                total = mix(total * np.uint64(BASE) + table[:, j])
-            keys.append(mix(total, 2))
-            owners.append(some)
+    place = np.arange(len(words)) - np.repeat(first, n)
+    powers = _powers(BASE, max(1, int(n.max(initial=0))))
+    sums = _sums(words * powers[place])
+    parts = np.minimum(n, BLOCKS)
+    edge = [first + n * np.minimum(j, parts) // np.maximum(parts, 1) for j in range(BLOCKS + 1)]
+    blocks = [mix(sums[b] - sums[a], j + 11) >> np.uint64(32) for j, (a, b) in enumerate(zip(edge, edge[1:]))]
+    # Halves of h words: lines of n and n + 1 words have one h in common.
+    back = _sums(words * powers[np.repeat(n, n) - 1 - place])
+    keys, owners = [], []
+    for half, use in ((n // 2, n // 2 >= HALF), ((n - 1) // 2, (n % 2 == 0) & ((n - 1) // 2 >= HALF))):
+        of = np.flatnonzero(use)
+        h, a, b = half[of], first[of], (first + n)[of]
+        keys += [mix(sums[a + h] - sums[a] + h.astype(np.uint64), 21), mix(back[b] - back[b - h] + h.astype(np.uint64), 22)]
+        owners += [of, of]
     keys, owners = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return keys[order].view(np.int64), owners[order]
+    return np.stack(blocks, axis=1).astype(np.uint32).view(np.int32), keys[order].view(np.int64), owners[order]
+
+
+def keys_of(n: Column, blocks: Column, halves: Column) -> Column:
+    """The keys of a line: each three of five blocks; of fewer words all but one; and the halves."""
+
+    def each(count: int, left: int) -> Column:
+        return F.array(*(F.xxhash64(F.lit(i), n, *(blocks[j] for j in kept)) for i, kept in enumerate(itertools.combinations(range(count), left))))
+
+    own = F.when(n >= BLOCKS, each(BLOCKS, 3)).when(n == 4, each(4, 3)).when(n == 3, each(3, 2)).otherwise(F.array(F.xxhash64(n, blocks[0], blocks[1])))
+    return F.concat(own, halves)
 
 
 def _together(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -216,24 +207,28 @@ def similar(a: str, b: str, share: float) -> bool:
     return max(int(more[more > 0].sum()), -int(more[more < 0].sum())) <= most and edit_distance(a, b) <= most
 
 
+LINES = "doc long, th long, h long, n int, size long, c0 long, c1 long, blocks array<int>, halves array<long>"
+
+
 def _lines(min_words: int):
-    """Rows (doc, text) to (doc, h, size, c0, c1, keys): each long enough line of each text."""
+    """Rows (doc, th, text) to LINES: each long enough line of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
             for start, texts in texts_in(batch, "text", 512):
                 for first, group in _together(texts):
                     n, h, words, line, lines, data, starts = _features(group)
-                    owner = np.repeat(docs[start + first : start + first + len(group)], lines)
+                    owner = np.repeat(np.arange(start + first, start + first + len(group)), lines)
                     size, length, counts = _bounds(data, starts, line, n)
-                    use = n >= min_words
-                    keys, of = line_keys(words, size, line, n)
-                    mine = use[of]
+                    blocks, halves, of = line_blocks(words, n)
+                    use = np.flatnonzero(n >= min_words)
+                    mine = (n >= min_words)[of]
                     ends = np.cumsum(np.bincount(of[mine], minlength=len(n))[use])
-                    keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(keys[mine]))
-                    columns = [pa.array(owner[use], pa.int64()), pa.array(h[use]), pa.array(length[use]), *(pa.array(np.ascontiguousarray(counts[use, i])) for i in (0, 1)), keys]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "h", "size", "c0", "c1", "keys"])
+                    halves = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(halves[mine]))
+                    blocks = pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32) * BLOCKS), pa.array(blocks[use].reshape(-1)))
+                    columns = [*(pa.array(x[owner[use]], pa.int64()) for x in ids), pa.array(h[use]), pa.array(n[use], pa.int32()), pa.array(length[use]), *(pa.array(np.ascontiguousarray(counts[use, i])) for i in (0, 1)), blocks, halves]
+                    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in LINES.split(", ")])
 
     return run
 
@@ -260,10 +255,10 @@ def _compare(share: float):
 
 
 def _rewrite(min_words: int):
-    """Rows (row, text, groups of its lines) to the text without the lines that stand elsewhere or above."""
+    """A text and the groups of its lines to the text without the lines that stand elsewhere or above (null if it stays), its lines and those removed."""
 
-    def kept_lines(n: list[int], h: list[int], known: list[dict] | None) -> list[int]:
-        group = {g["h"]: (g["group"], g["gone"]) for g in known or ()}
+    def kept_lines(n: list[int], h: list[int], known: list[dict]) -> list[int]:
+        group = {g["h"]: (g["group"], g["gone"]) for g in known}
         seen, kept = set(), []
         for i, (words, x) in enumerate(zip(n, h)):
             if words >= min_words:
@@ -274,53 +269,45 @@ def _rewrite(min_words: int):
             kept.append(i)
         return kept
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, total, removed = [], [], []
-            for start, texts in texts_in(batch, "_tc_text", 512):
-                groups = batch.column(2).slice(start, len(texts)).to_pylist()
-                # A text without groups has no line that occurs twice, here or elsewhere.
-                some = [i for i, g in enumerate(groups) if g and texts[i] is not None]
-                kept_of: dict[int, list[int]] = {}
-                for first, data in _together([texts[i] for i in some]):
-                    n, h, _, _, lines = line_features(data)
-                    n, h, at = n.tolist(), h.tolist(), 0
-                    for i, size in zip(some[first:], lines.tolist()):
-                        kept_of[i] = kept_lines(n[at : at + size], h[at : at + size], groups[i])
-                        at += size
-                for i, text in enumerate(texts):
-                    size = 0 if text is None else text.count("\n") + 1
-                    kept = kept_of.get(i)
-                    gone = 0 if kept is None else size - len(kept)
-                    if gone:
-                        every = text.split("\n")
-                        text = "\n".join([every[k] for k in kept])
-                    out.append(text)
-                    total.append(size)
-                    removed.append(gone)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["_tc_row", "_tc_text", "_tc_lines", "_tc_removed"])
+    def run(every: pa.Array, every_groups: pa.Array) -> pa.Array:
+        out, total, removed = [], [], []
+        for start in range(0, len(every), 512):
+            texts, groups = every.slice(start, 512).to_pylist(), every_groups.slice(start, 512).to_pylist()
+            # A text without groups has no line that occurs twice, here or elsewhere.
+            some = [i for i, g in enumerate(groups) if g and texts[i] is not None]
+            kept_of: dict[int, list[int]] = {}
+            for first, data in _together([texts[i] for i in some]):
+                n, h, _, _, lines = line_features(data)
+                n, h, at = n.tolist(), h.tolist(), 0
+                for i, size in zip(some[first:], lines.tolist()):
+                    kept_of[i] = kept_lines(n[at : at + size], h[at : at + size], groups[i])
+                    at += size
+            for i, text in enumerate(texts):
+                size = 0 if text is None else text.count("\n") + 1
+                kept = kept_of.get(i)
+                gone = 0 if kept is None else size - len(kept)
+                if gone:
+                    lines_in = text.split("\n")
+                out.append("\n".join([lines_in[k] for k in kept]) if gone else None)
+                total.append(size)
+                removed.append(gone)
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["left", "lines", "removed"])
 
     return run
 
 
-def _document(docs: DataFrame) -> Column:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
-
-
 def remove_lines(docs: DataFrame, min_words: int = 3, share: float = 0.9) -> DataFrame:
-    """docs (each row as the struct _tc_row, with doc_id and text) with _tc_text (what is left), _tc_lines and _tc_removed.
+    """docs with _tc_left (the text that is left), _tc_lines and _tc_removed.
 
     Lines end at line feeds. Lines of fewer than `min_words` normalised words always stay. A null text stays null, an
-    empty one empty. Rows with one doc_id are one document: a line that they share stays in each. A null doc_id counts
-    as the least long. An empty table gives no rows.
+    empty one empty. Rows with one doc_id are one document: a line that they share stays in each. A row without doc_id
+    is a document by its text, as `document_key` says. An empty table gives no rows.
     """
-    doc = _document(docs)
-    lines = materialise(docs.select(doc.alias("doc"), "text").mapInArrow(_lines(min_words), "doc long, h long, size long, c0 long, c1 long, keys array<long>"))
-    nodes = materialise(lines.groupBy("h").agg(*(F.min(c).alias(c) for c in ("size", "c0", "c1")), F.min("doc").alias("d0"), F.count("*").alias("n")))
-
-    # Equal lines have equal keys: those of a line's one occurrence, or of all without repeats.
-    once = lines.select("h", F.explode("keys").alias("key"))
-    keys = once.groupBy("key", "h").agg(F.lit(1).alias("one")).select("key", F.col("h").alias("id"))
+    doc, th = document_key(F.col("doc_id"), F.col("text"))
+    lines = materialise(docs.select(doc.alias("doc"), th.alias("th"), "text").mapInArrow(_lines(min_words), LINES))
+    # A line is read again from one text of the least document that has it.
+    nodes = materialise(lines.groupBy("h").agg(*(F.min(c).alias(c) for c in ("size", "c0", "c1")), F.min("doc").alias("d0"), F.min_by("th", "doc").alias("t0"), F.count("*").alias("n")))
+    keys = lines.select(F.explode(keys_of(F.col("n"), F.col("blocks"), F.col("halves"))).alias("key"), F.col("h").alias("id"))
 
     def facts_of(ids: DataFrame) -> DataFrame:
         return materialise(nodes.select(F.col("h").alias("id"), "size", "c0", "c1").join(ids, "id", "left_semi"))
@@ -336,35 +323,44 @@ def remove_lines(docs: DataFrame, min_words: int = 3, share: float = 0.9) -> Dat
 
     def confirm(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-        asked = ids.join(nodes, "h").groupBy("d0").agg(F.collect_list("h").alias("wanted"))
-        found = docs.select(doc.alias("d0"), "text").join(small_side(asked, BROADCAST_ROWS // 8), "d0").select("text", "wanted").mapInArrow(_wanted, "h long, line string")
+        # The list of a text has that text's own lines.
+        asked = ids.join(nodes, "h").groupBy("d0", "t0").agg(F.collect_list("h").alias("wanted"))
+        found = docs.select(doc.alias("d0"), th.alias("t0"), "text").join(small_side(asked), ["d0", "t0"]).select("text", "wanted").mapInArrow(_wanted, "h long, line string")
         found = materialise(found.dropDuplicates(["h"]))
         x, y = found.select(F.col("h").alias("a"), F.col("line").alias("xa")), found.select(F.col("h").alias("b"), F.col("line").alias("xb"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_compare(share), "a long, b long")
 
-    found = linked_components(keys.select("key", "id"), facts_of, near, confirm, rounds=6)
+    found = linked_components(keys, facts_of, near, confirm, rounds=6)
     named = nodes.join(found, F.col("h") == F.col("node"), "left").select("h", "d0", "n", F.coalesce("component", "h").alias("group"))
     fuzzy = found.select(F.col("component").alias("group")).distinct().withColumn("fuzzy", F.lit(True))
     named = named.join(fuzzy, "group", "left").where("n > 1 or fuzzy")
     least = named.where("fuzzy").groupBy("group").agg(F.min("d0").alias("g0"))
     named = named.join(least, "group", "left").select("h", "group", F.coalesce("g0", "d0").alias("stays"))
-    per_doc = lines.select("doc", "h").join(named, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "group", (F.col("doc") != F.col("stays")).alias("gone"))).alias("_tc_groups"))
-    rows = docs.select(F.struct("*").alias("_tc_row"), doc.alias("doc"), F.col("text").alias("_tc_text"))
-    schema = T.StructType([rows.schema["_tc_row"], *T.StructType.fromDDL("_tc_text string, _tc_lines long, _tc_removed long").fields])
-    return rows.join(per_doc, "doc", "left").select("_tc_row", "_tc_text", "_tc_groups").mapInArrow(_rewrite(min_words), schema)
+    per_text = lines.select("doc", "th", "h").join(named, "h").select(F.col("doc").alias("_tc_doc"), F.col("th").alias("_tc_th"), F.struct("h", "group", (F.col("doc") != F.col("stays")).alias("gone")).alias("g"))
+    # Rows with one text have its lines several times: they are gathered once.
+    per_text = per_text.groupBy("_tc_doc", "_tc_th").agg(F.collect_set("g").alias("_tc_groups"))
+    rows = docs.withColumns({"_tc_doc": doc, "_tc_th": th}).join(per_text, ["_tc_doc", "_tc_th"], "left")
+    rewritten = F.arrow_udf(_rewrite(min_words), T.StructType.fromDDL("left string, lines long, removed long")).asNondeterministic()
+    out = rows.withColumn("_tc_new", rewritten("text", "_tc_groups"))
+    found = {"_tc_left": F.coalesce("_tc_new.left", "text"), "_tc_lines": F.col("_tc_new.lines"), "_tc_removed": F.col("_tc_new.removed")}
+    return out.withColumns(found).drop("_tc_doc", "_tc_th", "_tc_groups", "_tc_new")
 
 
 def line_report(docs: DataFrame, min_words: int = 3, share: float = 0.9) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines, n_removed, n_chars and text_crc32 of what is left."""
     found = remove_lines(docs.select("doc_id", "text"), min_words, share)
     return found.select(
-        F.col("_tc_row.doc_id").alias("doc_id"), F.col("_tc_lines").alias("n_lines"), F.col("_tc_removed").alias("n_removed"),
-        F.length("_tc_text").cast("long").alias("n_chars"), F.crc32("_tc_text").alias("text_crc32"),
+        "doc_id", F.col("_tc_lines").alias("n_lines"), F.col("_tc_removed").alias("n_removed"),
+        F.length("_tc_left").cast("long").alias("n_chars"), F.crc32("_tc_left").alias("text_crc32"),
     )
 
 
 def without_repeated_lines(docs: DataFrame, min_words: int = 3, share: float = 0.9) -> DataFrame:
-    """docs with repeated lines cut out of the text. A document that lost lines and has only white space left goes."""
+    """docs with repeated lines cut out of the text. A document that lost lines and has only white space left goes.
+
+    Null and empty texts lose nothing and stay; what counts as one document is said at `remove_lines`. All columns
+    stay; n_chars follows the text where it changes. An empty table gives no rows.
+    """
     found = remove_lines(docs, min_words, share)
-    left = (F.col("_tc_removed") == 0) | (F.trim(F.regexp_replace("_tc_text", "\\s+", " ")) != "")
-    return found.where(left).select(with_text(F.col("_tc_row"), F.col("_tc_text"), docs.columns).alias("r")).select("r.*")
+    left = (F.col("_tc_removed") == 0) | (F.trim(F.regexp_replace("_tc_left", "\\s+", " ")) != "")
+    return with_text(found.where(left), F.col("_tc_left")).drop("_tc_left", "_tc_lines", "_tc_removed")

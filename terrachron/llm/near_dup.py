@@ -187,7 +187,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 1
 
     def near(a: str, b: str) -> Column:
         sizes = [F.col(f"n{a}"), F.col(f"n{b}")]
-        differing = sum((_differing(F.col(f"sketch{a}")[i], F.col(f"sketch{b}")[i], (2, 1), 0x1111111111111111) for i in range(SKETCH_LANES)), F.lit(0))
+        # Lane by lane in a loop: written out, the generated code would be too large to compile.
+        lanes = F.zip_with(f"sketch{a}", f"sketch{b}", lambda x, y: _differing(x, y, (2, 1), 0x1111111111111111))
+        differing = F.aggregate(lanes, F.lit(0), lambda total, n: total + n)
         return (share[1] * F.least(*sizes) >= share[0] * F.greatest(*sizes)) & (differing <= sketch_distance)
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -201,6 +203,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 1
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """docs without the rows whose doc_id is not the least of its component; all columns stay."""
+    """docs without the rows whose doc_id is not the least of its component; all columns stay.
+
+    Rows with a null doc_id and rows without words stay, and so do all rows of a doc_id that stays. An empty table
+    gives no rows.
+    """
     gone = near_duplicates(docs, k, share).where(~F.col("kept")).select(F.col("doc_id").alias("_tc_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("_tc_gone"), "left_anti")

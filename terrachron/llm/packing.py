@@ -28,8 +28,8 @@ SETTLED = bytes([10, *range(0x20, 0x7F), *range(0xA1, 0x100)])
 UNSETTLED = re.compile("[^\\n\\x20-\\x7e\\xa1-\\u024f]")
 #: A word of letters and the punctuation behind it: two parts to the pre-tokenizer.
 PUNCTUATED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)").fullmatch
-#: So many words (about 300 MB) are remembered by a Python worker; beyond, its memory starts anew.
-REMEMBERED = 1_500_000
+#: A Python worker remembers the last so many words, and twice as many at most (about 60 MB each time).
+REMEMBERED = 400_000
 
 
 class ByteBpe:
@@ -49,6 +49,7 @@ class ByteBpe:
         self.tokenizer.encode_special_tokens = as_text
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before `known` was full
         self.heads: dict[str, bytes] = {}  # without a space before
 
     def _by_word(self, text: str) -> bool:
@@ -94,13 +95,15 @@ class ByteBpe:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.heads.clear()
+            self.known, self.older, self.heads = {}, self.known, {}
         words = [t.split(" ") if self._by_word(t) else [] for t in texts]
         found = [list(map(self.known.get, w[1:])) for w in words]
         gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
         if new := {w[i + 1] for w, gap in zip(words, gaps) for i in gap}:
-            self._add(list(new))
+            again = {w: ids for w in new if (ids := self.older.get(w)) is not None}
+            self.known.update(again)
+            if len(again) < len(new):
+                self._add([w for w in new if w not in again])
         out = []
         for text, w, f, gap in zip(texts, words, found, gaps):
             for i in gap:

@@ -1,6 +1,6 @@
 """Quality classifier: a sparse ensemble of rules over text statistics.
 
-Statistics of whole texts are computed in Arrow batches. A random forest of shallow trees is grown on a bounded
+Statistics of whole texts are computed in Arrow batches, to which only the text goes. A random forest of shallow trees is grown on a bounded
 sample of labelled texts; each path from a root to a node is a rule, a conjunction of thresholds. A lasso logistic
 regression over the rules keeps a few of them. The model is compiled into one Spark column expression over the
 statistics, which scores every text inside the JVM.
@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from terrachron.llm.common import materialise, texts_in
+from terrachron.llm.common import materialise
 
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "bangs", "pipes", "marks", "stops", "wide",
@@ -50,17 +49,19 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [statistics(t) for _, texts in texts_in(batch, "_tc_text") for t in texts]
-        columns = list(zip(*rows)) if rows else [[]] * len(STATISTICS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in columns)], names=["_tc_row", *STATISTICS])
+STRUCT = T.StructType([T.StructField(s, T.DoubleType()) for s in STATISTICS])
 
 
-def with_statistics(rows: DataFrame) -> DataFrame:
-    """rows (_tc_row: any struct, _tc_text) to _tc_row and a column for each statistic."""
-    schema = T.StructType([rows.schema["_tc_row"], *(T.StructField(s, T.DoubleType()) for s in STATISTICS)])
-    return rows.select("_tc_row", "_tc_text").mapInArrow(_stats, schema)
+def _statistics(texts: pa.Array) -> pa.Array:
+    rows = [statistics(t) for start in range(0, len(texts), 1024) for t in texts.slice(start, 1024).to_pylist()]
+    columns = list(zip(*rows)) if rows else [[]] * len(STATISTICS)
+    return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], names=list(STATISTICS))
+
+
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """docs with the struct _tc_stats. Only the text goes to Python; the other columns stay where they are."""
+    # Not deterministic to the optimizer, so that it is computed once and not again for each use.
+    return docs.withColumn("_tc_stats", F.arrow_udf(_statistics, STRUCT).asNondeterministic()("text"))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, whether above, threshold)
@@ -89,7 +90,7 @@ def tree_paths(description: str) -> set[Rule]:
 def rule_column(rule: Rule) -> Column:
     out = F.lit(True)
     for f, above, t in rule:
-        out = out & ((F.col(STATISTICS[f]) > t) if above else (F.col(STATISTICS[f]) <= t))
+        out = out & ((F.col("_tc_stats")[STATISTICS[f]] > t) if above else (F.col("_tc_stats")[STATISTICS[f]] <= t))
     return out
 
 
@@ -113,19 +114,21 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labels: int = 20_000, trees: int = 24, depth: int = 3, penalty: float = 0.001) -> RuleModel:
     """Learns from labelled rows that aren't held out: of all of them, the max_labels with the least hash of their doc_id.
 
-    Labels other than 0 and 1 and rows without doc_id teach nothing. With one class only, the score is a constant.
+    Labels other than 0 and 1 and rows without doc_id teach nothing. Of rows that share a doc_id, the least text teaches.
+    With one class only, the score is a constant.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_tc_id"), F.col(label).cast("double").alias("_tc_label"))
     known = materialise(known.orderBy(F.xxhash64("_tc_id"), "_tc_id", "_tc_label").limit(max_labels))
     # At most max_labels rows of two numbers are broadcast.
-    rows = docs.join(F.broadcast(known), docs["doc_id"] == F.col("_tc_id")).select(F.struct("_tc_label").alias("_tc_row"), F.col("text").alias("_tc_text"))
-    sample = materialise(with_statistics(rows).select(F.col("_tc_row._tc_label").alias("label"), *STATISTICS))
+    rows = docs.join(F.broadcast(known), docs["doc_id"] == F.col("_tc_id")).groupBy("_tc_id", "_tc_label").agg(F.min("text").alias("text"))
+    rows = rows.select(F.col("_tc_label").alias("label"), "text")
+    sample = materialise(with_statistics(rows).select("label", "_tc_stats"))
     ones, n = sample.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("*")).first()
     if ones in (0, n):
         share = (ones + 1) / (n + 2)
         return RuleModel(math.log(share / (1 - share)), {})
     sample = sample.repartition(4)
-    vectors = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(sample)
+    vectors = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(sample.select("label", "_tc_stats.*"))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", maxBins=64, seed=7).fit(vectors)
     rules = sorted(set().union(*(tree_paths(t.toDebugString) for t in forest.trees)))
     if not rules:
@@ -144,13 +147,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     isn't held out. An empty table gives no rows; other columns are ignored.
     """
     model = fit(docs, labels, **options)
-    rows = with_statistics(docs.select(F.struct("doc_id").alias("_tc_row"), F.col("text").alias("_tc_text")))
-    out = rows.select(F.col("_tc_row.doc_id").alias("doc_id"), model.score().alias("score"))
+    out = with_statistics(docs.select("doc_id", "text")).select("doc_id", model.score().alias("score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose score is below 0.5; all columns stay."""
+    """docs without the rows whose score is below 0.5; all columns stay as they are.
+
+    A null or empty text is judged by the statistics 0, like any text of white space. Repeated rows stay or go
+    together, a null doc_id makes no difference, an empty table gives no rows. Without a usable label
+    every score is 0.5 and all rows stay; with labels of one class only, all rows get that verdict.
+    """
     model = fit(docs, labels, **options)
-    rows = with_statistics(docs.select(F.struct("*").alias("_tc_row"), F.col("text").alias("_tc_text")))
-    return rows.where(model.score() >= 0.5).select("_tc_row.*")
+    return with_statistics(docs).where(model.score() >= 0.5).drop("_tc_stats")

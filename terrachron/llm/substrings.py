@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from terrachron.llm.common import mix, texts_in, with_text
+from terrachron.llm.common import document_key, materialise, mix, texts_in, with_text
 
 #: The gear table: a random 32-bit word for each byte.
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -65,24 +65,25 @@ def _digests(data: bytes, ends: list[int]) -> list[int]:
 
 
 def _chunks(words: int):
-    """Rows (doc, text) to a row (digest, doc) for each distinct chunk of each text."""
+    """Rows (doc, th, text) to a row (digest, doc, th) for each distinct chunk of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
             for first, texts in texts_in(batch, "text", 512):
                 found = []
                 for text in texts:
                     data = (text or "").encode("utf-8", "surrogatepass")
                     found.append(list(set(_digests(data, cuts(data, words)))))
-                owner = np.repeat(docs[first : first + len(found)], [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array([d for f in found for d in f], pa.int64()), pa.array(owner, pa.int64())], names=["digest", "doc"])
+                sizes = [len(f) for f in found]
+                owners = [pa.array(np.repeat(x[first : first + len(found)], sizes), pa.int64()) for x in ids]
+                yield pa.RecordBatch.from_arrays([pa.array([d for f in found for d in f], pa.int64()), *owners], names=["digest", "doc", "th"])
 
     return run
 
 
 def _rewrite(words: int, min_words: int):
-    """Rows (row, text, digests that stand in an earlier document) to the text without long runs of repeats, and the runs."""
+    """A text and its digests that stand in an earlier document to the text without long runs of repeats (null if it stays), and the runs."""
 
     def repeats(data: bytes, earlier: list[int] | None) -> list[list[int]]:
         ends = cuts(data, words)
@@ -96,51 +97,55 @@ def _rewrite(words: int, min_words: int):
             seen.add(d)
         return [r for r in runs if len(data[r[0] : r[1]].split()) >= min_words]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans, sizes, removed = [], [], [], []
-            for first, part in texts_in(batch, "_tc_text", 256):
-                for text, earlier in zip(part, batch.column(2).slice(first, len(part)).to_pylist()):
-                    data = (text or "").encode("utf-8", "surrogatepass")
-                    runs = repeats(data, earlier)
-                    if runs:
-                        bounds = [0, *(x for r in runs for x in r), len(data)]
-                        text = b"".join(data[a:b] for a, b in zip(bounds[::2], bounds[1::2])).decode("utf-8", "surrogatepass")
-                    texts.append(text)
-                    spans.append([x for r in runs for x in r])
-                    sizes.append(len(data))
-                    removed.append(sum(b - a for a, b in runs))
-            out = [batch.column(0), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, names=["_tc_row", "_tc_text", "_tc_spans", "_tc_bytes", "_tc_removed"])
+    def run(every: pa.Array, every_earlier: pa.Array) -> pa.Array:
+        left, spans, sizes, removed = [], [], [], []
+        for start in range(0, len(every), 256):
+            for text, earlier in zip(every.slice(start, 256).to_pylist(), every_earlier.slice(start, 256).to_pylist()):
+                data = (text or "").encode("utf-8", "surrogatepass")
+                runs = repeats(data, earlier)
+                bounds = [0, *(x for r in runs for x in r), len(data)]
+                left.append(b"".join(data[a:b] for a, b in zip(bounds[::2], bounds[1::2])).decode("utf-8", "surrogatepass") if runs else None)
+                spans.append([x for r in runs for x in r])
+                sizes.append(len(data))
+                removed.append(sum(b - a for a, b in runs))
+        return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(spans, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], names=["left", "spans", "bytes", "removed"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 16, words: int = 4) -> DataFrame:
-    """docs (each row as the struct _tc_row, with doc_id and text) with _tc_text (what is left), _tc_spans (removed bytes: from, to, from, ...), _tc_bytes and _tc_removed.
+    """docs with _tc_left (the text that is left), _tc_spans (removed bytes: from, to, from, ...), _tc_bytes and _tc_removed.
 
-    `words`: so many words lie between two possible cuts on average. A null text stays null, an empty one empty. Rows with one doc_id are one
-    document: what they have in common is kept. A null doc_id counts as the least long. An empty table gives no rows.
+    `words`: so many words lie between two possible cuts on average. A null text stays null, an empty one empty. Rows
+    with one doc_id are one document: what they have in common is kept. A row without doc_id is a document by its text,
+    as `document_key` says. An empty table gives no rows.
     Digests have 64 bits; a run needs several equal digests in a row, so a chance collision removes nothing.
     """
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    chunks = docs.select(doc.alias("doc"), "text").mapInArrow(_chunks(words), "digest long, doc long")
+    doc, th = document_key(F.col("doc_id"), F.col("text"))
+    chunks = materialise(docs.select(doc.alias("doc"), th.alias("th"), "text").mapInArrow(_chunks(words), "digest long, doc long, th long"))
     shared = chunks.groupBy("digest").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1")).where("d0 <> d1")
-    earlier = chunks.join(shared.select("digest", "d0"), "digest").where("doc <> d0").groupBy("doc").agg(F.collect_set("digest").alias("_tc_earlier"))
-    rows = docs.select(F.struct("*").alias("_tc_row"), doc.alias("doc"), F.col("text").alias("_tc_text"))
-    schema = T.StructType([rows.schema["_tc_row"], *T.StructType.fromDDL("_tc_text string, _tc_spans array<long>, _tc_bytes long, _tc_removed long").fields])
-    return rows.join(earlier, "doc", "left").select("_tc_row", "_tc_text", "_tc_earlier").mapInArrow(_rewrite(words, min_words), schema)
+    # The list of a text has that text's own digests.
+    earlier = chunks.join(shared.select("digest", "d0").hint("merge"), "digest").where("doc <> d0").groupBy(F.col("doc").alias("_tc_doc"), F.col("th").alias("_tc_th")).agg(F.collect_set("digest").alias("_tc_earlier"))
+    rows = docs.withColumns({"_tc_doc": doc, "_tc_th": th}).join(earlier, ["_tc_doc", "_tc_th"], "left")
+    rewritten = F.arrow_udf(_rewrite(words, min_words), T.StructType.fromDDL("left string, spans array<long>, bytes long, removed long")).asNondeterministic()
+    out = rows.withColumn("_tc_new", rewritten("text", "_tc_earlier"))
+    found = {"_tc_left": F.coalesce("_tc_new.left", "text"), **{f"_tc_{c}": F.col(f"_tc_new.{c}") for c in ("spans", "bytes", "removed")}}
+    return out.withColumns(found).drop("_tc_doc", "_tc_th", "_tc_earlier", "_tc_new")
 
 
 def without_repeats(docs: DataFrame, min_words: int = 16, words: int = 4) -> DataFrame:
-    """docs with repeated passages cut out of the text; all rows and columns stay."""
-    return remove_repeats(docs, min_words, words).select(with_text(F.col("_tc_row"), F.col("_tc_text"), docs.columns).alias("r")).select("r.*")
+    """docs with repeated passages cut out of the text; all rows and columns stay, n_chars follows the text where it changes.
+
+    Null and empty texts stay as they are; what counts as one document is said at `remove_repeats`. An empty table
+    gives no rows.
+    """
+    return with_text(remove_repeats(docs, min_words, words), F.col("_tc_left")).drop("_tc_left", "_tc_spans", "_tc_bytes", "_tc_removed")
 
 
 def repeat_report(docs: DataFrame, min_words: int = 16, words: int = 4) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, spans (from, to, ...), text_crc32 of what is left, changed."""
     found = remove_repeats(docs.select("doc_id", "text"), min_words, words)
     return found.select(
-        F.col("_tc_row.doc_id").alias("doc_id"), F.col("_tc_bytes").alias("n_bytes"), F.col("_tc_removed").alias("n_removed"),
-        F.col("_tc_spans").alias("spans"), F.crc32("_tc_text").alias("text_crc32"), (F.col("_tc_removed") > 0).alias("changed"),
+        "doc_id", F.col("_tc_bytes").alias("n_bytes"), F.col("_tc_removed").alias("n_removed"),
+        F.col("_tc_spans").alias("spans"), F.crc32("_tc_left").alias("text_crc32"), (F.col("_tc_removed") > 0).alias("changed"),
     )
