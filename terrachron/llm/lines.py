@@ -1,11 +1,11 @@
 """Fuzzy line deduplication: pigeonhole blocks of normalised lines, a join on them, edit similarity, components.
 
 Lines are normalised (A-Z lower-cased, digits to 0, other ASCII to single spaces). Equal normalised lines are one
-node. A line's words are dealt by their place into BLOCKS blocks, each with a 32-bit fingerprint. Lines of equally many
-words that differ in two blocks at most have, by the pigeonhole principle, three in common: each three of the five
-(with the number of words) are a key. Lines of four or three words are keyed without each one of them. A word more or
-less moves all blocks behind it, so the first and the last half of a line are keys too. Every key holds half of a line
-or more, so a phrase that many lines share makes no bucket.
+node. A line's words are dealt by their place into four blocks, each with a 32-bit fingerprint. Lines of equally many
+words whose differences lie in two blocks have, by the pigeonhole principle, the two others in common: each two blocks
+are a key. Lines of up to SHORT words are keyed without each one word instead. A word more or less moves all blocks
+behind it, so the first and the last half are keys whatever the number of words. A key holds half of a line or more,
+so a phrase that many lines share makes no bucket.
 
 Candidates within exact bounds of length and letter counts are confirmed by their edit similarity. Of a connected group
 of lines the occurrence in the document with the least doc_id, and there the first, stays.
@@ -34,10 +34,10 @@ BLOCK = 1 << 18
 #: A random word for each byte, an odd base and its inverse: a word's hash is a polynomial of its bytes, mixed.
 BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 BASE = 0x9E3779B97F4A7C15
-#: Blocks of a line, and the least words of a half that is a key.
-BLOCKS, HALF = 5, 3
-#: Letters to 16 classes, whose counts bound the edit distance; -1 isn't counted.
-CLASSES = np.full(256, -1, np.int8)
+#: Blocks of a line; the most words of a line that is keyed word by word; and the least words of a half that is a key.
+BLOCKS, SHORT, HALF = 4, 7, 3
+#: Letters to 16 classes, whose counts bound the edit distance; 16 isn't counted.
+CLASSES = np.full(256, 16, np.int8)
 for _i, _c in enumerate(b"etaoinshrdlucmfwypvbgkjqxz0"):
     CLASSES[_c] = _i if _i < 12 else 12 + _i % 4
 
@@ -101,17 +101,18 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return _features(texts)[:5]
 
 
-def _bounds(data: np.ndarray, starts: np.ndarray, line: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of each word; characters of each line, its words joined by one space; letter counts of each line, 16 bytes that stop at 255."""
+def _bounds(data: np.ndarray, starts: np.ndarray, line: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of each line, its words joined by one space; letter counts of each line, 16 bytes that stop at 255."""
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(len(n), np.int64), np.zeros((len(n), 2), np.int64)
-    size = np.add.reduceat((data > 32) & (data & 0xC0 != 0x80), starts, dtype=np.int64)
+        return np.zeros(len(n), np.int64), np.zeros((len(n), 2), np.int64)
+    size = np.add.reduceat((data > 32) & (data & 0xC0 != 0x80), starts, dtype=np.int32)
     length = np.bincount(line, size, len(n)).astype(np.int64) + np.maximum(n - 1, 0)
-    kind = CLASSES[data]
-    at = np.flatnonzero(kind >= 0)
-    owner = np.cumsum(data == 10)[at]
-    counts = np.bincount(owner * 16 + kind[at], minlength=16 * len(n)).reshape(-1, 16)
-    return size, length, np.minimum(counts, 255).astype(np.uint8).view("<i8")
+    # Seventeen counters for each line; the last one takes what isn't counted.
+    counter = np.cumsum(data == 10, dtype=np.int64)
+    counter *= 17
+    counter += CLASSES[data]
+    counts = np.bincount(counter, minlength=17 * len(n)).reshape(-1, 17)[:, :16]
+    return length, np.ascontiguousarray(np.minimum(counts, 255).astype(np.uint8)).view("<i8")
 
 
 def _sums(values: np.ndarray) -> np.ndarray:
@@ -121,16 +122,17 @@ def _sums(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_blocks(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line: BLOCKS fingerprints of its words' blocks (the first n where it has fewer words); the keys of its halves, and the line of each of these."""
+def line_blocks(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many blocks each line has, their fingerprints; the keys of halves, and the line of each of these."""
     words = mix(hashes, 7)
     first = np.cumsum(n) - n
     place = np.arange(len(words)) - np.repeat(first, n)
     powers = _powers(BASE, max(1, int(n.max(initial=0))))
     sums = _sums(words * powers[place])
-    parts = np.minimum(n, BLOCKS)
-    edge = [first + n * np.minimum(j, parts) // np.maximum(parts, 1) for j in range(BLOCKS + 1)]
-    blocks = [mix(sums[b] - sums[a], j + 11) >> np.uint64(32) for j, (a, b) in enumerate(zip(edge, edge[1:]))]
+    parts = np.where(n <= SHORT, n, BLOCKS)
+    j = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    at, size, of = np.repeat(first, parts), np.repeat(n, parts), np.repeat(parts, parts)
+    blocks = mix(sums[at + size * (j + 1) // of] - sums[at + size * j // of] + j.astype(np.uint64), 11) >> np.uint64(32)
     # Halves of h words: lines of n and n + 1 words have one h in common.
     back = _sums(words * powers[np.repeat(n, n) - 1 - place])
     keys, owners = [], []
@@ -141,17 +143,23 @@ def line_blocks(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarr
         owners += [of, of]
     keys, owners = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return np.stack(blocks, axis=1).astype(np.uint32).view(np.int32), keys[order].view(np.int64), owners[order]
+    return parts, blocks.astype(np.uint32).view(np.int32), keys[order].view(np.int64), owners[order]
 
 
 def keys_of(n: Column, blocks: Column, halves: Column) -> Column:
-    """The keys of a line: each three of five blocks; of fewer words all but one; and the halves."""
+    """The keys of a line: of up to SHORT words all but each one; of more, one block of either half; and the halves. None with fewer than three words."""
 
-    def each(count: int, left: int) -> Column:
-        return F.array(*(F.xxhash64(F.lit(i), n, *(blocks[j] for j in kept)) for i, kept in enumerate(itertools.combinations(range(count), left))))
+    def each(kept: list[tuple[int, ...]]) -> Column:
+        return F.array(*(F.xxhash64(F.lit(i), n, *(blocks[j] for j in some)) for i, some in enumerate(kept)))
 
-    own = F.when(n >= BLOCKS, each(BLOCKS, 3)).when(n == 4, each(4, 3)).when(n == 3, each(3, 2)).otherwise(F.array(F.xxhash64(n, blocks[0], blocks[1])))
-    return F.concat(own, halves)
+    own = F.when(n > SHORT, each([(0, 2), (0, 3), (1, 2), (1, 3)]))
+    for k in range(3, SHORT + 1):
+        own = own.when(n == k, each(list(itertools.combinations(range(k), k - 1))))
+    return F.concat(F.coalesce(own, F.array().cast("array<long>")), halves)
+
+
+def _list_of(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
 def _together(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -220,13 +228,12 @@ def _lines(min_words: int):
                 for first, group in _together(texts):
                     n, h, words, line, lines, data, starts = _features(group)
                     owner = np.repeat(np.arange(start + first, start + first + len(group)), lines)
-                    size, length, counts = _bounds(data, starts, line, n)
-                    blocks, halves, of = line_blocks(words, n)
-                    use = np.flatnonzero(n >= min_words)
-                    mine = (n >= min_words)[of]
-                    ends = np.cumsum(np.bincount(of[mine], minlength=len(n))[use])
-                    halves = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(halves[mine]))
-                    blocks = pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32) * BLOCKS), pa.array(blocks[use].reshape(-1)))
+                    length, counts = _bounds(data, starts, line, n)
+                    long_enough = n >= min_words
+                    use = np.flatnonzero(long_enough)
+                    parts, blocks, halves, of = line_blocks(words, n)
+                    blocks = _list_of(parts[use], blocks[np.repeat(long_enough, parts)])
+                    halves = _list_of(np.bincount(of, minlength=len(n))[use], halves[long_enough[of]])
                     columns = [*(pa.array(x[owner[use]], pa.int64()) for x in ids), pa.array(h[use]), pa.array(n[use], pa.int32()), pa.array(length[use]), *(pa.array(np.ascontiguousarray(counts[use, i])) for i in (0, 1)), blocks, halves]
                     yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in LINES.split(", ")])
 

@@ -90,11 +90,12 @@ def plain_lines(text):
 
 
 def share_a_key(a, b):
-    """Whether two lines differ in two of five blocks at most (in one word of four or three), or have a half in common."""
-    if len(a) == len(b):
-        m = min(len(a), 5)
-        block = lambda w, j: w[len(w) * j // m : len(w) * (j + 1) // m]
-        if sum(block(a, j) != block(b, j) for j in range(m)) <= {5: 2, 4: 1, 3: 1}[m]:
+    """Whether two lines have one of the first and one of the last two of four blocks in common (all words but one of seven or fewer), or a half."""
+    n = len(a)
+    if n == len(b):
+        m = n if n <= 7 else 4
+        same = [a[n * j // m : n * (j + 1) // m] == b[n * j // m : n * (j + 1) // m] for j in range(m)]
+        if sum(same) >= n - 1 if n <= 7 else any(same[:2]) and any(same[2:]):
             return True
     halves = lambda n: {h for h in (n // 2, (n - 1) // 2) if h >= 3}
     return any(a[:h] == b[:h] or a[-h:] == b[-h:] for h in halves(len(a)) & halves(len(b)))
