@@ -62,7 +62,11 @@ def inverse(kind: str, x: Column, y: Column, lon0: float = 0.0, lat0: float = 0.
     if kind == "geographic":
         return _point(longitude(x), y, F.abs(y) <= 90)
     x, y, p0 = x / radius, y / radius, math.radians(lat0)
-    lonlat = lambda lam, phi, ok: _point(longitude(F.degrees(lam) + lon0), F.degrees(phi), ok & (F.abs(phi) <= math.pi / 2 + 1e-12))
+    half_turn = math.pi + 1e-12  # a point further round is outside the map
+
+    def lonlat(lam: Column, phi: Column, ok: Column) -> Column:
+        return _point(longitude(F.degrees(lam) + lon0), F.degrees(phi), ok & (F.abs(lam) <= half_turn) & (F.abs(phi) <= math.pi / 2 + 1e-12))
+
     if kind == "eqc":
         return lonlat(x / math.cos(math.radians(lat1)), y + p0, F.lit(True))
     if kind == "merc":
@@ -71,12 +75,14 @@ def inverse(kind: str, x: Column, y: Column, lon0: float = 0.0, lat0: float = 0.
         n, f, rho0 = _cone(lat1, lat1 if lat2 is None else lat2, lat0)
         sign = math.copysign(1.0, n)
         rho = sign * F.hypot(x, rho0 - y)
-        return lonlat(F.atan2(sign * x, sign * (rho0 - y)) / n, 2 * F.atan(F.pow(f / rho, F.lit(1 / n))) - math.pi / 2, rho != 0)
+        pole = sign * math.pi / 2
+        phi = F.when(rho == 0, pole).otherwise(2 * F.atan(F.pow(f / F.nullif(rho, F.lit(0.0)), F.lit(1 / n))) - math.pi / 2)
+        return lonlat(F.atan2(sign * x, sign * (rho0 - y)) / n, phi, F.lit(True))
     rho = F.hypot(x, y)
     if kind == "stere":
         sign = 1.0 if lat0 > 0 else -1.0
         return lonlat(F.atan2(x, -sign * y), sign * (math.pi / 2 - 2 * F.atan(rho / 2)), F.lit(True))
-    c, ok = {"laea": (2 * F.asin(F.least(F.lit(1.0), rho / 2)), rho <= 2), "aeqd": (rho, rho <= math.pi), "ortho": (F.asin(F.least(F.lit(1.0), rho)), rho <= 1)}[kind]
+    c, ok = {"laea": (2 * F.asin(F.least(F.lit(1.0), rho / 2)), rho < 2), "aeqd": (rho, rho < math.pi), "ortho": (F.asin(F.least(F.lit(1.0), rho)), rho <= 1)}[kind]
     up = F.cos(c) * math.sin(p0) + F.when(rho == 0, 0.0).otherwise(y * F.sin(c) * math.cos(p0) / rho)
     phi = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), up)))
     lam = F.atan2(x * F.sin(c), rho * math.cos(p0) * F.cos(c) - y * math.sin(p0) * F.sin(c))

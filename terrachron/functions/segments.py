@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from terrachron.functions.geometry import line_km
@@ -51,6 +53,20 @@ def quantised_node(x: Column, digits: int = 7) -> Column:
     return F.when(q == 180 * step, F.lit(-180 * step).cast("long")).otherwise(q)
 
 
+def _running(starts: pa.Array, steps: pa.Array) -> pa.Array:
+    flat = steps.flatten().to_numpy(zero_copy_only=False)
+    sizes = steps.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out = np.zeros(len(flat) + len(sizes), np.int64)
+    first = np.cumsum(sizes + 1) - (sizes + 1)
+    inside = np.ones(len(out), bool)
+    inside[first] = False
+    out[inside] = flat
+    sums = np.cumsum(out)
+    sums += np.repeat(starts.fill_null(0).to_numpy(zero_copy_only=False) - sums[first], sizes + 1)
+    ends = pa.array(np.concatenate([first, [len(out)]]), pa.int32(), mask=np.append(~(starts.is_valid().to_numpy(zero_copy_only=False) & steps.is_valid().to_numpy(zero_copy_only=False)), False))
+    return pa.ListArray.from_arrays(ends, pa.array(sums))
+
+
 def delta_decoded(start: Column, steps: Column) -> Column:
-    """An array of values from its first one and the differences that follow: running sums."""
-    return F.concat(F.array(start), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: start + F.aggregate(F.slice(steps, 1, i), F.lit(0).cast("long"), lambda a, v: a + v)))
+    """An array of values from its first one and the differences that follow: running sums, one vector for each batch; null if a side is."""
+    return F.arrow_udf(_running, "array<long>")(start.cast("long"), steps.cast("array<long>"))

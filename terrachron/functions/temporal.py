@@ -97,6 +97,18 @@ def following_day(key: Column) -> Column:
     return let(key, of).cast("long")
 
 
+def previous_day(key: Column) -> Column:
+    """The packed day before a packed day; the year before 1 is -1."""
+
+    def of(k: Column) -> Column:
+        year = F.floor(k / 10000)
+        month, day = F.floor(F.pmod(k, F.lit(10000)) / 100), F.pmod(k, F.lit(100))
+        old_year = F.when(year == 1, F.lit(-1)).otherwise(year - 1) * 10000 + 1231
+        return F.when(day > 1, k - 1).when(month > 1, year * 10000 + (month - 1) * 100 + month_days(year, month - 1)).otherwise(old_year)
+
+    return let(key, of).cast("long")
+
+
 def shift_month(text: Column, offset: Column | int) -> Column:
     """A month so many months away, as text; null if it isn't a month or leaves the range of years."""
     offset = F.lit(offset) if isinstance(offset, int) else offset

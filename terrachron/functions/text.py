@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 
 def search_text(text: Column) -> Column:
-    """Trimmed, lower-cased, white space collapsed."""
-    return F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
+    """Lower-cased, white space of any script collapsed, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+
+
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+
+def compatible(text: Column) -> Column:
+    """The compatibility form (NFKC) of a text, for which Spark has no function: one Arrow call for each batch."""
+    return F.arrow_udf(_nfkc, "string")(text)
+
+
+def place_query(text: Column) -> Column:
+    """What a place is looked up by: the compatibility form as a search text."""
+    return search_text(compatible(text))
 
 
 def finds(text: Column, query: str) -> Column:

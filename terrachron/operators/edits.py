@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from terrachron.functions import temporal
-from terrachron.operators.hierarchy import ancestors
+from terrachron.operators.hierarchy import roots
 
 
 def created(nodes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +30,7 @@ def reparented(nodes: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame
     """nodes with new parents by moves (id, parent_id), and the refusals: moves that lead into a cycle or to a parent that doesn't exist."""
     to = moves.select("id", F.col("parent_id").alias("_to"), F.lit(True).alias("_moved"))
     rows = nodes.join(to, "id", "left").withColumn("parent_id", F.when(F.col("_moved"), F.col("_to")).otherwise(F.col("parent_id")))
-    states = ancestors(rows.select("id", "parent_id")).where("state <> 'Valid'").select("id", "state")
+    states = roots(rows.select("id", "parent_id")).where("state <> 'Valid'").select("id", "state")
     refused = moves.join(states, "id").select("id", F.when(F.col("state") == "Cycle", "cycle").otherwise("no such parent").alias("issue"))
     back = nodes.select("id", F.col("parent_id").alias("_old")).join(refused.select("id", F.lit(True).alias("_refused")), "id", "left")
     kept = rows.drop("_to", "_moved").join(back, "id").withColumn("parent_id", F.when(F.col("_refused"), F.col("_old")).otherwise(F.col("parent_id")))
@@ -79,6 +79,5 @@ def set_property(properties: DataFrame, lifetimes: DataFrame, changes: DataFrame
     alive = lifetimes.where(temporal.contains_end(F.col("lo"), F.col("hi"), last)).groupBy("object_id").agg(F.max(F.struct("hi", "lo")).alias("life"))
     coming = properties.where(F.col("lo") > first).groupBy(*key).agg(F.min("lo").alias("_next"))
     added = missing.join(alive, "object_id").join(coming, key, "left")
-    # The day before the next row's first day, as a packed number that orders below it and above all days before.
-    end = F.least(F.col("life.hi"), F.coalesce(F.col("_next") - 1, F.col("life.hi")))
+    end = F.least(F.col("life.hi"), F.coalesce(temporal.previous_day(F.col("_next")), F.col("life.hi")))
     return kept.union(added.select(*key, F.greatest(first, F.col("life.lo")).alias("lo"), end.alias("hi"), F.col("_new").alias("value")))

@@ -1,36 +1,63 @@
-"""Parent-pointer forests by repeated doubling: each round joins a node's line with its top's line.
+"""Parent-pointer forests by pointer doubling: each round, a node looks as far again as it has already seen.
 
-A line is the ids above a node, nearest first. The rounds are logarithmic in the depth. Cycles and missing parents are
-states, not errors.
+The rounds are logarithmic in the depth, and a round moves a few numbers for each node. Cycles and missing parents are
+states, not errors. Ids are unique and not null; rows without id are left out (`quality.duplicates` finds repeated ones).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from terrachron.sources.shared import settled
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """nodes (id, parent_id) to (id, ancestors, root_id, state): Valid, Missing (a parent isn't a node) or Cycle."""
-    present = nodes.select(F.col("id").alias("up"), F.lit(True).alias("there"))
-    lines = settled(nodes.join(present, F.col("parent_id") == F.col("up"), "left").select("id", F.when(F.col("parent_id").isNotNull(), F.array("parent_id")).otherwise(F.array().cast(f"array<{nodes.schema['id'].dataType.simpleString()}>")).alias("line"), (F.col("parent_id").isNotNull() & F.col("there").isNull()).alias("missing")))
-    depth = 1
-    while depth < max_depth and lines.where(F.size("line") == depth).take(1):
-        above = lines.select(F.col("id").alias("top"), F.col("line").alias("more"), F.col("missing").alias("gap"))
-        lines = settled(lines.join(above, F.try_element_at("line", F.lit(-1)) == F.col("top"), "left").select(
-            "id", F.concat("line", F.coalesce("more", F.array())).alias("line"), (F.col("missing") | F.coalesce("gap", F.lit(False))).alias("missing")
-        ))
-        depth *= 2
-    cycle = F.array_contains("line", F.col("id")) | (F.size(F.array_distinct("line")) < F.size("line"))
+def roots(nodes: DataFrame) -> DataFrame:
+    """nodes (id, parent_id) to (id, root_id, steps, state): Valid, Missing (a parent isn't a node) or Cycle.
+
+    The root of a Missing line is the id that isn't there. A node in a cycle, or below one, has no root and no steps.
+    A line that isn't at its end after as many steps as there are nodes goes round.
+    """
+    nodes = nodes.where("id is not null").select("id", "parent_id")
+    absent = nodes.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
+    start = nodes.select("id", F.coalesce("parent_id", "id").alias("top"), F.col("parent_id").isNotNull().cast("long").alias("steps"), F.lit(False).alias("missing"), F.lit(True).alias("there"))
+    now = settled(start.unionByName(absent.select("id", F.col("id").alias("top"), F.lit(0).cast("long").alias("steps"), F.lit(True).alias("missing"), F.lit(False).alias("there"))))
+    n = now.count()
+    for _ in range(math.ceil(math.log2(n + 1)) + 1):
+        above = now.select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"), F.col("missing").alias("_missing"))
+        now = settled(now.join(above, "top").select("id", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_missing").alias("missing"), "there", (F.col("_steps") > 0).alias("_open")))
+        still = now.where("_open").take(1)
+        now = now.drop("_open")
+        if not still:
+            break
+    cycle = F.col("steps") > n
     state = F.when(cycle, "Cycle").when(F.col("missing"), "Missing").otherwise("Valid")
-    return lines.select("id", F.when(~cycle, F.col("line")).alias("ancestors"), F.when(~cycle, F.coalesce(F.try_element_at("line", F.lit(-1)), F.col("id"))).alias("root_id"), state.alias("state"))
+    return now.where("there").select("id", F.when(~cycle, F.col("top")).alias("root_id"), F.when(~cycle, F.col("steps")).alias("steps"), state.alias("state"))
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """nodes (id, parent_id) to (id, ancestors, root_id, state): the ids above a node, nearest first; null for Cycle.
+
+    The lines together are as long as the sum of all depths. Where only the root or the depth is asked for, `roots` does.
+    """
+    ends = settled(roots(nodes))
+    nodes = nodes.where("id is not null").select("id", "parent_id")
+    none = F.array().cast(f"array<{nodes.schema['id'].dataType.simpleString()}>")
+    sound = nodes.join(ends.where("state <> 'Cycle'").select("id"), "id", "left_semi")
+    lines = settled(sound.select("id", F.when(F.col("parent_id").isNotNull(), F.array("parent_id")).otherwise(none).alias("line")))
+    seen = 1
+    while lines.where(F.size("line") == seen).take(1):
+        above = lines.select(F.col("id").alias("_top"), F.col("line").alias("_more"))
+        lines = settled(lines.join(above, F.try_element_at("line", F.lit(-1)) == F.col("_top"), "left").select("id", F.concat("line", F.coalesce("_more", none)).alias("line")))
+        seen *= 2
+    return ends.join(lines, "id", "left").select("id", F.col("line").alias("ancestors"), "root_id", "state")
 
 
 def descendants(nodes: DataFrame, root) -> DataFrame:
-    """All ids below one, with their depth."""
-    lines = ancestors(nodes).where("ancestors is not null")
-    return lines.where(F.array_contains("ancestors", F.lit(root))).select("id", F.array_position("ancestors", F.lit(root)).cast("int").alias("depth"))
+    """All ids below one, with their depth. The node is cut off from what is above it, so it is the root of all below."""
+    cut = nodes.select("id", F.when(F.col("id") != F.lit(root), F.col("parent_id")).alias("parent_id"))
+    return roots(cut).where((F.col("root_id") == F.lit(root)) & (F.col("id") != F.lit(root))).select("id", F.col("steps").cast("int").alias("depth"))
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
@@ -39,9 +66,25 @@ def siblings(nodes: DataFrame) -> DataFrame:
     return a.join(b, F.expr("a.parent_id <=> b.parent_id and a.kind = b.kind and a.id <> b.id")).select(F.col("a.id").alias("id"), F.col("b.id").alias("sibling_id"))
 
 
+def selected(nodes: DataFrame, kind: str | None = None, parent=None, root=None) -> DataFrame:
+    """Rows of nodes (id, parent_id, kind, ...) of a kind, below a parent or under a root (itself included); what isn't given isn't asked."""
+    out = nodes if kind is None else nodes.where(F.col("kind") == kind)
+    out = out if parent is None else out.where(F.col("parent_id") == F.lit(parent))
+    if root is not None:
+        out = out.join(roots(nodes).where(F.col("root_id") == F.lit(root)).select("id"), "id", "left_semi")
+    return out
+
+
 def propagate_max(nodes: DataFrame, value: str) -> DataFrame:
-    """nodes (id, parent_id, value) to (id, value): each node's greatest value among itself and all below it."""
-    lines = ancestors(nodes.select("id", "parent_id")).where("ancestors is not null")
-    below = lines.join(nodes.select("id", value), "id")
-    sent = below.select(F.explode(F.concat(F.array("id"), "ancestors")).alias("id"), value)
-    return sent.groupBy("id").agg(F.max(value).alias(value))
+    """nodes (id, parent_id, value) to (id, value): each node's greatest value among itself and all below it.
+
+    Each round a value moves twice as far, so the work is the nodes times the logarithm of the depth. Nodes in or below
+    a cycle are left out.
+    """
+    sound = nodes.join(roots(nodes).where("state <> 'Cycle'").select("id"), "id", "left_semi")
+    now = settled(sound.select("id", F.col("parent_id").alias("to"), value))
+    while now.where("to is not null").take(1):
+        sent = now.where("to is not null").groupBy(F.col("to").alias("id")).agg(F.max(value).alias("_more"))
+        jump = now.select(F.col("id").alias("to"), F.col("to").alias("_further"))
+        now = settled(now.join(jump, "to", "left").join(sent, "id", "left").select("id", F.col("_further").alias("to"), F.greatest(value, "_more").alias(value)))
+    return now.select("id", value)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 
 
-def _place(padding: float, most: int):
+def _place(padding: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         free = ~(rows["selected"] | rows["pinned"])
-        order = rows.assign(_free=free).sort_values(["_free", "priority", "key"], ascending=[True, False, True], kind="stable").head(most)
+        order = rows.assign(_free=free).sort_values(["_free", "priority", "key"], ascending=[True, False, True], kind="stable")
         boxes = order[["left", "top", "right", "bottom"]].to_numpy(float)
         kept: list[int] = []
         for i, box in enumerate(boxes):
@@ -25,10 +25,14 @@ def _place(padding: float, most: int):
     return run
 
 
-def layout(labels: DataFrame, padding: float = 3.0, most: int = 1500) -> DataFrame:
+def layout(labels: DataFrame, padding: float = 3.0, most: int | None = None) -> DataFrame:
     """The labels (view, collision_group, key, priority, selected, pinned, left, top, right, bottom) that are shown.
 
-    Selected and pinned labels always are. A group of one view has `most` candidates by priority at most, as a screen
-    holds no more; the views are what is spread over tasks.
+    Selected and pinned labels always are. `most` is a limit of candidates by priority for a group of one view, for
+    screens that ask for it; they are ranked in Spark, so no more are gathered. A group of one view is one task's work,
+    as each choice depends on those before; the views are what is spread.
     """
-    return labels.groupBy("view", "collision_group").applyInPandas(_place(padding, most), labels.schema)
+    if most is not None:
+        w = Window.partitionBy("view", "collision_group").orderBy(~(F.col("selected") | F.col("pinned")), F.desc("priority"), "key")
+        labels = labels.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most).drop("_place")
+    return labels.groupBy("view", "collision_group").applyInPandas(_place(padding), labels.schema)

@@ -53,14 +53,16 @@ def box_iou(w1, s1, e1, n1, w2, s2, e2, n2) -> Column:
 
 
 def clear_winners(pairs: DataFrame, a: str, b: str, score: str, margin: float) -> DataFrame:
-    """The best b of each a, where the next best is at least `margin` behind or missing. Two aggregates, no sort of a group.
+    """The best b of each a, where the next best is at least `margin` behind or missing.
 
-    A pair (a, b) that comes twice counts once, with its best score.
+    A pair (a, b) that comes twice counts once, with its best score. Only the two best of an a are kept on the way, also
+    before they are shuffled.
     """
     each = pairs.groupBy(a, b).agg(F.max(score).alias(score))
-    best = each.groupBy(a).agg(F.max_by(F.struct(b, score), F.struct(F.col(score), F.col(b))).alias("m"), F.slice(F.sort_array(F.collect_list(score), False), 2, 1).alias("next"))
-    second = F.get("next", F.lit(0))
-    return best.where(second.isNull() | (F.col(f"m.{score}") - second >= margin)).select(a, f"m.{b}", f"m.{score}")
+    place = F.row_number().over(Window.partitionBy(a).orderBy(F.desc(score), F.desc(b)))
+    two = each.withColumn("_place", place).where("_place <= 2")
+    best = two.groupBy(a).agg(F.max(F.when(F.col("_place") == 1, F.struct(b, score))).alias("m"), F.max(F.when(F.col("_place") == 2, F.col(score))).alias("_next"))
+    return best.where(F.col("_next").isNull() | (F.col(f"m.{score}") - F.col("_next") >= margin)).select(a, f"m.{b}", f"m.{score}")
 
 
 def merge_plan(incoming: DataFrame, current: DataFrame, key: str, ordinal: str) -> DataFrame:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from terrachron.operators.hierarchy import ancestors
-from terrachron.sources.shared import settled
+from terrachron.operators.hierarchy import propagate_max, roots
 
 
 def scored(reaches: DataFrame) -> DataFrame:
@@ -23,8 +22,8 @@ def best_upstream(reaches: DataFrame, k: int = 8) -> DataFrame:
 
 def systems(reaches: DataFrame) -> DataFrame:
     """reaches with system_id (the outlet), its depth above the outlet, and state (Valid, Missing, Cycle)."""
-    lines = ancestors(reaches.select("id", F.col("next_id").alias("parent_id")))
-    return reaches.join(lines.select("id", F.col("root_id").alias("system_id"), F.size("ancestors").alias("steps"), "state"), "id")
+    ends = roots(reaches.select("id", F.col("next_id").alias("parent_id")))
+    return reaches.join(ends.select("id", F.col("root_id").alias("system_id"), F.col("steps").cast("int").alias("steps"), "state"), "id")
 
 
 def chains(reaches: DataFrame) -> DataFrame:
@@ -34,8 +33,7 @@ def chains(reaches: DataFrame) -> DataFrame:
     """
     best = best_upstream(reaches, 1).select("id", F.col("next_id").alias("parent_id"))
     links = reaches.select("id").join(best, "id", "left")
-    lines = ancestors(links)
-    return reaches.join(lines.select("id", F.col("root_id").alias("chain_id"), F.size("ancestors").alias("position")), "id")
+    return reaches.join(roots(links).select("id", F.col("root_id").alias("chain_id"), F.col("steps").cast("int").alias("position")), "id")
 
 
 def excluded_basins(reaches: DataFrame, terminals: DataFrame) -> DataFrame:
@@ -45,14 +43,8 @@ def excluded_basins(reaches: DataFrame, terminals: DataFrame) -> DataFrame:
 
 
 def widths_downstream(reaches: DataFrame, width: str = "width") -> DataFrame:
-    """(id, width): the greatest width of a reach and all above it, by doubling: each round a value moves twice as far."""
-    now = settled(reaches.select("id", F.col("next_id").alias("to"), F.col(width).alias("width")))
-    while now.where("to is not null").take(1):
-        sent = now.where("to is not null").groupBy("to").agg(F.max("width").alias("more"))
-        jump = now.select(F.col("id").alias("at"), F.col("to").alias("further"))
-        step = now.join(sent.withColumnRenamed("to", "id"), "id", "left").join(jump, F.col("to") == F.col("at"), "left")
-        now = settled(step.select("id", F.col("further").alias("to"), F.greatest("width", "more").alias("width")))
-    return now.select("id", "width")
+    """(id, width): the greatest width of a reach and all above it. Reaches that flow round a cycle are left out."""
+    return propagate_max(reaches.select("id", F.col("next_id").alias("parent_id"), F.col(width).alias("width")), "width")
 
 
 def fragments(reaches: DataFrame, order: list[str], *marks: str) -> DataFrame:

@@ -8,27 +8,36 @@ from terrachron.functions.geometry import boxes_meet
 from terrachron.functions.numeric import rank_distance_km
 
 
-def _cells(df: DataFrame, size: float, w: Column, s: Column, e: Column, n: Column) -> DataFrame:
-    xs = F.sequence(F.floor(w / size), F.floor(e / size))
-    ys = F.sequence(F.floor(s / size), F.floor(n / size))
-    return df.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
+def boxes_join(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
+    """Pairs (a_id, b_id) of boxes (id, w, s, e, n) that meet, each pair once; boxes with a null side meet nothing.
 
-
-def boxes_join(a: DataFrame, b: DataFrame, size: float, most_cells: int = 4096) -> DataFrame:
-    """Pairs (a_id, b_id) of boxes (id, w, s, e, n) that meet, each pair once.
-
-    A pair is reported in one cell only: that of the south-west corner of the common part. So nothing needs to be made distinct.
-    Boxes of b over more than most_cells cells are compared without cells, if there are any.
+    Cells double in size from level to level. A box belongs to the first level whose cells are as large as the box, so
+    it lies in four of them at most, and is known in the coarser levels that occur. A pair meets in the coarser one of
+    its two levels, in the cell of the south-west corner of the common part, so nothing needs to be made distinct and
+    there is no loop over wide boxes.
     """
-    count = (F.floor(F.col("e") / size) - F.floor(F.col("w") / size) + 1) * (F.floor(F.col("n") / size) - F.floor(F.col("s") / size) + 1)
-    x = a.select(F.col("id").alias("a_id"), *(F.col(c).alias(f"a{c}") for c in "wsen"))
-    y = b.withColumn("_wide", count > most_cells).select(F.col("id").alias("b_id"), *(F.col(c).alias(f"b{c}") for c in "wsen"), "_wide")
+    sides = []
+    for df, side in ((a, "a"), (b, "b")):
+        known = df.dropna(subset=list("wsen"))
+        extent = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"))
+        level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(size)) / size))).cast("int")
+        sides.append(known.select(F.col("id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}{c}") for c in "wsen"), level.alias(f"{side}_level")))
+    levels = set()
+    for df, side in zip(sides, "ab"):
+        levels |= {r[0] for r in df.select(f"{side}_level").distinct().collect()}  # a few numbers: the extents' logarithms
+    placed = []
+    for df, side in zip(sides, "ab"):
+        occurring = F.array(*map(F.lit, sorted(levels))) if levels else F.array().cast("array<int>")
+        df = df.withColumn("_level", F.explode(F.filter(occurring, lambda x: x >= F.col(f"{side}_level"))))
+        step = size * F.pow(F.lit(2.0), F.col("_level"))
+        across = F.explode(F.sequence(F.floor(F.col(f"{side}w") / step), F.floor(F.col(f"{side}e") / step)))
+        along = F.explode(F.sequence(F.floor(F.col(f"{side}s") / step), F.floor(F.col(f"{side}n") / step)))
+        placed.append(df.withColumn("_cx", across).withColumn("_cy", along))
+    step = size * F.pow(F.lit(2.0), F.col("_level"))
+    here = F.col("_level") == F.greatest("a_level", "b_level")
+    once = (F.col("_cx") == F.floor(F.greatest("aw", "bw") / step)) & (F.col("_cy") == F.floor(F.greatest("as", "bs") / step))
     meet = boxes_meet(*(F.col(f"{side}{c}") for side in "ab" for c in "wsen"))
-    sides = (_cells(d, size, *(F.col(f"{s}{c}") for c in "wsen")) for d, s in ((x, "a"), (y.where(~F.col("_wide")), "b")))
-    once = (F.col("_cx") == F.floor(F.greatest("aw", "bw") / size)) & (F.col("_cy") == F.floor(F.greatest("as", "bs") / size))
-    near = next(sides).join(next(sides), ["_cx", "_cy"]).where(meet & once).select("a_id", "b_id")
-    wide = x.join(y.where("_wide"), meet).select("a_id", "b_id")
-    return near.union(wide)
+    return placed[0].join(placed[1], ["_level", "_cx", "_cy"]).where(here & once & meet).select("a_id", "b_id")
 
 
 def neighbours(points: DataFrame, km: float) -> DataFrame:
