@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from terrachron.functions import temporal
 from terrachron.operators.hierarchy import roots
+from terrachron.sources.shared import settled
 
 
 def created(nodes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -15,14 +16,14 @@ def created(nodes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     exists = new.join(known, "id", "left_semi").select("id", F.lit("exists").alias("issue"))
     repeats = new.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("repeated").alias("issue"))
     orphan = new.where("parent_id is not null").join(every.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_anti").select("id", F.lit("no such parent").alias("issue"))
-    refused = exists.union(repeats).union(orphan).distinct()
+    refused = settled(exists.union(repeats).union(orphan).distinct())
     return nodes.unionByName(new.join(refused.select("id").distinct(), "id", "left_anti")), refused
 
 
 def deleted(nodes: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes without ids, and the refusals: ids with children that would stay."""
     children = nodes.where("parent_id is not null").join(gone.select("id"), "id", "left_anti").select(F.col("parent_id").alias("id")).distinct()
-    refused = gone.join(children, "id", "left_semi").select("id", F.lit("has children").alias("issue"))
+    refused = settled(gone.join(children, "id", "left_semi").select("id", F.lit("has children").alias("issue")))
     return nodes.join(gone.join(refused, "id", "left_anti"), "id", "left_anti"), refused
 
 
@@ -31,7 +32,7 @@ def reparented(nodes: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame
     to = moves.select("id", F.col("parent_id").alias("_to"), F.lit(True).alias("_moved"))
     rows = nodes.join(to, "id", "left").withColumn("parent_id", F.when(F.col("_moved"), F.col("_to")).otherwise(F.col("parent_id")))
     states = roots(rows.select("id", "parent_id")).where("state <> 'Valid'").select("id", "state")
-    refused = moves.join(states, "id").select("id", F.when(F.col("state") == "Cycle", "cycle").otherwise("no such parent").alias("issue"))
+    refused = settled(moves.join(states, "id").select("id", F.when(F.col("state") == "Cycle", "cycle").otherwise("no such parent").alias("issue")))
     back = nodes.select("id", F.col("parent_id").alias("_old")).join(refused.select("id", F.lit(True).alias("_refused")), "id", "left")
     kept = rows.drop("_to", "_moved").join(back, "id").withColumn("parent_id", F.when(F.col("_refused"), F.col("_old")).otherwise(F.col("parent_id")))
     return kept.select(*nodes.columns), refused

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terrachron.functions import geometry, numeric, segments, temporal, text
-from terrachron.operators import calibration, changes, edits, hierarchy, intervals, matching, places, quality, ranking, rasters, rivers, spatial, terrain, timeline
+from terrachron.operators import edits, hierarchy, places, rivers, timeline
 from terrachron.plans.queries import _reaches, query
-from terrachron.sources import files, geonames
 from terrachron.sources.tables import table
 
 
@@ -244,7 +243,7 @@ def q63_urban_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, list_distinct([x FOR x IN [c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE c_name END, 'X' || c_nationkey] IF x IS NOT NULL AND trim(x) <> '']) AS l FROM customer""".replace("SELECT c_custkey, list_distinct(", "SELECT c_custkey, array_to_string(list_sort(list_distinct(").replace("AS l FROM", ", '|') AS names FROM").replace("<> ''])", "<> '']))"))
+SELECT c_custkey, array_to_string(list_sort(list_distinct([x FOR x IN [c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE c_name END, 'X' || c_nationkey] IF x IS NOT NULL AND trim(x) <> ''])), '|') AS names FROM customer""")
 def q64_selected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All names a place may be found by."""
     k = F.col("c_custkey")
@@ -319,8 +318,8 @@ _RING = "SELECT vec_id AS id, [round(CAST(e AS DOUBLE) * 40, 4) FOR e IN embeddi
 @query(f"""
 WITH p AS ({_RING}), r AS (SELECT id, i, v[2 * i - 1] AS x, v[2 * i] AS y, v[2 * (i % 6) + 1] AS x2, v[2 * (i % 6) + 2] AS y2 FROM p, range(1, 7) t(i))
 SELECT id, round(sum(x * y2 - x2 * y) / 2, 5) AS signed, round(greatest(0, abs(sum(x * y2 - x2 * y) / 2) - 1), 5) AS less_hole, round(abs(sum(radians(x2 - x) * (2 + sin(radians(y)) + sin(radians(y2))))) * 6371.0088 * 6371.0088 / 2, 1) AS km2,
-round(avg(x), 6) AS mid_x, round(avg(y), 6) AS mid_y, min(x) AS w, min(y) AS s, max(x) AS e, max(y) AS n, count(DISTINCT (round(x, 2), round(y, 2))) AS vertices,
-sum(CASE WHEN (y > 0) <> (y2 > 0) AND 0 < x + (0 - y) * (x2 - x) / nullif(y2 - y, 0) THEN 1 ELSE 0 END) % 2 AS holds_origin FROM r GROUP BY id""".replace("count(DISTINCT (round(x, 2), round(y, 2)))", "CAST(count(DISTINCT (round(x, 2), round(y, 2))) AS INTEGER)").replace("% 2 AS holds", "% 2 AS BIGINT) AS holds").replace("sum(CASE WHEN (y > 0)", "CAST(sum(CASE WHEN (y > 0)"))
+round(avg(x), 6) AS mid_x, round(avg(y), 6) AS mid_y, min(x) AS w, min(y) AS s, max(x) AS e, max(y) AS n, CAST(count(DISTINCT (round(x, 2), round(y, 2))) AS INTEGER) AS vertices,
+CAST(sum(CASE WHEN (y > 0) <> (y2 > 0) AND 0 < x + (0 - y) * (x2 - x) / nullif(y2 - y, 0) THEN 1 ELSE 0 END) % 2 AS BIGINT) AS holds_origin FROM r GROUP BY id""")
 def q70_irregular_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas, means, bounds and point tests of irregular rings of six vertices."""
     at = lambda i: F.round(F.col("embedding")[i].cast("double") * 40, 4)

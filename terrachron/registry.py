@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import terrachron.plans.matches  # noqa: F401  registers its queries
 import terrachron.plans.proofs  # noqa: F401  registers its queries
+import terrachron.plans.records  # noqa: F401  registers its queries
 from terrachron.plans.queries import ORACLE_SQL, QUERIES, q01_as_of
 
 FLAGSHIP = q01_as_of

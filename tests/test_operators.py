@@ -69,7 +69,7 @@ def test_boxes_join_matches_brute_force(spark):
     a, b = [box(i, 3) for i in range(150)], [box(i, 8) for i in range(80)] + [(99, -180.0, -90.0, 180.0, 90.0)]
     schema = "id int, w double, s double, e double, n double"
     want = {(p[0], q[0]) for p in a for q in b if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]}
-    got = [tuple(r) for r in spatial.boxes_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 5.0, 100).collect()]
+    got = [tuple(r) for r in spatial.boxes_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 5.0).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 

@@ -57,7 +57,7 @@ def test_set_property(spark):
     change = lambda i: spark.createDataFrame([(i, "name", "new")], "object_id string, property string, value string")
     got = lambda i, month: {tuple(r)[2:] for r in edits.set_property(rows, life, change(i), month).where(F.col("object_id") == i).collect()}
     assert got("A", "1910-05") == {(19000101, 19100430, "old"), (19100501, 19191231, "new"), (19300101, 19401231, "later")}
-    assert got("A", "1925-01") == {(19000101, 19191231, "old"), (19250101, 19300100, "new"), (19300101, 19401231, "later")}
+    assert got("A", "1925-01") == {(19000101, 19191231, "old"), (19250101, 19291231, "new"), (19300101, 19401231, "later")}
     assert got("B", "1925-01") == {(19250101, 19501231, "new")} and got("X", "1925-01") == set()
 
 
