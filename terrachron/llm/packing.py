@@ -97,19 +97,15 @@ class ByteBpe:
         if len(self.known) > REMEMBERED:
             self.known, self.older, self.heads = {}, self.known, {}
         words = [t.split(" ") if self._by_word(t) else [] for t in texts]
-        found = [list(map(self.known.get, w[1:])) for w in words]
-        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
-        if new := {w[i + 1] for w, gap in zip(words, gaps) for i in gap}:
+        heads = [w.pop(0) if w else None for w in words]
+        new = set().union(*words).difference(self.known)
+        if new:
             again = {w: ids for w in new if (ids := self.older.get(w)) is not None}
             self.known.update(again)
             if len(again) < len(new):
                 self._add([w for w in new if w not in again])
-        out = []
-        for text, w, f, gap in zip(texts, words, found, gaps):
-            for i in gap:
-                f[i] = self.known[w[i + 1]]
-            out.append(np.frombuffer(self._head(w[0]) + b"".join(f), "<u4") if f else self._ids(text))
-        return out
+        ids_of = self.known.__getitem__
+        return [np.frombuffer(self._head(head) + b"".join(map(ids_of, w)), "<u4") if w else self._ids(text) for text, head, w in zip(texts, heads, words)]
 
 
 @lru_cache(maxsize=2)
