@@ -8,7 +8,9 @@ towards the host's rate and that towards the rate of all.
 
 Labels come from the caller; the query takes the verdicts of the url rules for them. All statistics cover all rows.
 They are held by (host, prefix, segment) and summed with partial aggregation, so one host with a third of all urls is
-spread over as many tasks as it has segments, or summed before it is shuffled.
+spread over as many tasks as it has segments, or summed before it is shuffled. Tables of urls, segments and templates
+grow with the input and are joined by sorting, never broadcast; rows of one very common url are what Spark splits as a
+skewed side of such a join.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def templates(urls: DataFrame, depth: int, min_share: float, min_count: int, z:
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
         children = now.groupBy("host", "template", "at").agg(*sums)
         parents = children.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")))
-        both = children.join(parents, ["host", "template"])
+        both = children.join(parents.hint("merge"), ["host", "template"])  # both grow with the urls, so neither is broadcast
         # A child differs if its labelled rate is further than z standard errors from that of its siblings.
         others = F.col("all_labelled") - F.col("labelled")
         pooled = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
@@ -59,7 +61,7 @@ def templates(urls: DataFrame, depth: int, min_share: float, min_count: int, z:
         common = (F.col("n") >= min_count) & (F.col("n") >= min_share * F.col("all_n"))
         only_deeper = F.col("at") == "\0"
         kept = both.where(~only_deeper & common & (differs | (F.col("labelled") == 0) | (others == 0))).select("host", "template", "at", F.lit(True).alias("literal"))
-        now = now.join(kept, ["host", "template", "at"], "left")
+        now = now.join(kept.hint("merge"), ["host", "template", "at"], "left")
         part = F.when(F.col("at") == "\0", "").when(F.col("literal"), F.concat(F.lit("/"), "at")).otherwise("/*")
         now = now.withColumn("template", F.concat("template", part)).drop("literal")
     return now.select("host", "path", "n", "labelled", "bad", "template")
@@ -87,10 +89,10 @@ def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, t
     whole = found.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).first()
     hosts = found.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
     trees = found.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb"))
-    trees = trees.join(hosts, "host")
+    trees = trees.join(hosts.hint("merge"), "host")
     base = ((whole["b"] or 0) + 1.0) / ((whole["l"] or 0) + 2.0)
     of_host = (F.col("hb") + smoothing * base) / (F.col("hl") + smoothing)
     trees = trees.select("host", "template", ((F.col("tb") + smoothing * of_host) / (F.col("tl") + smoothing)).alias("purity"))
-    verdicts = found.select("host", "path", "template").join(trees, ["host", "template"])
+    verdicts = found.select("host", "path", "template").join(trees.hint("merge"), ["host", "template"])
     own = F.when(F.col("purity") >= threshold, "block").otherwise("allow")
-    return rows.join(verdicts, ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "template", "purity")
+    return rows.join(verdicts.hint("merge"), ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "template", "purity")
