@@ -2,7 +2,7 @@
 
 Vectors of one label are scaled to length 1 and quantised to int8 with one scale each. For x = s*a + e and
 y = t*b + f, where a and b hold integers and |e|, |f| are known exactly, |x.y - st*a.b| <= |e|*|y| + |f|*|s*a|. A tile is
-about `tile` vectors; the integer products of two tiles are one matrix product (exact in float32, as they stay below
+about `tile` vectors, and a vector is sent to as many tasks as its label has tiles; the integer products of two tiles are one matrix product (exact in float32, as they stay below
 2**24 for up to 1000 components). Only pairs whose product plus bound reaches the threshold are computed again in
 double precision from the original components.
 
@@ -34,23 +34,27 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
 
 
-def links_between(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of linked rows of x and y; with `same`, each pair of one tile once."""
+def links_between(x: np.ndarray, y: np.ndarray, threshold: float, same: bool, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of linked rows of x and y; with `same`, each pair of one tile once. `rows` of x at a time, so a large tile needs little memory."""
     ux, uy = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
-    a, s, e, n = quantise(ux)
-    b, t, f, _ = quantise(uy)
-    if x.shape[1] > 1000:
-        products = a.astype(np.float64) @ b.astype(np.float64).T
-    else:
-        products = (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.float64)
-    most = products * (s[:, None] * t[None, :]) + e[:, None] * (1 + 1e-9) + f[None, :] * n[:, None]
-    i, j = np.nonzero(most >= threshold - 1e-9)
-    if same:
-        i, j = i[i < j], j[i < j]
-    hit = np.zeros(len(i), bool)
-    for start in range(0, len(i), 65536):
-        hit[start : start + 65536] = _cosines(x[i[start : start + 65536]], y[j[start : start + 65536]]) >= threshold
-    return i[hit], j[hit]
+    (a, s, e, n), (b, t, f, _) = quantise(ux), quantise(uy)
+    exact = np.float64 if x.shape[1] > 1000 else np.float32
+    a, b = a.astype(exact), b.astype(exact).T
+    found = []
+    for at in range(0, len(x), rows):
+        part = slice(at, at + rows)
+        products = (a[part] @ b).astype(np.float64)
+        most = products * (s[part, None] * t[None, :]) + e[part, None] * (1 + 1e-9) + f[None, :] * n[part, None]
+        i, j = np.nonzero(most >= threshold - 1e-9)
+        i += at
+        if same:
+            i, j = i[i < j], j[i < j]
+        for k in range(0, len(i), 65536):
+            p, q = i[k : k + 65536], j[k : k + 65536]
+            hit = _cosines(x[p], y[q]) >= threshold
+            found.append((p[hit], q[hit]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(side) for side in zip((none, none), *found))
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -99,7 +103,7 @@ def _tile_pair(threshold: float):
     return run
 
 
-def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 1024) -> DataFrame:
+def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 4096) -> DataFrame:
     """One row for each row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors with equal labels are linked if their cosine, in double precision, is at least `threshold`. No links: a
@@ -107,10 +111,12 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int
     length, a null vec_id (its component_id is null and it is kept). Rows with one vec_id are one node; each
     counts as a link of what it is linked with. An empty table gives no rows; other columns are ignored.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+    # Single precision stays as it is on the way: half the bytes, and exact in double precision.
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("vector"), "label")
     sound = rows.where("vec_id is not null and label is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(vector, x -> x <> 0)")
     # -0.0 and 0.0 are one value.
-    sound = sound.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
+    sound = sound.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast(kind)))
     sound = sound.withColumn("h1", F.xxhash64("label", "vector")).withColumn("h2", F.xxhash64("vector", F.lit(5), "label"))
     sound = materialise(sound)
     nodes = sound.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
