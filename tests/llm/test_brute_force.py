@@ -324,7 +324,7 @@ def test_sharding_balances(docs, rows):
     found = sharding.assign_shards(docs)
     by_shard = found.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     assert sum(r.rows for r in by_shard) == len(rows) and {r["shard"] for r in by_shard} == set(range(24))
-    placed = sharding.place(np.random.default_rng(1).random((5000, 3)) / 2500, 24)
+    placed = sharding.place(np.random.default_rng(1).random((5000, 3)) / 2500, np.full((24, 3), 1 / 24))[0]
     sizes = np.bincount(placed, minlength=24)
     assert sizes.max() / sizes.mean() < 1.05
     shard_of = defaultdict(set)
