@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 #: Earth radii in metres and kilometres, and degrees to kilometres for short distances.
@@ -67,3 +70,12 @@ def value_alpha(value: Column, low: Column, high: Column) -> Column:
     span = high - low
     ratio = F.when(span > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / span))).otherwise(1.0)
     return F.when(low.isNull() | high.isNull(), 0.0).otherwise(0.12 + 0.58 * ratio)
+
+
+def exact_round(value: Column, digits: int) -> Column:
+    """A double rounded to decimal digits by its exact binary value, ties to even; null for null and what isn't finite."""
+
+    def rounded(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None or not math.isfinite(v) else round(v, digits) for v in values.to_pylist()], pa.float64())
+
+    return F.arrow_udf(rounded, "double")(value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import terrachron.plans.bundles  # noqa: F401  registers its queries
 import terrachron.plans.compiled  # noqa: F401  registers its queries
 import terrachron.plans.matches  # noqa: F401  registers its queries
 import terrachron.plans.proofs  # noqa: F401  registers its queries
