@@ -28,8 +28,8 @@ SETTLED = bytes([10, *range(0x20, 0x7F), *range(0xA1, 0x100)])
 UNSETTLED = re.compile("[^\\n\\x20-\\x7e\\xa1-\\u024f]")
 #: A word of letters and the punctuation behind it: two parts to the pre-tokenizer.
 PUNCTUATED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)").fullmatch
-#: A Python worker remembers the last so many words, and twice as many at most (about 130 MB each time).
-REMEMBERED = 800_000
+#: A Python worker remembers the last so many words, and twice as many at most (about 65 MB each time).
+REMEMBERED = 400_000
 
 
 class ByteBpe:
