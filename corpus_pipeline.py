@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrachron.llm.common import materialise, table
+from terrachron.llm.common import materialise, short_batches, table
 from terrachron.llm.decontamination import decontaminate
 from terrachron.llm.lines import without_repeated_lines
 from terrachron.llm.near_dup import drop_near_duplicates
@@ -17,26 +17,31 @@ from terrachron.llm.quality import keep_good
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble rejects go."""
+    short_batches(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines are cut out; a document with nothing left goes."""
+    short_batches(spark)
     return without_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
+    short_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by benchmark items go."""
+    short_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
+    short_batches(spark)
     return pack_documents(docs)
 
 
