@@ -27,7 +27,9 @@ from terrachron.llm.common import materialise, texts_in, words_of
 STATES, CLASSES, SUFFIX = 8, 8192, 4
 #: The end of a text is a word that no text can hold, in a class of its own: the last one.
 END = b"\n"
-CHUNK_TOKENS, SEGMENT = 1_000_000, 256
+CHUNK_TOKENS = 1_000_000
+#: Tokens of a piece of text that the states' first guess is grouped by; training and scores take whole texts.
+SEGMENT = 256
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -86,80 +88,82 @@ class Model:
         self.start, self.move, self.emit = start, move, emit  # emit: class x state
 
 
-def _sequences(row: dict, segment: int | None, train_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all tokens; starts and lengths of sequences (long texts cut into segments), from the longest; which begin a text."""
+def _sequences(row: dict, train_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all tokens; starts and lengths of whole texts, from the longest; their places in the record."""
     classes = np.array(row["classes"], np.int32)[np.frombuffer(row["tokens"], "<u4")]
     lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-    starts = np.cumsum(lengths) - lengths
+    starts, places = np.cumsum(lengths) - lengths, np.arange(len(lengths))
     if train_only:
-        use = ~np.array(row["held"], bool)
-        starts, lengths = starts[use], lengths[use]
-    first = np.ones(len(starts), bool)
-    if segment:
-        pieces = -(-lengths // segment)
-        offset = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * segment
-        starts, lengths, first = np.repeat(starts, pieces) + offset, np.minimum(np.repeat(lengths, pieces) - offset, segment), offset == 0
-    order = np.argsort(-lengths, kind="stable")
-    return classes, starts[order], lengths[order], first[order]
+        places = places[~np.array(row["held"], bool)]
+    places = places[np.argsort(-lengths[places], kind="stable")]
+    return classes, starts[places], lengths[places], places
 
 
-def _active(lengths: np.ndarray) -> np.ndarray:
-    """How many of the sequences, longest first, are longer than t, for each t."""
-    return np.searchsorted(-lengths, -np.arange(lengths.max(initial=0)), side="left")
+def _by_step(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of texts (longest first) in the order of their steps: all first tokens, all second ones, and so on.
 
+    Returns how many texts have each step, where each step begins, each token's place in the record and, for the tokens
+    behind the first step, the place of the token before in this order.
+    """
+    active = np.searchsorted(-lengths, -np.arange(lengths.max(initial=0)), side="left")
+    begins = np.cumsum(active) - active
+    within = np.arange(active.sum()) - np.repeat(begins, active)
+    at = starts[within] + np.repeat(np.arange(len(active)), active)
+    before = within[len(lengths) :] + np.repeat(begins[:-1], active[1:])
+    return active, begins, at, before
 
-def expected_counts(row: dict, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions (class x state) of a chunk's training texts."""
-    classes, starts, lengths, first = _sequences(row, SEGMENT, True)
-    k = len(m.start)
-    alpha = np.zeros((len(classes), k), np.float32)
-    scale = np.ones(len(classes), np.float32)
-    move, emit = m.move.astype(np.float32), m.emit.astype(np.float32)
-    active = _active(lengths)
+
+def _forward(active: np.ndarray, begins: np.ndarray, emitted: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward probabilities and scales of all tokens, by step."""
+    alpha, scale = np.empty_like(emitted), np.empty(len(emitted), emitted.dtype)
     now = None
-    for t, n in enumerate(active):
-        at = starts[:n] + t
-        now = (m.start.astype(np.float32)[None, :] if t == 0 else now[:n] @ move) * emit[classes[at]]
-        total = now.sum(axis=1)
+    for t, (b, n) in enumerate(zip(begins.tolist(), active.tolist())):
+        now = emitted[b : b + n] * (start if t == 0 else now[:n] @ move)
+        scale[b : b + n] = total = now.sum(axis=1)
         now /= total[:, None]
-        alpha[at], scale[at] = now, total
-    moves = np.zeros((k, k))
-    beta = np.zeros((0, k), np.float32)
-    starting = np.zeros(k)
-    for t in range(len(active) - 1, -1, -1):
-        n = active[t]
-        at = starts[:n] + t
-        back = np.ones((n, k), np.float32)
-        if len(beta):
-            nxt = at[: len(beta)] + 1
-            weighed = beta * emit[classes[nxt]] / scale[nxt][:, None]
-            moves += alpha[at[: len(beta)]].T @ weighed
-            back[: len(beta)] = weighed @ move.T
-        gamma = alpha[at] * back
-        gamma /= gamma.sum(axis=1)[:, None]
-        if t == 0:
-            starting = gamma[first[:n]].sum(axis=0, dtype=float)
-        alpha[at] = gamma  # of earlier steps only alpha is still needed, of this one only gamma
-        beta = back
-    used = np.zeros(len(classes), bool)
-    for s, n in zip(starts, lengths):
-        used[s : s + n] = True
-    found = np.stack([np.bincount(classes[used], alpha[used, i], CLASSES) for i in range(k)], axis=1)
-    return starting, moves * m.move, found
+        alpha[b : b + n] = now
+    return alpha, scale
+
+
+def expected_counts(row: dict, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions (class x state) of a chunk's training texts, each as a whole."""
+    classes, starts, lengths, _ = _sequences(row, True)
+    k, kind = len(m.start), np.float32
+    if not len(lengths):
+        return np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
+    active, begins, at, before = _by_step(starts, lengths)
+    classes, move = classes[at], m.move.astype(kind)
+    weighed = m.emit.astype(kind)[classes]
+    alpha, scale = _forward(active, begins, weighed, m.start.astype(kind), move)
+    weighed /= scale[:, None]
+    beta = np.ones_like(alpha)
+    back = np.ascontiguousarray(move.T)
+    for t in range(len(active) - 1, 0, -1):
+        b, n, to = begins[t], active[t], begins[t - 1]
+        weighed[b : b + n] *= beta[b : b + n]  # what a token and all behind it add to the step that leads to it
+        beta[to : to + n] = weighed[b : b + n] @ back
+    moves, behind = np.zeros((k, k)), weighed[len(lengths) :]
+    for i in range(0, len(before), 65_536):
+        moves += alpha[before[i : i + 65_536]].T @ behind[i : i + 65_536]
+    alpha *= beta
+    alpha /= alpha.sum(axis=1)[:, None]  # each token's share of each state
+    found = np.stack([np.bincount(classes, alpha[:, i], CLASSES) for i in range(k)], axis=1)
+    return alpha[: len(lengths)].sum(axis=0, dtype=float), moves * m.move, found
 
 
 def forward(row: dict, m: Model) -> np.ndarray:
     """The natural log likelihood of each text's classes, in the order of the record, by the scaled forward recursion."""
-    classes, starts, lengths, _ = _sequences(row, None, False)
-    out = np.zeros(len(starts))
-    now = None
-    for t, n in enumerate(_active(lengths)):
-        now = (m.start[None, :] if t == 0 else now[:n] @ m.move) * m.emit[classes[starts[:n] + t]]
+    classes, starts, lengths, places = _sequences(row, False)
+    out, now = np.zeros(len(starts)), None
+    active, begins, at, _ = _by_step(starts, lengths)
+    classes = classes[at]
+    for t, (b, n) in enumerate(zip(begins.tolist(), active.tolist())):
+        now = m.emit[classes[b : b + n]] * (m.start if t == 0 else now[:n] @ m.move)
         total = now.sum(axis=1)
         now /= total[:, None]
         out[:n] += np.log(total)
     result = np.empty(len(starts))
-    result[np.argsort(-np.frombuffer(row["lengths"], "<u4").astype(np.int64), kind="stable")] = out
+    result[places] = out
     return result
 
 
@@ -186,11 +190,15 @@ def _expect(shared):
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class counts of groups of similar training texts of one chunk, by k-means over their commonest classes."""
+    """Class counts of groups of similar pieces of one chunk's training texts, by k-means over their commonest classes."""
     for batch in batches:
         row = batch.to_pylist()[0]
-        classes, starts, lengths, _ = _sequences(row, SEGMENT, True)
-        starts, lengths = starts[:2000], lengths[:2000]
+        classes, starts, lengths, _ = _sequences(row, True)
+        pieces = -(-lengths // SEGMENT)
+        offset = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+        starts, lengths = np.repeat(starts, pieces) + offset, np.minimum(np.repeat(lengths, pieces) - offset, SEGMENT)
+        longest = np.argsort(-lengths, kind="stable")[:2000]
+        starts, lengths = starts[longest], lengths[longest]
         hist = np.array([np.bincount(classes[s : s + n], minlength=CLASSES) for s, n in zip(starts, lengths)], np.float32).reshape(-1, CLASSES)
         if len(hist):
             x = np.sqrt(hist[:, np.argsort(-hist.sum(axis=0), kind="stable")[:512]])
