@@ -121,13 +121,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labels:
     known = materialise(known.orderBy(F.xxhash64("_tc_id"), "_tc_id", "_tc_label").limit(max_labels))
     # At most max_labels rows of two numbers are broadcast.
     rows = docs.join(F.broadcast(known), docs["doc_id"] == F.col("_tc_id")).groupBy("_tc_id", "_tc_label").agg(F.min("text").alias("text"))
-    rows = rows.select(F.col("_tc_label").alias("label"), "text")
-    sample = materialise(with_statistics(rows).select("label", "_tc_stats"))
+    rows = rows.select("_tc_id", F.col("_tc_label").alias("label"), "text")
+    sample = materialise(with_statistics(rows).select("_tc_id", "label", "_tc_stats"))
     ones, n = sample.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("*")).first()
     if ones in (0, n):
         share = (ones + 1) / (n + 2)
         return RuleModel(math.log(share / (1 - share)), {})
-    sample = sample.repartition(4)
+    # The forest draws its rows by their order, so that is set: equal tables give equal models, however they are partitioned.
+    sample = sample.repartition(4, "_tc_id").sortWithinPartitions("_tc_id", "label")
     vectors = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(sample.select("label", "_tc_stats.*"))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", maxBins=64, seed=7).fit(vectors)
     rules = sorted(set().union(*(tree_paths(t.toDebugString) for t in forest.trees)))
