@@ -248,6 +248,38 @@ def test_forward_is_the_sum_over_all_paths():
     assert start.sum() == pytest.approx(1, rel=1e-4) and moves.sum() == pytest.approx(2, rel=1e-4) and found.sum() == pytest.approx(3, rel=1e-4)
 
 
+def test_expected_counts_sum_over_all_paths_of_whole_texts():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    k = hmm.STATES
+    model = hmm._model(rng.random(k), rng.random((k, k)) * 9, rng.random((hmm.CLASSES, k)) * 9, np.full(hmm.CLASSES, 1 / hmm.CLASSES))
+    texts, held, classes = [[0], [2, 1, 2, 0], [1, 1], [3, 0], [1, 2, 0]], [False, False, True, False, False], [5, 17, 200, 17]
+    row = {"tokens": np.concatenate(texts).astype("<u4").tobytes(), "classes": classes, "lengths": np.array(list(map(len, texts)), "<u4").tobytes(), "held": held}
+    start, moves, found = np.zeros(k), np.zeros((k, k)), np.zeros((hmm.CLASSES, k))
+    for text, out in zip(texts, held):
+        seen = [classes[w] for w in text]
+        paths = list(itertools.product(range(k), repeat=len(seen)))
+        chance = np.array([model.start[p[0]] * np.prod([model.move[a, b] for a, b in zip(p, p[1:])]) * np.prod([model.emit[c, s] for c, s in zip(seen, p)]) for p in paths])
+        for p, share in zip(paths, chance / chance.sum() * (not out)):
+            start[p[0]] += share
+            for a, b in zip(p, p[1:]):
+                moves[a, b] += share
+            for c, s in zip(seen, p):
+                found[c, s] += share
+    for got, exact in zip(hmm.expected_counts(row, model), (start, moves, found)):
+        assert np.allclose(got, exact, rtol=1e-4, atol=1e-6)
+    assert all(not x.any() for x in hmm.expected_counts({**row, "held": [True] * 5}, model))
+
+
+def test_moves_are_counted_through_long_texts():
+    k, n = hmm.STATES, 3 * hmm.SEGMENT
+    model = hmm._model(np.ones(k), np.eye(k) * 50, np.ones((hmm.CLASSES, k)), np.full(hmm.CLASSES, 1 / hmm.CLASSES))
+    row = {"tokens": np.zeros(n, "<u4").tobytes(), "classes": [7], "lengths": np.array([n], "<u4").tobytes(), "held": [False]}
+    start, moves, found = hmm.expected_counts(row, model)
+    assert (start.sum(), moves.sum(), found.sum()) == pytest.approx((1, n - 1, n), rel=1e-4)
+
+
 def test_contamination(spark, docs, rows):
     benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     items = {r.item_id: decontamination.item_words(r.text) for r in benchmark.collect()}
@@ -341,6 +373,15 @@ def test_quality_is_learnt(spark):
     assert np.mean([r.predicted == r.quality for r in scored]) > 0.97
 
 
+def test_quality_does_not_depend_on_partitions(spark):
+    folder = FOLDER.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    one = quality.fit(docs.repartition(3), labels)
+    other = quality.fit(docs.repartition(17).orderBy(F.desc("text")), labels.repartition(5))
+    assert one.intercept == pytest.approx(other.intercept, abs=1e-6)
+    assert one.weights == pytest.approx(other.weights, abs=1e-6)
+
+
 def test_pipeline_runs_to_packed_pieces(spark, rows):
     import corpus_pipeline
 
