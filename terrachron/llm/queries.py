@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrachron.llm.codes import vector_codes
 from terrachron.llm.common import table
 from terrachron.llm.decontamination import contamination
 from terrachron.llm.embeddings import embedding_duplicates
@@ -12,7 +13,9 @@ from terrachron.llm.lines import line_report
 from terrachron.llm.near_dup import near_duplicates
 from terrachron.llm.packing import pack_documents
 from terrachron.llm.quality import quality_scores
+from terrachron.llm.secret_scan import find_secrets
 from terrachron.llm.sharding import assign_shards
+from terrachron.llm.spelling import spelling_groups, word_counts
 from terrachron.llm.sql import ORACLE_SQL
 from terrachron.llm.substrings import repeat_report
 from terrachron.llm.urls import judge_urls
@@ -58,6 +61,33 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of at least 6 letters and 5 occurrences in whole documents, with near words, forms and roots.
+
+    Null and empty texts have no words, a null doc_id counts as an empty string in the checksum, repeated rows count each time; ties go to
+    the smallest word. An empty table gives no rows; other columns aren't read.
+    """
+    return spelling_groups(word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all whole vectors of embeddings.
+
+    Null vectors and those with null or non-finite components are left out, and so are those of another than the commonest length; null labels
+    are one label, repeated rows are coded each for itself, ties go to the lower entry. An empty table gives no rows.
+    """
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of documents.
+
+    Null and empty texts give a row without spans, repeated rows one each. Spans come by start and then by kind. An empty
+    table gives no rows; other columns aren't read.
+    """
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
@@ -69,6 +99,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op10_substrings": op10_substrings,
     "op9_decontamination": op9_decontamination,
+    "op11_spelling": op11_spelling,
+    "op12_codes": op12_codes,
+    "op13_secrets": op13_secrets,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
