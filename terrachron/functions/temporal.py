@@ -6,6 +6,9 @@ A value covers the days from its start to its end key. Intervals are closed; a n
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
+
 from pyspark.sql import Column, functions as F
 
 #: The text form of a calendar value, and the open sides of an interval.
@@ -51,6 +54,60 @@ def parse(text: Column) -> Column:
     return let(F.trim(text), of_text)
 
 
+class Point(NamedTuple):
+    """A calendar value that is known when a query is written: its bounds become literals, which reach the scan."""
+
+    canonical: str
+    precision: str
+    start: int
+    end: int
+
+
+def constant(text: str | None) -> Point | None:
+    """What `parse` makes of a column, of one text."""
+    found = re.match(PATTERN, (text or "").strip(" "), re.ASCII)
+    if not found:
+        return None
+    sign, digits, mm, dd = (x or "" for x in found.groups())
+    year, month, day = int(digits) * (-1 if sign == "-" else 1), int(mm or 1), int(dd or 1)
+    if year == 0 or not (sign or len(digits) == 4) or not 1 <= month <= 12:
+        return None
+    leap = year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
+    last = 28 + leap if month == 2 else 30 if month in (4, 6, 9, 11) else 31
+    if not 1 <= day <= last:
+        return None
+    base, precision = year * 10000, "date" if dd else "month" if mm else "year"
+    start = base + month * 100 + day
+    return Point(found[0], precision, start, start if dd else base + month * 100 + last if mm else base + 1231)
+
+
+def constant_month_end(text: str | None) -> Column:
+    """The last day of a month, as a literal; null for anything else."""
+    p = constant(text)
+    return F.lit(p.end if p and p.precision == "month" else None).cast("long")
+
+
+def constant_start(text: str | None) -> Column:
+    p = constant(text)
+    return F.lit(p.start if p else None).cast("long")
+
+
+def constant_end(text: str | None) -> Column:
+    p = constant(text)
+    return F.lit(p.end if p else None).cast("long")
+
+
+def day_before(text: str | None) -> Column:
+    """The last day of the month before a month, as a literal; null for anything else and at the first month of all."""
+    p = constant(text)
+    if not p or p.precision != "month":
+        return F.lit(None).cast("long")
+    year, month = p.start // 10000, p.start % 10000 // 100 - 1
+    if month == 0:
+        year, month = -1 if year == 1 else year - 1, 12
+    return constant_month_end(f"{'-' if year < 0 else '+' if year > 9999 else ''}{abs(year):04d}-{month:02d}" if abs(year) <= LAST_YEAR else None)
+
+
 def is_valid(text: Column) -> Column:
     """Whether a text is blank, null or a calendar value."""
     return text.isNull() | (F.trim(text) == "") | parse(text).isNotNull()

@@ -59,9 +59,7 @@ def set_property(properties: DataFrame, lifetimes: DataFrame, changes: DataFrame
     month or later and holds its end takes the value. Without such a row, a new one lasts until the next row of the
     property or the end of the lifetime that holds the month's end; objects that aren't alive then are left alone.
     """
-    p = temporal.parse(F.lit(month))
-    first, last = p["start"], p["end"]
-    before = temporal.month_end_key(temporal.shift_month(F.lit(month), -1))
+    first, last, before = temporal.constant_start(month), temporal.constant_end(month), temporal.day_before(month)
     key = ["object_id", "property"]
     new = changes.select(*key, F.col("value").alias("_new"))
     rows = properties.join(new, key, "left")

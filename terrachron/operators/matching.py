@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from terrachron.operators import ranges
+
 
 def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Planar distance from a point to a segment, which may be a single point."""
@@ -113,5 +115,5 @@ def combined_rows(sources: list[tuple[DataFrame, int]], key: str, order: list[st
 
 def batches(rows: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
     """rows with `batch`, from 1, of at most `size` rows for each group."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("batch", F.ceil(F.row_number().over(w) / size).cast("int"))
+    placed = ranges.running(rows, keys, order, F.lit(1).cast("long"), "_at")
+    return placed.withColumn("batch", (F.floor(F.col("_at") / size) + 1).cast("int")).drop("_at")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from terrachron.functions.geometry import bounds, signed_area
+from terrachron.functions.geometry import signed_area
 from terrachron.operators import cells
 from terrachron.operators.walks import in_order, walks
 from terrachron.sources.shared import settled
@@ -101,6 +101,23 @@ def _cuts(edges: DataFrame, cell: int) -> DataFrame:
     return cut.where(inside & ~at_end).distinct()
 
 
+def _split(rows: DataFrame, cuts: DataFrame, keys: list[str], signs: list[str]) -> DataFrame:
+    """Rows (gid, x1, y1, x2, y2, keys, signs) cut at the points inside of their edges. Signs belong to an edge's way: they change where its ends change places."""
+    at = ["gid", *ENDS]
+    cut_edges = cuts.select(*at).distinct()
+    some = rows.join(cut_edges, at, "left_semi")
+    both = F.array(F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")), F.struct(F.col("x2").alias("px"), F.col("y2").alias("py")))
+    points = some.withColumn("p", F.explode(both)).select(*at, *keys, *signs, "p.px", "p.py").unionByName(some.join(cuts, at).select(*at, *keys, *signs, "px", "py"))
+    # Along an edge x never falls, and y goes one way.
+    w = Window.partitionBy(*at, *keys).orderBy("px", F.when(F.col("y2") < F.col("y1"), -F.col("py")).otherwise(F.col("py")))
+    nxt = points.withColumns({"qx": F.lead("px").over(w), "qy": F.lead("py").over(w)}).where("qx is not null")
+    # Rounding may turn a short, steep piece round: its ends are put in order again.
+    back = (F.col("qx") < F.col("px")) | ((F.col("qx") == F.col("px")) & (F.col("qy") < F.col("py")))
+    pick = lambda x, y: F.when(back, F.col(y)).otherwise(F.col(x))
+    pieces = nxt.select("gid", pick("px", "qx").alias("x1"), pick("py", "qy").alias("y1"), pick("qx", "px").alias("x2"), pick("qy", "py").alias("y2"), *keys, *(F.when(back, -F.col(s)).otherwise(F.col(s)).alias(s) for s in signs))
+    return rows.join(cut_edges, at, "left_anti").select(*at, *keys, *signs).unionByName(pieces)
+
+
 def arranged(edges: DataFrame, cell: int = CELL) -> DataFrame:
     """Net edges split until they meet at their ends only."""
     now = settled(edges)
@@ -108,19 +125,19 @@ def arranged(edges: DataFrame, cell: int = CELL) -> DataFrame:
         cuts = settled(_cuts(now, cell))
         if not cuts.take(1):
             return now
-        cut_edges = cuts.select("gid", *ENDS).distinct()
-        whole = now.join(cut_edges, ["gid", *ENDS], "left_anti")
-        ends = now.join(cut_edges, ["gid", *ENDS], "left_semi")
-        points = ends.select("gid", *ENDS, "a", "b", F.explode(F.array(F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")), F.struct(F.col("x2").alias("px"), F.col("y2").alias("py")))).alias("p")).select("gid", *ENDS, "a", "b", "p.px", "p.py")
-        points = points.unionByName(cuts.withColumns({"a": F.lit(None).cast("long"), "b": F.lit(None).cast("long")}))
-        # Along an edge x never falls, and y goes one way.
-        w = Window.partitionBy("gid", *ENDS).orderBy("px", F.when(F.col("y2") < F.col("y1"), -F.col("py")).otherwise(F.col("py")))
-        nxt = points.withColumns({"qx": F.lead("px").over(w), "qy": F.lead("py").over(w), "a": F.first("a", ignorenulls=True).over(w), "b": F.first("b", ignorenulls=True).over(w)}).where("qx is not null")
-        # Rounding may turn a short, steep piece round: its ends are put in order again, and its counts change sign.
-        back = (F.col("qx") < F.col("px")) | ((F.col("qx") == F.col("px")) & (F.col("qy") < F.col("py")))
-        pick = lambda x, y: F.when(back, F.col(y)).otherwise(F.col(x))
-        pieces = nxt.select("gid", pick("px", "qx").alias("x1"), pick("py", "qy").alias("y1"), pick("qx", "px").alias("x2"), pick("qy", "py").alias("y2"), *(F.when(back, -F.col(s)).otherwise(F.col(s)).alias(s) for s in "ab"))
-        now = settled(net(whole.unionByName(pieces.select("gid", *ENDS, "a", "b"))))
+        now = settled(net(_split(now, cuts, [], ["a", "b"])))
+    raise RuntimeError("edges did not settle on the grid")
+
+
+def pieces_of(edges: DataFrame, cell: int = CELL) -> DataFrame:
+    """Distinct edges (gid, x1, y1, x2, y2) split until they meet at their ends only, each piece with the edge that it comes from: of_x1 to of_y2; way is -1 where it runs the other way."""
+    of = [f"of_{c}" for c in ENDS]
+    now = settled(edges.select("gid", *ENDS).distinct().select("*", *(F.col(c).alias(o) for c, o in zip(ENDS, of, strict=True)), F.lit(1).cast("long").alias("way")))
+    for _ in range(ROUNDS):
+        cuts = settled(_cuts(now.select("gid", *ENDS).distinct(), cell))
+        if not cuts.take(1):
+            return now
+        now = settled(_split(now, cuts, of, ["way"]))
     raise RuntimeError("edges did not settle on the grid")
 
 
@@ -306,14 +323,3 @@ def chains(edges: DataFrame, scale: int = SCALE) -> DataFrame:
     )
     points = F.concat(F.transform("s", lambda s: s["p"]), F.array(F.element_at("s", -1)["q"]))
     return found.select("gid", F.col("head").alias("line_id"), "n", (F.get("s", F.lit(0))["p"] == F.element_at("s", -1)["q"]).alias("closed"), "length", points.alias("points"))
-
-
-def meeting_rings(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """(a_id, b_id): rings (id, ring) whose boxes share more than an edge."""
-    from terrachron.operators.spatial import boxes_join
-
-    boxed = [df.select("id", bounds(F.col("ring")).alias("b")).select("id", "b.*") for df in (a, b)]
-    pairs = boxes_join(*boxed, size)
-    sides = [df.select(F.col("id").alias(f"{s}_id"), *(F.col(c).alias(f"{s}{c}") for c in "wsen")) for df, s in zip(boxed, "ab", strict=True)]
-    strict = (F.col("aw") < F.col("be")) & (F.col("bw") < F.col("ae")) & (F.col("as") < F.col("bn")) & (F.col("bs") < F.col("an"))
-    return pairs.join(sides[0], "a_id").join(sides[1], "b_id").where(strict).select("a_id", "b_id")

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from terrachron.functions.temporal import let
+
 
 def coalesced_reads(packs: DataFrame, gap: int = 32 * 1024, span: int = 1024 * 1024) -> DataFrame:
     """packs (shard, offset, length) with `start`, the first byte of the read that fetches the pack.
@@ -82,5 +84,7 @@ def resample_weights(size: Column, out_size: Column, index: Column, kind: str) -
     start = F.greatest(F.lit(0), (centre - radius + 0.5).cast("int"))
     stop = F.least(size.cast("int"), (centre + radius + 0.5).cast("int"))
     values = F.transform(F.sequence(start, stop - 1), lambda j: _lobe((j - centre + 0.5) / wide, kind))
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-    return F.struct(start.alias("start"), F.transform(values, lambda v: F.round(F.when(total == 0, v).otherwise(v / total) * (1 << 22)).cast("long")).alias("weights"))
+    # The values, and then their sum, are computed once.
+    summed = let(values, lambda v: F.struct(v.alias("v"), F.aggregate(v, F.lit(0.0), lambda s, x: s + x).alias("total")))
+    shares = let(summed, lambda s: F.transform(s["v"], lambda v: F.round(F.when(s["total"] == 0, v).otherwise(v / s["total"]) * (1 << 22)).cast("long")))
+    return F.struct(start.alias("start"), shares.alias("weights"))

@@ -102,5 +102,5 @@ def place_order() -> list[Column]:
 
 def valid_on(valid_from: Column, valid_to: Column, date: str) -> Column:
     """Whether a place's closed interval meets a calendar value."""
-    i, p = temporal.interval(valid_from, valid_to), temporal.parse(F.lit(date))
-    return F.coalesce(temporal.contains(i["lo"], i["hi"], p["start"], p["end"]), F.lit(False))
+    i = temporal.interval(valid_from, valid_to)
+    return F.coalesce(temporal.contains(i["lo"], i["hi"], temporal.constant_start(date), temporal.constant_end(date)), F.lit(False))

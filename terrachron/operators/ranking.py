@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from terrachron.operators import ranges
+
 
 def top(df: DataFrame, k: int, order: list[Column]) -> tuple[DataFrame, DataFrame]:
     """The first k rows, and one row `truncated` telling whether there were more."""
@@ -31,10 +33,7 @@ def profile(df: DataFrame, keys: list[str], order: list[str], length: str) -> Da
 
 def bounds_on_circle(df: DataFrame, key: str, lon: str) -> DataFrame:
     """key, west, east: the smallest arc with all of a key's longitudes; its outside is the largest gap (the first of equal ones)."""
-    points = df.select(key, F.col(lon).alias("_x")).distinct()
-    w = Window.partitionBy(key).orderBy("_x")
-    nxt = F.coalesce(F.lead("_x").over(w), F.first("_x").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + 360)
-    gaps = points.withColumn("_next", nxt).withColumn("_gap", F.col("_next") - F.col("_x"))
-    best = top_per_group(gaps, [key], 1, [F.desc("_gap"), F.asc("_x")], "_r")
-    west = F.when(F.col("_next") >= 180, F.col("_next") - 360).otherwise(F.col("_next"))
-    return best.select(key, west.alias("west"), F.col("_x").alias("east"))
+    gaps = ranges.following(df.select(key, F.col(lon).alias("_x")), [key], "_x").withColumn("_next", F.coalesce("next", F.col("least") + 360))
+    best = gaps.groupBy(key).agg(F.max_by(F.struct("_x", "_next"), F.struct((F.col("_next") - F.col("_x")).alias("g"), (-F.col("_x")).alias("x"))).alias("b"))
+    west = F.when(F.col("b._next") >= 180, F.col("b._next") - 360).otherwise(F.col("b._next"))
+    return best.select(key, west.alias("west"), F.col("b._x").alias("east"))

@@ -6,38 +6,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from terrachron.functions.geometry import boxes_meet
 from terrachron.functions.numeric import rank_distance_km
+from terrachron.operators import cells
 
 
 def boxes_join(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """Pairs (a_id, b_id) of boxes (id, w, s, e, n) that meet, each pair once; boxes with a null side meet nothing.
 
-    Cells double in size from level to level. A box belongs to the first level whose cells are as large as the box, so
-    it lies in four of them at most, and is known in the coarser levels that occur. A pair meets in the coarser one of
-    its two levels, in the cell of the south-west corner of the common part, so nothing needs to be made distinct and
-    there is no loop over wide boxes.
+    A box belongs to the first level whose cells are as large as the box, so it lies in four of them at most, and is known in the coarser
+    levels that occur. A pair meets in the coarser one of its two levels, where the larger box is at home, in the cell of the
+    south-west corner of the common part: small boxes never meet each other in a coarse cell, and nothing needs to be made distinct.
     """
     sides = []
     for df, side in ((a, "a"), (b, "b")):
         known = df.dropna(subset=list("wsen"))
         extent = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"))
-        level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(size)) / size))).cast("int")
-        sides.append(known.select(F.col("id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}{c}") for c in "wsen"), level.alias(f"{side}_level")))
-    levels = set()
-    for df, side in zip(sides, "ab"):
-        levels |= {r[0] for r in df.select(f"{side}_level").distinct().collect()}  # a few numbers: the extents' logarithms
-    placed = []
-    for df, side in zip(sides, "ab"):
-        occurring = F.array(*map(F.lit, sorted(levels))) if levels else F.array().cast("array<int>")
-        df = df.withColumn("_level", F.explode(F.filter(occurring, lambda x: x >= F.col(f"{side}_level"))))
-        step = size * F.pow(F.lit(2.0), F.col("_level"))
-        across = F.explode(F.sequence(F.floor(F.col(f"{side}w") / step), F.floor(F.col(f"{side}e") / step)))
-        along = F.explode(F.sequence(F.floor(F.col(f"{side}s") / step), F.floor(F.col(f"{side}n") / step)))
-        placed.append(df.withColumn("_cx", across).withColumn("_cy", along))
-    step = size * F.pow(F.lit(2.0), F.col("_level"))
-    here = F.col("_level") == F.greatest("a_level", "b_level")
-    once = (F.col("_cx") == F.floor(F.greatest("aw", "bw") / step)) & (F.col("_cy") == F.floor(F.greatest("as", "bs") / step))
+        sides.append(known.select(F.col("id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}{c}") for c in "wsen"), cells.level_of(extent, size).alias("level")))
+    levels = cells.occurring(*(s.select("level") for s in sides))
+    reach = [([F.col(f"{side}w"), F.col(f"{side}s")], [F.col(f"{side}e"), F.col(f"{side}n")]) for side in "ab"]
+    own = [cells.own_cells(s, size, *r).drop("level") for s, r in zip(sides, reach, strict=True)]
+    above = [cells.coarser_cells(s, levels, size, *r).drop("level") for s, r in zip(sides, reach, strict=True)]
+    at = ["_level", "_c0", "_c1"]
+    pairs = own[0].join(own[1].unionByName(above[1]), at).unionByName(above[0].join(own[1], at))
+    once = cells.first_shared(size, 0, F.col("aw"), F.col("bw")) & cells.first_shared(size, 1, F.col("as"), F.col("bs"))
     meet = boxes_meet(*(F.col(f"{side}{c}") for side in "ab" for c in "wsen"))
-    return placed[0].join(placed[1], ["_level", "_cx", "_cy"]).where(here & once & meet).select("a_id", "b_id")
+    return pairs.where(once & meet).select("a_id", "b_id")
 
 
 def neighbours(points: DataFrame, km: float) -> DataFrame:

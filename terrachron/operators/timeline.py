@@ -24,7 +24,7 @@ def invalid_intervals(df: DataFrame, valid_from: str = "valid_from", valid_to: s
 
 def active_at(df: DataFrame, month: str) -> DataFrame:
     """Each object's first row that holds the month's last day."""
-    end = temporal.month_end_key(F.lit(month))
+    end = temporal.constant_month_end(month)
     return first_active(df, ["object_id"], temporal.contains_end(F.col("lo"), F.col("hi"), end), ["ord"])
 
 
@@ -51,9 +51,7 @@ def availability(objects: DataFrame, lifetimes: DataFrame, geometries: DataFrame
 
 def split_at(df: DataFrame, month: str) -> DataFrame:
     """Each row that spans a month's first day as two rows, before and from it; `part` tells which."""
-    p = temporal.parse(F.lit(month))
-    first = p["start"]
-    previous_end = temporal.month_end_key(temporal.shift_month(F.lit(month), -1))
+    first, previous_end = temporal.constant_start(month), temporal.day_before(month)
     spans = (F.col("lo") < first) & (F.col("hi") >= first)
     halves = F.array(
         F.struct(F.lit("before").alias("part"), F.col("lo").alias("lo"), previous_end.alias("hi")),
@@ -66,4 +64,4 @@ def split_at(df: DataFrame, month: str) -> DataFrame:
 
 def truncate_at(df: DataFrame, month: str) -> DataFrame:
     """Rows cut off from a month on: those that begin later go, those that span it end before it."""
-    return split_at(df, month).where((F.col("part") != "after") & (F.col("lo") < temporal.parse(F.lit(month))["start"])).drop("part")
+    return split_at(df, month).where((F.col("part") != "after") & (F.col("lo") < temporal.constant_start(month))).drop("part")

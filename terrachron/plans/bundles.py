@@ -114,7 +114,7 @@ def q127_system_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'gis' WHEN 1 THEN 'user' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'user' ELSE 'plugin' END AS kind, 'k' AS rest FROM events""")
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'gis' WHEN 1 THEN 'user' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'user' ELSE 'plugin' END AS kind, array_to_string(list_filter(json_keys(props), lambda x: x NOT IN ('dataset', 'version')), ',') AS rest FROM events""")
 def q128_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of sources, and fields that a record has no place for."""
     k = F.col("event_id")

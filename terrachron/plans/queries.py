@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from terrachron.functions import geometry, numeric, temporal, text
-from terrachron.operators import changes, hierarchy, intervals, places, quality, ranking, rivers, spatial, timeline
+from terrachron.operators import changes, hierarchy, intervals, places, quality, ranges, ranking, rivers, spatial, timeline
 from terrachron.sources.tables import table
 
 QUERIES: dict = {}
@@ -159,10 +159,9 @@ SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, ro
 FROM lineitem GROUP BY l_returnflag""")
 def q11_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated and nearest-rank quantiles."""
-    p = F.col("l_extendedprice")
-    cont = lambda q: F.round(F.percentile(p, F.lit(q)), 4)
-    disc = F.expr("percentile_disc(0.95) within group (order by l_extendedprice)")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(cont(0.5).alias("median"), cont(0.9).alias("p90"), cont(0.99).alias("p99"), disc.alias("p95_rank"), F.count("*").alias("n"), F.max(p).alias("most"))
+    rows = table(spark, sf_dir, "lineitem")
+    found = ranges.quantiles(rows, ["l_returnflag"], "l_extendedprice", {"median": 0.5, "p90": 0.9, "p99": 0.99, "most": 1.0}, {"p95_rank": 0.95})
+    return found.select("l_returnflag", *(F.round(c, 4).alias(c) for c in ("median", "p90", "p99")), "p95_rank", "n", "most")
 
 
 @query("""
@@ -370,16 +369,19 @@ def q30_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH p AS ({_POINTS.replace("embedding[1]", "CAST(embedding[1] AS DOUBLE)").replace("embedding[2]", "CAST(embedding[2] AS DOUBLE)")}),
-q AS (SELECT id, lon, lat FROM p)
-SELECT id, CAST(8 AS DOUBLE) AS area, round(lon, 3) AS mid_x, round(lat, 3) AS mid_y, 1 AS centre, 2 AS corner, 0 AS far FROM q""")
+e AS (SELECT vec_id, list_transform(embedding[3:6], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+q AS (SELECT id, lon, lat, round(2 + abs(e[1]) * 5, 3) AS a, round(1 + abs(e[2]) * 5, 3) AS b, round(e[3] * 15, 3) AS dx, round(e[4] * 8, 3) AS dy FROM p JOIN e ON id = vec_id)
+SELECT id, round(4 * a * b, 6) AS area, round(lon, 3) AS mid_x, round(lat, 3) AS mid_y, CAST(CASE WHEN abs(dx) > a OR abs(dy) > b THEN 0 WHEN abs(dx) = a OR abs(dy) = b THEN 2 ELSE 1 END AS INTEGER) AS probe, CAST(CASE WHEN abs(dx) > a THEN 0 ELSE 2 END AS INTEGER) AS top FROM q""")
 def q31_ring_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area, mean and point tests of a box of 4 by 2 around each point."""
-    lon, lat = F.col("lon"), F.col("lat")
-    corner = lambda dx, dy: F.struct((lon + dx).alias("x"), (lat + dy).alias("y"))
-    rows = _points(spark, sf_dir).withColumn("ring", F.array(corner(-2, -1), corner(2, -1), corner(2, 1), corner(-2, 1), corner(-2, -1)))
+    """Area, mean and point tests of a box around each point, as large as its vector says."""
+    part = lambda i: F.col("embedding")[i].cast("double")
+    sizes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(2 + F.abs(part(2)) * 5, 3).alias("a"), F.round(1 + F.abs(part(3)) * 5, 3).alias("b"), F.round(part(4) * 15, 3).alias("dx"), F.round(part(5) * 8, 3).alias("dy"))
+    lon, lat, a, b = (F.col(c) for c in ("lon", "lat", "a", "b"))
+    corner = lambda x, y: F.struct((lon + x * a).alias("x"), (lat + y * b).alias("y"))
+    rows = _points(spark, sf_dir).join(sizes, "id").withColumn("ring", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1)))
     ring, mean = F.col("ring"), geometry.vertex_mean(F.col("ring"))
-    at = lambda dx, dy: geometry.in_ring(lon + dx, lat + dy, ring).cast("int")
-    return rows.select("id", F.round(geometry.signed_area(ring), 6).alias("area"), F.round(mean["x"], 3).alias("mid_x"), F.round(mean["y"], 3).alias("mid_y"), at(0.0, 0.0).alias("centre"), at(2.0, 1.0).alias("corner"), at(3.0, 0.0).alias("far"))
+    at = lambda x, y: geometry.in_ring(lon + x, lat + y, ring).cast("int")
+    return rows.select("id", F.round(geometry.signed_area(ring), 6).alias("area"), F.round(mean["x"], 3).alias("mid_x"), F.round(mean["y"], 3).alias("mid_y"), at(F.col("dx"), F.col("dy")).alias("probe"), at(F.col("dx"), b).alias("top"))
 
 
 _REACHES = "SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS nxt, p_size AS a, p_retailprice AS f FROM part"

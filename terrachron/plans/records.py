@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrachron.functions import projection
 from terrachron.functions.geometry import signed_area
-from terrachron.operators import calibration, changes, edits, entities, matching, quality, ranking, rasters, shapes, terrain
+from terrachron.operators import calibration, changes, edits, entities, matching, quality, ranges, ranking, rasters, shapes, terrain
 from terrachron.plans.proofs import _DAY, _LAT, _LON, _RING, _TREE, _tree, day, points
 from terrachron.plans.queries import query
 from terrachron.sources import files, geonames, geopackage
@@ -41,11 +41,12 @@ def q75_document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 6) AS mean, round(quantile_cont(c_acctbal, 0.5), 6) AS median, round(sum(c_acctbal * (c_nationkey % 2)) / sum(c_acctbal), 6) AS residual, max(abs(c_acctbal / 5000 - 1)) <= 1.1 AS accepted, round(count(*) / 25.0 * 100, 6) AS whole FROM customer GROUP BY c_mktsegment")
 def q76_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample summaries, residual shares, acceptance, extrapolation."""
-    v = F.col("c_acctbal")
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(
-        F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, F.lit(0.5)), 6).alias("median"), F.round(entities.residual_share(v, F.col("c_nationkey") % 2), 6).alias("residual"),
+    v, rows = F.col("c_acctbal"), table(spark, sf_dir, "customer")
+    found = rows.groupBy("c_mktsegment").agg(
+        F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(entities.residual_share(v, F.col("c_nationkey") % 2), 6).alias("residual"),
         calibration.accepted(v / 5000, 1.1).alias("accepted"), F.round(entities.extrapolated(F.count("*"), F.lit(25), 100), 6).alias("whole"),
     )
+    return found.join(ranges.quantiles(rows, ["c_mktsegment"], "c_acctbal", {"median": 0.5}).select("c_mktsegment", F.round("median", 6).alias("median")), "c_mktsegment")
 
 
 @query("SELECT o_orderkey, o_totalprice, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) + 99) // 100 AS INTEGER) AS batch FROM orders")
@@ -89,21 +90,23 @@ def q80_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_GRID = "SELECT CAST(i % 24 AS BIGINT) AS x, CAST(i // 24 AS BIGINT) AS y, v AS value FROM (SELECT p_partkey AS i, p_retailprice AS v FROM part WHERE p_partkey < 192)"
+_GRID = "SELECT CAST(p_partkey % 20 AS BIGINT) AS x, CAST(p_partkey // 20 AS BIGINT) AS y, p_retailprice AS value FROM part"
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raster of 24 by 8 pixels: the whole of it is the first 192 parts' prices."""
+    """A raster of the prices of all parts, 20 columns wide."""
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where(k < 192).select((k % 24).alias("x"), F.floor(k / 24).cast("long").alias("y"), F.col("p_retailprice").alias("value"))
+    return table(spark, sf_dir, "part").select((k % 20).alias("x"), F.floor(k / 20).cast("long").alias("y"), F.col("p_retailprice").alias("value"))
 
 
 @query(f"""
-WITH g AS ({_GRID}), t AS (SELECT tx, ty, px, py FROM range(0, 6) a(tx), range(0, 2) b(ty), range(-1, 5) c(px), range(-1, 5) d(py))
-SELECT tx, ty, px, py, value FROM t JOIN g ON x = (tx * 4 + px + 24) % 24 AND y = least(7, greatest(0, ty * 4 + py))""")
+WITH g AS ({_GRID}), h AS (SELECT max(y) + 1 AS h FROM g), t AS (SELECT tx, ty, px, py FROM range(0, 10) a(tx), (SELECT unnest(range(0, (SELECT h // 2 FROM h))) AS ty) b, range(-1, 3) c(px), range(-1, 3) d(py))
+SELECT tx, ty, px, py, value FROM t JOIN g ON x = (tx * 2 + px + 20) % 20 AND y = least((SELECT h FROM h) - 1, greatest(0, ty * 2 + py))""")
 def q81_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles with a border: columns wrap, rows end (K8)."""
-    return terrain.with_gutters(_grid(spark, sf_dir), 24, 8, 4).select("tx", "ty", "px", "py", "value")
+    grid = _grid(spark, sf_dir)
+    height = grid.agg(F.max("y")).first()[0] + 1
+    return terrain.with_gutters(grid, 20, height, 2).select("tx", "ty", "px", "py", "value")
 
 
 @query(f"""
@@ -150,11 +153,11 @@ def q85_tile_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT DISTINCT 0 AS level, CAST(p_partkey % 37 AS INTEGER) AS c, CAST(p_size AS INTEGER) AS r FROM part WHERE p_partkey % 9 = 0)
+WITH t AS (SELECT DISTINCT 0 AS level, CAST(p_partkey % 37 AS INTEGER) AS c, CAST(p_size AS INTEGER) AS r FROM part)
 SELECT DISTINCT 0 AS level, CAST(c + dx AS INTEGER) AS column, CAST(r + dy AS INTEGER) AS row FROM t, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE c + dx BETWEEN 0 AND 39 AND r + dy BETWEEN 0 AND 49 AND NOT EXISTS (SELECT 1 FROM t u WHERE u.c = t.c + dx AND u.r = t.r + dy)""")
 def q86_neighbour_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tiles around given ones."""
-    tiles = table(spark, sf_dir, "part").where("p_partkey % 9 = 0").select(F.lit(0).alias("level"), (F.col("p_partkey") % 37).cast("int").alias("column"), F.col("p_size").cast("int").alias("row")).distinct()
+    tiles = table(spark, sf_dir, "part").select(F.lit(0).alias("level"), (F.col("p_partkey") % 37).cast("int").alias("column"), F.col("p_size").cast("int").alias("row")).distinct()
     return rasters.neighbour_tiles(tiles, 40, 50)
 
 
@@ -301,13 +304,15 @@ def q99_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT o_custkey AS entity_id, count(*) AS n, min(o_orderkey) AS sole FROM orders WHERE o_orderkey % 6 = 0 GROUP BY 1), c AS (SELECT c_custkey AS entity_id, c_custkey * 6 AS asked FROM customer WHERE c_custkey % 4 = 0)
+WITH v AS (SELECT o_custkey AS entity_id, count(*) AS n, min(o_orderkey) AS sole FROM orders GROUP BY 1), c AS (SELECT c_custkey AS entity_id, CASE WHEN c_custkey % 2 = 0 THEN last ELSE c_custkey END AS asked FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_acctbal < 7000)
 SELECT entity_id, CASE WHEN t THEN asked WHEN asked IS NULL AND n = 1 THEN sole END AS version_id, CASE WHEN t OR asked IS NULL AND n = 1 THEN NULL WHEN asked IS NOT NULL THEN 'unknown version' ELSE 'ambiguous' END AS issue
-FROM (SELECT v.*, asked, coalesce(EXISTS (SELECT 1 FROM orders WHERE o_custkey = v.entity_id AND o_orderkey = asked AND o_orderkey % 6 = 0), false) AS t FROM v LEFT JOIN c USING (entity_id))""")
+FROM (SELECT v.*, asked, coalesce(EXISTS (SELECT 1 FROM orders WHERE o_custkey = v.entity_id AND o_orderkey = asked), false) AS t FROM v LEFT JOIN c USING (entity_id))""")
 def q100_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version that stands for an undated entity."""
-    versions = table(spark, sf_dir, "orders").where("o_orderkey % 6 = 0").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("version_id"))
-    chosen = table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("entity_id"), (F.col("c_custkey") * 6).alias("version_id"))
+    versions = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("version_id"))
+    last = versions.groupBy("entity_id").agg(F.max("version_id").alias("last"))
+    rows = table(spark, sf_dir, "customer").where("c_acctbal < 7000").select(F.col("c_custkey").alias("entity_id")).join(last, "entity_id", "left")
+    chosen = rows.select("entity_id", F.when(F.col("entity_id") % 2 == 0, F.col("last")).otherwise(F.col("entity_id")).alias("version_id"))
     return entities.representatives(versions, chosen)
 
 
@@ -340,7 +345,7 @@ def q103_static_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = entities.entities_at(rows, "o_custkey", "lo", "hi", 19970331).withColumn("listed", F.lit(True))
     one = entities.static_document(rows.select("o_custkey").distinct(), rows, "o_custkey", "lo", "hi", "o_orderkey", 19970331)
     month = entities.initial_month(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 = 1"))
-    out = one.join(listed, "o_custkey", "left").withColumn("_k", F.lit(1)).join(month.withColumn("_k", F.lit(1)), "_k")  # one row
+    out = one.join(listed, "o_custkey", "left").crossJoin(F.broadcast(month))  # one row
     return out.select("o_custkey", "o_orderkey", "hidden", F.coalesce("listed", F.lit(False)).alias("listed"), "month")
 
 
@@ -423,21 +428,21 @@ def q111_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.perimeter(_squares(spark, sf_dir))
 
 
-@query("SELECT p_partkey AS owner, p_partkey % 3 <> 0 AS was, true AS now, CAST(1 AS DOUBLE) AS area, p_partkey % 2 = 0 AS holds, false AS held, CAST(5 AS INTEGER) AS positions, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'open' WHEN 2 THEN 'repeated' ELSE 'flat,crossing' END AS issues, p_partkey % 5 <> 0 AS equal FROM part")
+@query("SELECT p_partkey AS owner, p_partkey % 3 <> 0 AS was, true AS now, CAST(1 AS DOUBLE) AS area, 0.25 + p_size / 50 <= 1 AS holds, false AS held, CAST(5 AS INTEGER) AS positions, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'open' WHEN 2 THEN 'repeated' ELSE 'flat,crossing' END AS issues, p_partkey % 5 <> 0 AS equal FROM part")
 def q112_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winding, containment, statistics, issues and equality of rings."""
     ring, k = F.col("ring"), F.col("owner")
     x0, y0 = ring[0]["x"], ring[0]["y"]
     p = lambda dx, dy: F.struct((x0 + dx).alias("x"), (y0 + dy).alias("y"))
     small = F.array(p(0.25, 0.25), p(0.5, 0.25), p(0.5, 0.5), p(0.25, 0.25))
-    across = F.array(p(0.25, 0.25), p(1.5, 0.25), p(0.5, 0.5), p(0.25, 0.25))
+    across = F.array(p(0.25, 0.25), p(0.25 + F.col("p_size") / 50, 0.25), p(0.5, 0.5), p(0.25, 0.25))
     bow = F.array(p(0.0, 0.0), p(1.0, 1.0), p(1.0, 0.0), p(0.0, 1.0), p(0.0, 0.0))
     odd = F.when(k % 4 == 0, ring).when(k % 4 == 1, F.slice(ring, 1, 4)).when(k % 4 == 2, F.concat(F.slice(ring, 1, 1), ring)).otherwise(bow)
     moved = F.transform(ring, lambda v: F.struct((v["x"] + F.when(k % 5 == 0, 1e-9).otherwise(0.0)).alias("x"), v["y"].alias("y")))
-    rows = _squares(spark, sf_dir)
+    rows = _squares(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("owner"), "p_size"), "owner")
     return rows.select(
         "owner", shapes.is_wound(ring).alias("was"), shapes.is_wound(shapes.wound(ring)).alias("now"), F.abs(signed_area(ring)).alias("area"),
-        shapes.contains(ring, F.when(k % 2 == 0, small).otherwise(across)).alias("holds"), shapes.contains(small, ring).alias("held"), shapes.polygon_statistics(F.array(F.array(ring)))["positions"].alias("positions"),
+        shapes.contains(ring, across).alias("holds"), shapes.contains(small, ring).alias("held"), shapes.polygon_statistics(F.array(F.array(ring)))["positions"].alias("positions"),
         F.array_join(shapes.ring_issues(odd), ",").alias("issues"), shapes.equal_within(ring, moved).alias("equal"),
     )
 

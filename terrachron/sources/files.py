@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from terrachron.operators import ranges
 
 
 def features(rows: DataFrame, geometry: str, properties: list[str]) -> DataFrame:
@@ -12,12 +14,9 @@ def features(rows: DataFrame, geometry: str, properties: list[str]) -> DataFrame
 
 
 def parts(rows: DataFrame, key: str, text: str, most_bytes: int) -> DataFrame:
-    """rows with `part`: by running size within each key, so a part has at most most_bytes plus its last row.
-
-    The running sum is a window of each key; keys are files to write, so one key is one output by intention.
-    """
-    w = Window.partitionBy(key).orderBy(text).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("part", F.floor(F.coalesce(F.sum(F.octet_length(text) + 1).over(w), F.lit(0)) / most_bytes).cast("int"))
+    """rows with `part`: by running size within each key, so a part has at most most_bytes plus its last row. A key may be of any size: it is dealt by ranges."""
+    placed = ranges.running(rows, [key], [text], F.octet_length(text) + 1, "_at")
+    return placed.withColumn("part", F.floor(F.col("_at") / most_bytes).cast("int")).drop("_at")
 
 
 def write_parts(rows: DataFrame, key: str, text: str, path: str, most_bytes: int = 512 * 1024) -> None:
