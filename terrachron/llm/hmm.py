@@ -20,16 +20,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from terrachron.llm.common import materialise, texts_in, words_of
+from terrachron.llm.common import materialise, mix, texts_in, words_of
 
 STATES, CLASSES, SUFFIX = 8, 8192, 4
 #: The end of a text is a word that no text can hold, in a class of its own: the last one.
 END = b"\n"
 CHUNK_TOKENS = 1_000_000
-#: Tokens of a piece of text that the states' first guess is grouped by; training and scores take whole texts.
-SEGMENT = 256
+#: How far the states differ at first: the ratio of their emissions of a class is at most e to this power.
+TILT = 3.0
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -189,31 +189,13 @@ def _expect(shared):
     return run
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class counts of groups of similar pieces of one chunk's training texts, by k-means over their commonest classes."""
-    for batch in batches:
-        row = batch.to_pylist()[0]
-        classes, starts, lengths, _ = _sequences(row, True)
-        pieces = -(-lengths // SEGMENT)
-        offset = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
-        starts, lengths = np.repeat(starts, pieces) + offset, np.minimum(np.repeat(lengths, pieces) - offset, SEGMENT)
-        longest = np.argsort(-lengths, kind="stable")[:2000]
-        starts, lengths = starts[longest], lengths[longest]
-        hist = np.array([np.bincount(classes[s : s + n], minlength=CLASSES) for s, n in zip(starts, lengths)], np.float32).reshape(-1, CLASSES)
-        if len(hist):
-            x = np.sqrt(hist[:, np.argsort(-hist.sum(axis=0), kind="stable")[:512]])
-            x /= np.linalg.norm(x, axis=1)[:, None] + 1e-9
-            chosen = [0]
-            while len(chosen) < STATES:
-                chosen.append(int((x @ x[chosen].T).max(axis=1).argmin()))
-            centres = x[chosen]
-            for _ in range(8):
-                group = (x @ centres.T).argmax(axis=1)
-                centres = np.stack([x[group == i].sum(axis=0) + 1e-3 * centres[i] for i in range(STATES)])
-                centres /= np.linalg.norm(centres, axis=1)[:, None] + 1e-9
-            sums = np.stack([hist[group == i].sum(axis=0) for i in range(STATES)], axis=1)
-            some = np.flatnonzero(sums.any(axis=1))
-            yield _rows(some, sums[some].astype(float))
+def _first_guess(share: np.ndarray) -> np.ndarray:
+    """Emissions to begin with (class x state): each class's share of all training tokens, tilted by a fixed hash of class and state.
+
+    It depends on the words' counts alone, so equal tables give equal models, however they are partitioned.
+    """
+    tilt = mix(np.arange(CLASSES * STATES, dtype=np.uint64), 6).reshape(CLASSES, STATES) >> np.uint64(11)
+    return share[:, None] * np.exp(TILT * (tilt / 2.0**53 - 0.5))
 
 
 def _collect(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,21 +264,18 @@ def language_scores(docs: DataFrame, rounds: int = 4) -> DataFrame:
     spark = docs.sparkSession
     # Each word's training count, beside each chunk that asks for it.
     asked = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "classes", "counts")).alias("pos", "w")).select("chunk", "pos", F.col("w.words").alias("word"), F.col("w.classes").alias("class"), F.col("w.counts").alias("n"))
-    of_word = Window.partitionBy("word")
-    told = asked.select("chunk", "pos", "class", F.sum("n").over(of_word).alias("c"), F.min("chunk").over(of_word).alias("first"))
-    told = materialise(told.where("c > 0"))
-    by_class = told.where("chunk = first").groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # CLASSES rows at most
+    # Counts are added up within tasks first; a common word, which each chunk asks for, is a skewed side of the join and is split.
+    counted = materialise(asked.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"), F.min("class").alias("class")))
+    by_class = counted.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # CLASSES rows at most
+    told = asked.select("chunk", "pos", "word").join(counted.select("word", "c").hint("merge"), "word").select("chunk", "pos", "c")
     sums = np.full(CLASSES, 0.5)  # an unknown word in each class
     for r in by_class:
         sums[r["class"]] += r["c"] + 0.5 * r["v"]
     total, vocabulary = sum(r["c"] for r in by_class), sum(r["v"] for r in by_class)
     share = sums / sums.sum()
     trained = chunks.where("exists(held, h -> not h)").select("chunk", "held", "lengths", "tokens", "classes")
-    first = trained.agg(F.min("chunk")).first()[0]
-    model = _model(np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)), share)
-    if first is not None:
-        seeds = _collect(trained.where(F.col("chunk") == first).mapInArrow(_seeds, COUNTS))[2]
-        model = _model(np.zeros(STATES), np.eye(STATES) * 500, seeds, share)
+    model = _model(np.zeros(STATES), np.eye(STATES) * 500, _first_guess(share) * total, share)
+    if total:
         for _ in range(rounds):
             shared = spark.sparkContext.broadcast(model)
             model = _model(*_collect(trained.mapInArrow(_expect(shared), COUNTS)), share)

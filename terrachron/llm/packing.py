@@ -197,12 +197,12 @@ def _pack(vocabulary: str, as_text: bool, end_id: int, size: int):
     return run
 
 
-def pack_documents(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe_50k.json", end_id: int = 1, special_as_text: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = 2048, vocabulary: str = "byte_bpe_50k.json", end_id: int = 1, special_as_text: bool = False) -> DataFrame:
     """Packs every document of docs (doc_id, text) into sequences of at most `size` tokens; one row for each piece.
 
     A null or empty text is the end token alone. Repeated rows are packed as often as they occur, a null doc_id stays
     null, an empty table gives no rows, other columns are ignored. `special_as_text`: the strings of special tokens
-    in a text are ordinary text. A sequence_id holds the task's number and a count within it, so a task that is run
+    in a text are ordinary text; else they are those tokens. A sequence_id holds the task's number and a count within it, so a task that is run
     again gives the same ids.
     """
     return docs.select("doc_id", "text").mapInArrow(_pack(vocabulary, special_as_text, end_id, size), PIECES)

@@ -1,9 +1,10 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 A text is cut behind white space where the gear hash of the bytes before is below a threshold, so cuts depend on the
-content nearby alone and fall in the same places of a passage wherever it stands. Chunks are compared by digest over
+content nearby alone and fall in the same places of a passage wherever it stands. In scripts without white space, where
+none lies within DENSE bytes before, the cut is between characters, by the same hash. Chunks are compared by digest over
 the whole corpus; every occurrence but the first (by doc_id, then position) is a repeat. A run of repeated chunks is
-removed if it has at least `min_words` words; shorter ones are ordinary language.
+removed if it has at least `min_words` words or `min_bytes` bytes; shorter ones are ordinary language.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A chunk has this many bytes at most (then it is cut anywhere between characters) and so many at least.
 MOST, LEAST = 1024, 16
+#: Behind so many bytes without white space a text is cut between characters, behind one of DENSE_CHUNK on average.
+DENSE, DENSE_CHUNK = 64, 16
+#: A run of so many bytes is long enough, however few words it has.
+RUN_BYTES = 192
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -41,7 +46,15 @@ def cuts(data: bytes, words: int) -> list[int]:
     space = SPACE[raw]
     after = space.copy()
     after[:-1] &= ~space[1:]  # behind the last of several white bytes
-    found = np.flatnonzero(after & (gear_hashes(raw) < np.uint32(0xFFFFFFFF // words))) + 1
+    hashes = gear_hashes(raw)
+    found = np.flatnonzero(after & (hashes < np.uint32(0xFFFFFFFF // words))) + 1
+    # How long ago the last white byte was; the start of the text counts as none, so cuts don't depend on it.
+    place = np.arange(len(raw))
+    since = place - np.maximum.accumulate(np.where(space, place, -1))
+    dense = (since >= DENSE) & (hashes < np.uint32(0xFFFFFFFF // DENSE_CHUNK))
+    if dense.any():
+        ends = np.append(raw[1:] & 0xC0 != 0x80, True)  # the last byte of a character
+        found = np.union1d(found, np.flatnonzero(dense & ends) + 1)
     out, last = [], 0
     for end in [*found.tolist(), len(data)]:
         if end - last < LEAST and end < len(data):
@@ -82,7 +95,7 @@ def _chunks(words: int):
     return run
 
 
-def _rewrite(words: int, min_words: int):
+def _rewrite(words: int, min_words: int, min_bytes: int):
     """A text and its digests that stand in an earlier document to the text without long runs of repeats (null if it stays), and the runs."""
 
     def repeats(data: bytes, earlier: list[int] | None) -> list[list[int]]:
@@ -95,7 +108,7 @@ def _rewrite(words: int, min_words: int):
                 else:
                     runs.append([a, b])
             seen.add(d)
-        return [r for r in runs if len(data[r[0] : r[1]].split()) >= min_words]
+        return [r for r in runs if r[1] - r[0] >= min_bytes or len(data[r[0] : r[1]].split()) >= min_words]
 
     def run(every: pa.Array, every_earlier: pa.Array) -> pa.Array:
         left, spans, sizes, removed = [], [], [], []
@@ -113,7 +126,7 @@ def _rewrite(words: int, min_words: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 16, words: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 16, words: int = 4, min_bytes: int = RUN_BYTES) -> DataFrame:
     """docs with _tc_left (the text that is left), _tc_spans (removed bytes: from, to, from, ...), _tc_bytes and _tc_removed.
 
     `words`: so many words lie between two possible cuts on average. A null text stays null, an empty one empty. Rows
@@ -127,7 +140,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 16, words: int = 4) -> Data
     # The list of a text has that text's own digests.
     earlier = chunks.join(shared.select("digest", "d0").hint("merge"), "digest").where("doc <> d0").groupBy(F.col("doc").alias("_tc_doc"), F.col("th").alias("_tc_th")).agg(F.collect_set("digest").alias("_tc_earlier"))
     rows = docs.withColumns({"_tc_doc": doc, "_tc_th": th}).join(earlier, ["_tc_doc", "_tc_th"], "left")
-    rewritten = F.arrow_udf(_rewrite(words, min_words), T.StructType.fromDDL("left string, spans array<long>, bytes long, removed long")).asNondeterministic()
+    rewritten = F.arrow_udf(_rewrite(words, min_words, min_bytes), T.StructType.fromDDL("left string, spans array<long>, bytes long, removed long")).asNondeterministic()
     out = rows.withColumn("_tc_new", rewritten("text", "_tc_earlier"))
     found = {"_tc_left": F.coalesce("_tc_new.left", "text"), **{f"_tc_{c}": F.col(f"_tc_new.{c}") for c in ("spans", "bytes", "removed")}}
     return out.withColumns(found).drop("_tc_doc", "_tc_th", "_tc_earlier", "_tc_new")

@@ -40,18 +40,31 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def templates(urls: DataFrame, depth: int, min_share: float, min_count: int, z: float) -> DataFrame:
-    """urls (host, path, n, labelled, bad; distinct host and path) with the path's template."""
-    segments = F.split(F.regexp_replace("path", "^/", ""), "/", depth + 1)
-    now = urls.withColumn("segments", segments).withColumn("template", F.lit(""))
-    deepest = urls.agg(F.max(F.size(segments))).first()[0] or 0
-    for level in range(deepest):
-        at = F.coalesce(F.try_element_at("segments", F.lit(level + 1)), F.lit("\0"))
-        now = materialise(now.withColumn("at", at))  # read twice below; each level would double the plan
-        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-        children = now.groupBy("host", "template", "at").agg(*sums)
-        parents = children.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")))
-        both = children.join(parents.hint("merge"), ["host", "template"])  # both grow with the urls, so neither is broadcast
+def templates(urls: DataFrame, min_share: float, min_count: int, z: float) -> DataFrame:
+    """urls (host, path, n, labelled, bad; distinct host and path) with the path's template.
+
+    All paths are walked to their end. A step takes the segments that all paths of a group have in common, and then the one where they part.
+    A group with fewer than min_count urls has wildcards from there on, and leaves the walk; so the steps are as many as the
+    forks of common paths, however long a path is.
+    """
+    names = ["host", "path", "n", "labelled", "bad"]
+    sums = ("n", "labelled", "bad")
+    now = materialise(urls.select(*names, F.split(F.regexp_replace("path", "^/", ""), "/").alias("rest"), F.lit("").alias("template")))
+    found: list[DataFrame] = []
+    while now.take(1):
+        groups = now.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in sums), F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        # What the least and the greatest of a group have in common, all have.
+        parting = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), F.lit(False))
+        groups = groups.withColumn("same", F.when(parting == 0, F.size("lo")).otherwise(parting - 1).cast("int")).drop("lo", "hi")
+        rows = now.join(groups.hint("merge"), ["host", "template"])  # both grow with the urls, so neither is broadcast
+        rare = F.col("all_n") < min_count
+        wild = F.concat("template", F.repeat(F.lit("/*"), F.size("rest")))
+        literal = F.concat("template", F.array_join(F.transform(F.slice("rest", 1, F.col("same")), lambda x: F.concat(F.lit("/"), x)), ""))
+        rows = rows.withColumns({"template": F.when(rare, wild).otherwise(literal), "rest": F.when(rare, F.array().cast("array<string>")).otherwise(F.slice("rest", F.col("same") + 1, F.size("rest")))})
+        rows = materialise(rows.drop("same"))
+        found.append(rows.where(F.size("rest") == 0).select(*names, "template"))
+        going = rows.where(F.size("rest") > 0).withColumn("at", F.get("rest", F.lit(0)))
+        children = going.groupBy("host", "template", "at").agg(*(F.sum(c).alias(c) for c in sums), *(F.max(f"all_{c}").alias(f"all_{c}") for c in sums))
         # A child differs if its labelled rate is further than z standard errors from that of its siblings.
         others = F.col("all_labelled") - F.col("labelled")
         pooled = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
@@ -59,20 +72,21 @@ def templates(urls: DataFrame, depth: int, min_share: float, min_count: int, z:
         gap = F.abs(F.col("bad") / F.col("labelled") - (F.col("all_bad") - F.col("bad")) / others)
         differs = (F.col("labelled") > 0) & (others > 0) & (gap > z * error)
         common = (F.col("n") >= min_count) & (F.col("n") >= min_share * F.col("all_n"))
-        only_deeper = F.col("at") == "\0"
-        kept = both.where(~only_deeper & common & (differs | (F.col("labelled") == 0) | (others == 0))).select("host", "template", "at", F.lit(True).alias("literal"))
-        now = now.join(kept.hint("merge"), ["host", "template", "at"], "left")
-        part = F.when(F.col("at") == "\0", "").when(F.col("literal"), F.concat(F.lit("/"), "at")).otherwise("/*")
-        now = now.withColumn("template", F.concat("template", part)).drop("literal")
-    return now.select("host", "path", "n", "labelled", "bad", "template")
+        kept = children.where(common & (differs | (F.col("labelled") == 0) | (others == 0))).select("host", "template", "at", F.lit(True).alias("literal"))
+        going = going.join(kept.hint("merge"), ["host", "template", "at"], "left")
+        part = F.when(F.col("literal"), F.concat(F.lit("/"), "at")).otherwise("/*")
+        now = materialise(going.select(*names, F.slice("rest", 2, F.size("rest")).alias("rest"), F.concat("template", part).alias("template")))
+    out = now.select(*names, "template")
+    for part in found:
+        out = out.unionByName(part)
+    return out
 
 
-def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, threshold: float = 0.5, smoothing: float = 4.0, depth: int = 6, min_share: float = 0.02, min_count: int = 5, z: float = 2.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, threshold: float = 0.5, smoothing: float = 4.0, min_share: float = 0.02, min_count: int = 5, z: float = 2.0) -> DataFrame:
     """One row for each row of pages (page_id, url): page_id, host, path, rule, verdict, template, purity.
 
-    labels (url, bad 0 or 1) are the judgements to learn from; without them, the rules' verdicts are. A path deeper
-    than `depth` segments has the rest as one segment. A url that is null or without :// has an empty host and path,
-    and so the template of that host. Repeated rows count as often as they occur and get the same verdict; a null
+    labels (url, bad 0 or 1) are the judgements to learn from; without them, the rules' verdicts are. A url that is null
+    or without :// has an empty host and path, and so the template of that host. Repeated rows count as often as they occur and get the same verdict; a null
     page_id stays null; an empty table gives no rows; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
@@ -85,7 +99,7 @@ def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, t
         given = labels.where("url is not null and bad is not null").groupBy("url").agg(F.max("bad").alias("label"))
         learn = rows.join(given, "url", "left")
     urls = learn.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("bad"))
-    found = materialise(templates(materialise(urls), depth, min_share, min_count, z))
+    found = materialise(templates(materialise(urls), min_share, min_count, z))
     whole = found.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).first()
     hosts = found.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
     trees = found.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb"))

@@ -273,7 +273,7 @@ def test_expected_counts_sum_over_all_paths_of_whole_texts():
 
 
 def test_moves_are_counted_through_long_texts():
-    k, n = hmm.STATES, 3 * hmm.SEGMENT
+    k, n = hmm.STATES, 800
     model = hmm._model(np.ones(k), np.eye(k) * 50, np.ones((hmm.CLASSES, k)), np.full(hmm.CLASSES, 1 / hmm.CLASSES))
     row = {"tokens": np.zeros(n, "<u4").tobytes(), "classes": [7], "lengths": np.array([n], "<u4").tobytes(), "held": [False]}
     start, moves, found = hmm.expected_counts(row, model)

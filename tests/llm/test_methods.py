@@ -48,13 +48,13 @@ def test_tree_paths():
     assert quality.tree_paths(text) == {((3, False, 0.5),), ((3, False, 0.25),), ((3, False, 0.5), (3, True, 0.25)), ((3, True, 0.5),)}
 
 
-def plain_templates(rows, depth, min_share, min_count, z):
+def plain_templates(rows, min_share, min_count, z):
     """rows: (host, path, label or None), one for each page. Host and path to the template."""
     of = {}
     for host, path, label in rows:
         n, known, bad = of.get((host, path), (0, 0, 0))
         of[host, path] = (n + 1, known + (label is not None), bad + (label or 0))
-    parts = {k: re.sub("^/", "", k[1]).split("/", depth) for k in of}
+    parts = {k: re.sub("^/", "", k[1]).split("/") for k in of}
     template = dict.fromkeys(of, "")
     for level in range(max(map(len, parts.values()), default=0)):
         groups = defaultdict(lambda: defaultdict(list))
@@ -79,12 +79,13 @@ def plain_templates(rows, depth, min_share, min_count, z):
 
 def test_url_trees(spark):
     rng = random.Random(5)
-    made = [(i, f"http://{rng.choice('ab')}.org/{rng.choice(['news', 'spam', 'x' + str(rng.randrange(30))])}/{rng.choice(['p', 'q', str(rng.randrange(99))])}{rng.choice(['', '/z', '/'])}") for i in range(700)]
+    deep = "/d" * 9
+    made = [(i, f"http://{rng.choice('ab')}.org{rng.choice(['', '', deep])}/{rng.choice(['news', 'spam', 'x' + str(rng.randrange(30))])}/{rng.choice(['p', 'q', str(rng.randrange(99))])}{rng.choice(['', '/z', '/'])}") for i in range(700)]
     bad = {u: int("spam" in u) ^ (rng.random() < 0.1) for _, u in made if rng.random() < 0.7}
     table = spark.createDataFrame(made, "page_id long, url string")
     got = {r.page_id: r for r in urls.judge_urls(table, rules=(), labels=spark.createDataFrame(list(bad.items()), "url string, bad int")).collect()}
     split = {i: (u.split("/")[2], u[len("http://a.org") :]) for i, u in made}
-    of, template = plain_templates([(*split[i], bad.get(u)) for i, u in made], 6, 0.02, 5, 2.0)
+    of, template = plain_templates([(*split[i], bad.get(u)) for i, u in made], 0.02, 5, 2.0)
     add = lambda keys: [sum(of[k][i] for k in keys) for i in (1, 2)]
     known, wrong = add(of)
     base = (wrong + 1) / (known + 2)
@@ -98,6 +99,18 @@ def test_url_trees(spark):
     assert len(set(template.values())) > 5
 
 
+def test_deep_paths_are_walked_to_their_end(spark):
+    """Good and bad paths that part at the seventh segment, beside a path of 3,000 segments and paths that fork late."""
+    urls_of = [(i, f"http://h.org/a/b/c/d/e/f/{'spam' if i % 2 else 'news'}/{i}") for i in range(120)]
+    urls_of += [(1000 + i, "http://h.org" + "/x" * 3000 + ("/y" if i % 3 else "/z")) for i in range(30)] + [(2000, "http://h.org" + "/w" * 500)]
+    labels = spark.createDataFrame([(u, i % 2) for i, u in urls_of[:120]], "url string, bad int")
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(urls_of, "page_id long, url string"), rules=(), labels=labels).collect()}
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(120))
+    assert {got[i].template for i in range(120)} == {"/a/b/c/d/e/f/spam/*", "/a/b/c/d/e/f/news/*"}
+    assert {got[1000 + i].template for i in range(30)} == {"/x" * 3000 + "/y", "/x" * 3000 + "/z"}
+    assert got[2000].template == "/*" * 500
+
+
 def test_groups_are_placed_by_dot_products(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
