@@ -7,6 +7,7 @@ import terrachron.plans.compiled  # noqa: F401  registers its queries
 import terrachron.plans.matches  # noqa: F401  registers its queries
 import terrachron.plans.proofs  # noqa: F401  registers its queries
 import terrachron.plans.records  # noqa: F401  registers its queries
+import terrachron.plans.surfaces  # noqa: F401  registers its queries
 import terrachron.plans.territories  # noqa: F401  registers its queries
 from terrachron.plans.queries import ORACLE_SQL, QUERIES, q01_as_of
 
