@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terrachron.functions.geometry import signed_area
+from terrachron.operators.lod import kept_corners
 
 
 def edges(rings: DataFrame, owner: str = "owner", ring: str = "ring", digits: int = 7) -> DataFrame:
@@ -148,7 +149,10 @@ def contains(outer: Column, inner: Column) -> Column:
                 out.append(False if known else None)
                 continue
             probes = np.concatenate([b[:-1], (b[:-1] + b[1:]) / 2])
-            out.append(bool((inside(probes, a) > 0).all() and not proper_crossings(a[:-1], a[1:], b[:-1], b[1:]).any()))
+            # A million pairs of points and edges at a time, however long the rings are.
+            some = max(1, 1_000_000 // len(a))
+            held = all((inside(probes[k : k + some], a) > 0).all() for k in range(0, len(probes), some))
+            out.append(held and not any(proper_crossings(a[:-1], a[1:], b[:-1][k : k + some], b[1:][k : k + some]).any() for k in range(0, len(b) - 1, some)))
         return pa.array(out, pa.bool_())
 
     return F.arrow_udf(run, "boolean")(outer, inner)
@@ -157,34 +161,17 @@ def contains(outer: Column, inner: Column) -> Column:
 def simplified(line: Column, tolerance: float) -> Column:
     """A line without vertices that lie within a tolerance of what is left (Douglas-Peucker); a step over half a turn is never bridged. Null stays null."""
 
-    def keep(xy: np.ndarray) -> np.ndarray:
-        kept = np.zeros(len(xy), bool)
-        jumps = np.flatnonzero(np.abs(np.diff(xy[:, 0])) > 180) + 1
-        bounds = [0, *jumps.tolist(), len(xy)]
-        todo = [(a, b - 1) for a, b in zip(bounds, bounds[1:])]
-        for a, b in todo:
-            kept[[a, b]] = True
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
-                continue
-            base, mid = xy[b] - xy[a], xy[a + 1 : b] - xy[a]
-            size = (base * base).sum()
-            along = np.clip((mid @ base) / size, 0, 1) if size else np.zeros(len(mid))
-            off = np.hypot(*(mid - along[:, None] * base).T)
-            far = int(off.argmax())
-            if off[far] > tolerance:
-                kept[a + 1 + far] = True
-                todo += [(a, a + 1 + far), (a + 1 + far, b)]
-        return kept
-
     def run(lines: pa.Array) -> pa.Array:
         xy, starts = _flat(lines)
-        out = []
-        for a, b, v in zip(starts, starts[1:], lines.is_valid().to_pylist()):
-            part = xy[a:b]
-            out.append(None if not v else [{"x": x, "y": y} for x, y in (part[keep(part)] if len(part) > 2 else part).tolist()])
-        return pa.array(out, lines.type)
+        # A line is cut where it jumps; all stretches of a batch are simplified at once.
+        first = np.zeros(len(xy), bool)
+        first[starts[:-1][np.diff(starts) > 0]] = True
+        first[1:] |= np.abs(np.diff(xy[:, 0])) > 180
+        cuts = np.append(np.flatnonzero(first), len(xy))
+        kept = kept_corners(xy, cuts, tolerance, np.zeros(len(cuts) - 1, np.int64))
+        offsets = np.concatenate([[0], np.cumsum(kept)])[starts].astype(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(xy[kept, k]) for k in (0, 1)], ["x", "y"])
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=lines.is_null())
 
     return F.arrow_udf(run, "array<struct<x:double,y:double>>")(line)
 
