@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terrachron.operators import cells
-from terrachron.sources.shared import settled
+from terrachron.sources.shared import counted, settled
 
 #: Kilometres for a degree of longitude at the equator, and of latitude: fixed values of the local metric frame.
 EAST_KM, NORTH_KM = 111.32, 110.57
@@ -129,8 +129,8 @@ def accepted_runs(runs: DataFrame, most: float = 0.5) -> DataFrame:
         better = state.select("a", F.col("rank").alias("better"), F.col("state").alias("of"))
         seen = ways.join(better, ["a", "better"]).groupBy("a", "rank").agg(F.max(F.when(F.col("of") == 1, 1).otherwise(0)).alias("blocked"), F.max(F.when(F.col("of") == 0, 1).otherwise(0)).alias("waits"))
         nxt = F.when(F.col("state") != 0, F.col("state")).when(F.col("blocked") == 1, 2).when(F.coalesce("waits", F.lit(0)) == 0, 1).otherwise(0)
-        state = settled(state.join(seen, ["a", "rank"], "left").select("a", "rank", nxt.alias("state")))
-        if not state.where("state = 0").take(1):
+        state, undecided = counted(state.join(seen, ["a", "rank"], "left").select("a", "rank", nxt.alias("state")), F.col("state") == 0)
+        if not undecided:
             break
     return ranked.join(state.where("state = 1").select("a", "rank"), ["a", "rank"]).drop("rank")
 

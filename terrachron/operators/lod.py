@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terrachron.operators import overlay as ov
-from terrachron.sources.shared import settled
+from terrachron.sources.shared import counted, settled
 
 POINTS = "array<struct<x:double,y:double>>"
 
@@ -109,8 +109,8 @@ def simplified_map(rings: DataFrame, tolerance: float, scale: int = ov.SCALE) ->
             of = of.unionByName(now.join(corner.select("gid", F.col("x").alias(x), F.col("y").alias(y)), ["gid", x, y], "left_semi").select("gid", "line_id"))
         double = now.groupBy("gid", *ov.ENDS).agg(F.countDistinct("line_id").alias("k")).where("k > 1").select("gid", *ov.ENDS)
         of = of.unionByName(now.join(double, ["gid", *ov.ENDS], "left_semi").select("gid", "line_id"))
-        bad = settled(of.distinct().join(lines.where("not whole").select("gid", "line_id"), ["gid", "line_id"], "left_semi"))
-        if not bad.take(1):
+        bad, n = counted(of.distinct().join(lines.where("not whole").select("gid", "line_id"), ["gid", "line_id"], "left_semi"))
+        if not n:
             break
         lines = settled(lines.join(bad.withColumn("_bad", F.lit(True)), ["gid", "line_id"], "left").select("gid", "line_id", "points", F.when(F.col("_bad"), F.col("points")).otherwise(F.col("short")).alias("short"), (F.col("whole") | F.coalesce("_bad", F.lit(False))).alias("whole")))
     # Which way each owner runs along an arc shows at the arc's first edge.

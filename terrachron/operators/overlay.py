@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from terrachron.functions.geometry import signed_area
 from terrachron.operators import cells
 from terrachron.operators.walks import in_order, walks
-from terrachron.sources.shared import settled
+from terrachron.sources.shared import counted, settled
 
 #: Grid steps of a unit. Coordinates may reach 500 units either way: then no product of differences leaves 64 bits.
 SCALE = 1_000_000
@@ -122,8 +122,8 @@ def arranged(edges: DataFrame, cell: int = CELL) -> DataFrame:
     """Net edges split until they meet at their ends only."""
     now = settled(edges)
     for _ in range(ROUNDS):
-        cuts = settled(_cuts(now, cell))
-        if not cuts.take(1):
+        cuts, n = counted(_cuts(now, cell))
+        if not n:
             return now
         now = settled(net(_split(now, cuts, [], ["a", "b"])))
     raise RuntimeError("edges did not settle on the grid")
@@ -134,8 +134,8 @@ def pieces_of(edges: DataFrame, cell: int = CELL) -> DataFrame:
     of = [f"of_{c}" for c in ENDS]
     now = settled(edges.select("gid", *ENDS).distinct().select("*", *(F.col(c).alias(o) for c, o in zip(ENDS, of, strict=True)), F.lit(1).cast("long").alias("way")))
     for _ in range(ROUNDS):
-        cuts = settled(_cuts(now.select("gid", *ENDS).distinct(), cell))
-        if not cuts.take(1):
+        cuts, n = counted(_cuts(now.select("gid", *ENDS).distinct(), cell))
+        if not n:
             return now
         now = settled(_split(now, cuts, of, ["way"]))
     raise RuntimeError("edges did not settle on the grid")
@@ -212,11 +212,12 @@ def walked(edges: DataFrame, keys: list[str], scale: int = SCALE) -> DataFrame:
 
     A ring is closed and begins where its least edge does; its area is positive, a hole's negative. ring_id is a number of this run only.
     """
-    return _rings(settled(edges.select(*keys, *ENDS).withColumn("id", F.monotonically_increasing_id())), keys, scale)
+    edges = settled(edges.select(*keys, *ENDS).withColumn("id", F.monotonically_increasing_id()))
+    return _rings(edges, keys, scale, walks(turns(edges, keys)).withColumnRenamed("head", "ring_id"))
 
 
-def _rings(edges: DataFrame, keys: list[str], scale: int) -> DataFrame:
-    place = walks(turns(edges, keys)).withColumnRenamed("head", "ring_id")
+def _rings(edges: DataFrame, keys: list[str], scale: int, place: DataFrame) -> DataFrame:
+    """Rings of edges and their places (id, ring_id, offset)."""
     rows = edges.join(place, "id")
     corner = F.struct((F.col("x1") / scale).alias("x"), (F.col("y1") / scale).alias("y"))
     cross = (F.col("x1").cast("decimal(20,0)") * F.col("y2") - F.col("x2").cast("decimal(20,0)") * F.col("y1")).cast("decimal(28,0)")
@@ -246,16 +247,18 @@ def polygons(pieces: DataFrame, keys: list[str], scale: int = SCALE, cell: int =
     A hole looks down from its least corner: what it meets first is its polygon's outer ring, or another hole of the same polygon.
     """
     edges = settled(pieces.select(*keys, *ENDS).withColumn("id", F.monotonically_increasing_id()))
-    place = settled(walks(turns(edges, keys)).select("id", F.col("head").alias("ring_id")))
-    found = settled(_rings(edges, keys, scale))
+    place = walks(turns(edges, keys)).select("id", F.col("head").alias("ring_id"), "offset")
+    found, holes = counted(_rings(edges, keys, scale, place), F.col("area") < 0)
+    if not holes:
+        return found.select(*keys, F.col("ring_id").alias("polygon_id"), "area", F.array("ring").alias("rings"))
     # Of each hole: its least corner, and the lower one of the two edges there.
     at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    of = edges.join(place, "id").join(found.where("area < 0").select("ring_id"), "ring_id")
+    of = edges.join(place.drop("offset"), "id").join(found.where("area < 0").select("ring_id"), "ring_id")
     corners = of.groupBy(*keys, "ring_id").agg(F.min(F.least(at("x1", "y1"), at("x2", "y2"))).alias("v"))
     slope = lambda x1, y1, x2, y2: (F.col(y2) - F.col(y1)) / (F.col(x2) - F.col(x1))
     lower = of.join(corners.select("ring_id", "v"), "ring_id").where((at("x1", "y1") == F.col("v")) | (at("x2", "y2") == F.col("v")))
     lower = lower.groupBy(*keys, "ring_id").agg(F.first("v").alias("v"), F.min(F.when(F.col("x1") == F.col("x2"), float("inf")).otherwise(slope(*ENDS))).alias("own"))
-    spans = edges.join(place, "id").where("x1 <> x2").select(*keys, F.col("ring_id").alias("below"), F.least(at("x1", "y1"), at("x2", "y2")).alias("l"), F.greatest(at("x1", "y1"), at("x2", "y2")).alias("r"))
+    spans = edges.join(place.drop("offset"), "id").where("x1 <> x2").select(*keys, F.col("ring_id").alias("below"), F.least(at("x1", "y1"), at("x2", "y2")).alias("l"), F.greatest(at("x1", "y1"), at("x2", "y2")).alias("r"))
     spans = spans.withColumn("level", cells.level_of(F.col("r.x") - F.col("l.x"), cell))
     rays = lower.withColumn("level", F.lit(-1))
     rays = cells.coarser_cells(rays, cells.occurring(spans.select("level")), cell, [F.col("v.x").cast("double")], [F.col("v.x").cast("double")])
@@ -278,8 +281,8 @@ def _upwards(chain: DataFrame) -> DataFrame:
     while True:
         ahead = now.select(F.col("id").alias("next"), F.col("next").alias("next2"))
         joined = now.where("next is not null").join(ahead, "next").select("id", F.coalesce("next2", "next").alias("next"), F.col("next2").isNotNull().alias("moved"))
-        nxt = settled(joined)
-        if not nxt.where("moved").take(1):
+        nxt, moved = counted(joined, F.col("moved"))
+        if not moved:
             return nxt.select("id", F.col("next").alias("top")).unionByName(now.where("next is null").select("id", F.col("id").alias("top")))
         now = settled(nxt.select("id", "next").unionByName(now.where("next is null").select("id", "next")))
 

@@ -12,7 +12,7 @@ from terrachron.functions.geometry import bounds
 from terrachron.operators import overlay as ov
 from terrachron.operators.shapes import significant_area
 from terrachron.operators.spatial import boxes_join
-from terrachron.sources.shared import settled
+from terrachron.sources.shared import counted, settled
 
 SHAPE = ["id", "hole", "ring"]
 
@@ -138,15 +138,15 @@ def adjusted(rows: DataFrame, shapes: DataFrame, size: float, replacements: list
     def cut_children(shapes: DataFrame, parents: DataFrame) -> DataFrame:
         while True:
             below = ids.where(~F.col("snapshot")).join(parents.withColumnRenamed("id", "parent"), "parent").join(shapes.select("id").distinct(), "id", "left_semi").select("id", F.col("parent").alias("other"))
-            links = settled(below)
-            if not links.take(1):
+            links, n = counted(below)
+            if not n:
                 return shapes
             problems = _sides(shapes, links, shapes)
             pieces = ov.areas(ov.overlay(problems, ["difference"]), ["gid"]).select(F.col("gid").alias("id"), "area")
             own = shape_areas(shapes.join(links.select("id"), "id", "left_semi")).withColumnRenamed("area", "own")
             outside = settled(pieces.join(own, "id").where(significant_area(F.col("area"), F.col("own"))).select("id"))
-            links = settled(links.join(outside, "id", "left_semi"))
-            if not links.take(1):
+            links, n = counted(links.join(outside, "id", "left_semi"))
+            if not n:
                 return shapes
             shapes, left = _replaced(shapes, _sides(shapes, links, shapes), "intersection")
             parents = note(left, links, "parent-clipping")
@@ -156,8 +156,8 @@ def adjusted(rows: DataFrame, shapes: DataFrame, size: float, replacements: list
         asked = shapes.sparkSession.createDataFrame(wave, f"id {dict(shapes.dtypes)['id']}, other {dict(shapes.dtypes)['id']}")
         met = pair_areas(asked.select(F.col("id").alias("a"), F.col("other").alias("b")), shapes, shapes, ["intersection"])
         met = met.join(shape_areas(shapes).select(F.col("id").alias("a"), "area"), "a").where(significant_area(F.col("intersection"), F.col("area")))
-        links = settled(met.select(F.col("a").alias("id"), F.col("b").alias("other")))
-        if links.take(1):
+        links, n = counted(met.select(F.col("a").alias("id"), F.col("b").alias("other")))
+        if n:
             shapes, left = _replaced(shapes, _sides(shapes, links, shapes), "difference")
             done = note(left, links, "explicit-replacement")
             changed = done if changed is None else settled(changed.union(done).distinct())
@@ -165,8 +165,8 @@ def adjusted(rows: DataFrame, shapes: DataFrame, size: float, replacements: list
         shapes = cut_children(shapes, changed)
     known = [ids.select(F.col("id").alias(s), F.col("parent").alias(f"parent_{s}"), F.col("snapshot").alias(f"snapshot_{s}")) for s in "ab"]
     rivals = overlapping(shapes, size).join(known[0], "a").join(known[1], "b").where(F.col("parent_a").eqNullSafe(F.col("parent_b")) & ~(F.col("snapshot_a") & F.col("snapshot_b")))
-    links = settled(rivals.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("l")).select("l.id", "l.other"))
-    if links.take(1):
+    links, n = counted(rivals.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("l")).select("l.id", "l.other"))
+    if n:
         shapes, left = _replaced(shapes, _sides(shapes, links, shapes), "difference")
         shapes = cut_children(shapes, note(left, links, "unknown-peer-overlap"))
     empty = shapes.sparkSession.createDataFrame([], f"id {dict(shapes.dtypes)['id']}, kind string, related array<string>")

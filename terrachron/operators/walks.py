@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrachron.sources.shared import settled
+from terrachron.sources.shared import counted, settled
 
 
 def walks(links: DataFrame) -> DataFrame:
@@ -26,8 +26,8 @@ def walks(links: DataFrame) -> DataFrame:
             "id", F.col("jump2").alias("jump"), (F.col("n") + F.col("n2")).alias("n"), F.col("last2").alias("last"), F.least("least", "least2").alias("least"),
             F.when(less, F.col("n") + F.col("at2")).otherwise(F.col("at")).alias("at"), (less | F.col("jump2").isNull()).alias("moved"),
         )
-        now = settled(now.where("jump is null").withColumn("moved", F.lit(False)).unionByName(joined))
-        if not now.where("moved").take(1):
+        now, moved = counted(now.where("jump is null").withColumn("moved", F.lit(False)).unionByName(joined), F.col("moved"))
+        if not moved:
             break
     cyclic = F.col("jump").isNotNull()
     return now.select("id", cyclic.alias("cyclic"), F.when(cyclic, F.col("least")).otherwise(F.col("last")).alias("head"), F.when(cyclic, F.col("at")).otherwise(F.col("n") - 1).alias("offset"))
