@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrachron.operators import anchors, masks
 from terrachron.plans.queries import query
 from terrachron.plans.territories import _RECTS, _ring, rectangle
+from terrachron.sources import hydro
 from terrachron.sources.tables import table
 
 
@@ -44,3 +46,25 @@ def q154_nearest_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     pixels = table(spark, sf_dir, "part").select((k % 20).alias("x"), F.floor(k / 20).alias("y"), F.when(F.col("p_size") <= 12, F.col("p_retailprice")).alias("value"))
     return masks.filled(pixels)
+
+
+def _encoded(rows: pa.Table) -> pa.Table:
+    """Fifty customers as a pack: a line of three corners each, with widths."""
+    keys = rows.column("c_custkey").to_pylist()
+    made = []
+    for k, balance, nation in zip(keys, rows.column("c_acctbal").to_pylist(), rows.column("c_nationkey").to_pylist(), strict=True):
+        x, y = round(balance * 100), k * 10
+        head = {"fid": k, "logical_fid": k // 2, "kind": 1, "stage": nation % 4, "geometry_kind": 1, "flags": 0, "fragment_index": k % 2, "fragment_count": 2, "stroke_width": 1.0, "w": x, "s": y, "e": x + 300, "n": y + 7}
+        made.append(head | {"stage": 1, "flags": nation, "lines": [(0, [(x, y), (x + 100, y + 7), (x + 300, y)], [k, k + 5, k % 3])]})
+    return pa.table({"pack": pa.array([keys[0] // 50], pa.int64()), "content": pa.array([hydro.encode(made, 1)], pa.binary())})
+
+
+@query("""
+SELECT c_custkey // 50 AS pack, c_custkey AS fid, c_custkey // 2 AS logical_fid, CAST(c_nationkey AS INTEGER) AS flags, round(round(c_acctbal * 100) / 1e6, 6) AS first_x, round((round(c_acctbal * 100) + 300) / 1e6, 6) AS last_x, round((c_custkey * 10 + 7) / 1e6, 6) AS top, round((2 * c_custkey + 5 + c_custkey % 3) / 1000, 3) AS width FROM customer""")
+def q155_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs of lines written and decoded again, a batch at a time."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    packs = rows.groupBy(F.floor(F.col("c_custkey") / 50).alias("_pack")).applyInArrow(_encoded, "pack long, content binary")
+    line = F.col("lines")[0]
+    found = hydro.features(packs).select("pack", "fid", "logical_fid", "flags", line["points"].alias("p"), line["widths"].alias("w"))
+    return found.select("pack", "fid", "logical_fid", "flags", F.round(F.col("p")[0]["x"], 6).alias("first_x"), F.round(F.col("p")[2]["x"], 6).alias("last_x"), F.round(F.col("p")[1]["y"], 6).alias("top"), F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 3).alias("width"))
