@@ -22,12 +22,14 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrachron.llm.common import materialise, mix, texts_in, words_of
+from terrachron.llm.common import materialise, mix, small_side, texts_in, words_of
 
 STATES, CLASSES, SUFFIX = 8, 8192, 4
 #: The end of a text is a word that no text can hold, in a class of its own: the last one.
 END = b"\n"
 CHUNK_TOKENS = 1_000_000
+#: A word that this share of all chunks has is common.
+COMMON = 0.25
 #: How far the states differ at first: the ratio of their emissions of a class is at most e to this power.
 TILT = 3.0
 
@@ -264,10 +266,15 @@ def language_scores(docs: DataFrame, rounds: int = 4) -> DataFrame:
     spark = docs.sparkSession
     # Each word's training count, beside each chunk that asks for it.
     asked = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "classes", "counts")).alias("pos", "w")).select("chunk", "pos", F.col("w.words").alias("word"), F.col("w.classes").alias("class"), F.col("w.counts").alias("n"))
-    # Counts are added up within tasks first; a common word, which each chunk asks for, is a skewed side of the join and is split.
-    counted = materialise(asked.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"), F.min("class").alias("class")))
+    # Counts are added up within tasks first.
+    counted = materialise(asked.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"), F.min("class").alias("class"), F.count("*").alias("chunks")))
     by_class = counted.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # CLASSES rows at most
-    told = asked.select("chunk", "pos", "word").join(counted.select("word", "c").hint("merge"), "word").select("chunk", "pos", "c")
+    # A word of many chunks is told without a shuffle, as long as these words are few; no more than CHUNK_TOKENS / COMMON words can be in a share COMMON of all chunks.
+    often = F.col("chunks") >= COMMON * chunks.count()
+    common = small_side(counted.where(often).select("word", "c"))
+    wanted = asked.select("chunk", "pos", "word")
+    rest = wanted.join(common.select("word"), "word", "left_anti").join(counted.where(~often).select("word", "c").hint("merge"), "word")
+    told = wanted.join(common, "word").select("chunk", "pos", "c").unionByName(rest.select("chunk", "pos", "c"))
     sums = np.full(CLASSES, 0.5)  # an unknown word in each class
     for r in by_class:
         sums[r["class"]] += r["c"] + 0.5 * r["v"]
