@@ -22,42 +22,72 @@ from terrachron.llm.urls import judge_urls
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of all documents. Null and empty texts are the end token alone, repeated rows are packed
+    each, a null doc_id stays null; an empty table gives no rows, other columns aren't read.
+    """
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document shares with the benchmark. A null text has no words, items without words or item_id have no
+    windows, repeated rows get one row each; empty tables give no rows or no hits.
+    """
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt to 24 shards by bytes, equal texts together. A null text has no bytes, ties go by the groups'
+    hashes, repeated rows get slots of their own; an empty table gives no rows.
+    """
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page. A null url, or one without ://, has an empty host and path; repeated rows count and are
+    judged each; an empty table gives no rows.
+    """
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of whole documents by shingles of four words. Null and empty texts link with nothing, rows of one
+    doc_id are one document, equal sets are one component; an empty table gives no rows.
+    """
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of whole documents. Null and empty texts stay, rows of one doc_id are one document, of equal
+    passages that with the least doc_id stays; an empty table gives no rows.
+    """
     return repeat_report(table(spark, sf_dir, "documents"))
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all vectors of a label. Null, zero and non-finite vectors and those with a null label link
+    with nothing, equal vectors are linked; an empty table gives no rows.
+    """
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op6_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole documents. A null or empty text is its end alone, a null doc_id isn't held out, repeated rows
+    count each; an empty table gives no rows.
+    """
     return language_scores(table(spark, sf_dir, "documents"))
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines of whole documents. Null and empty texts lose nothing, rows of one doc_id are one document, of a
+    group the line in the least doc_id stays; an empty table gives no rows.
+    """
     return line_report(table(spark, sf_dir, "documents"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document. Null and empty texts have the statistics 0, a null doc_id isn't held out, equal texts
+    get equal scores; an empty table gives no rows, labels of one class a constant.
+    """
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
