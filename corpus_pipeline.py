@@ -16,31 +16,31 @@ from terrachron.llm.quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble rejects go."""
+    """Documents that the rule ensemble rejects go. Null and empty texts are judged by the statistics 0, equal texts alike; an empty table stays empty."""
     short_batches(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines are cut out; a document with nothing left goes."""
+    """Repeated lines are cut out; a document with nothing left goes. Null and empty texts stay, of equal lines that of the least doc_id; an empty table stays empty."""
     short_batches(spark)
     return without_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
+    """Of near-duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays. Null and empty texts stay; an empty table stays empty."""
     short_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark items go."""
+    """Documents contaminated by benchmark items go. Null and empty texts stay, and all where there are no items; an empty table stays empty."""
     short_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens. Null and empty texts are the end token alone; an empty table gives no pieces."""
     short_batches(spark)
     return pack_documents(docs)
 
