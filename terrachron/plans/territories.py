@@ -62,7 +62,10 @@ def q141_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda i: F.round(F.col("embedding")[i].cast("double") * 2, 3)
     ring = lambda x, y: _ring(*((x + at(2 * i), y + at(2 * i + 1)) for i in range(3)))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (k % 30).alias("x"), F.floor(k / 30).alias("y"))
-    pairs = settled(territories.meeting(*[_shapes(rows, "vec_id", ring(F.col("x"), F.col("y")))] * 2, 1.0).where("a < b"))
+    # Boxes that only touch may share a last digit: their sides are the sums that the SQL compares, not rounded to a grid.
+    side = lambda of, c, first: F.col(c) + of(*(at(i) for i in range(first, 6, 2)))
+    boxes = rows.select(k.alias("id"), *(side(of, c, first).alias(n) for n, of, c, first in (("w", F.least, "x", 0), ("s", F.least, "y", 1), ("e", F.greatest, "x", 0), ("n", F.greatest, "y", 1))))
+    pairs = settled(territories.meeting_boxes(boxes, boxes, 1.0).where("a < b"))
     # Each pair in coordinates from its first triangle's place: then a finer grid fits.
     own = rows.select(F.col("vec_id").alias("a"), F.col("x").alias("x0"), F.col("y").alias("y0"))
     placed = pairs.join(own, "a")
