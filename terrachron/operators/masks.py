@@ -69,7 +69,9 @@ def filled(pixels: DataFrame) -> DataFrame:
     by = Window.partitionBy("x").orderBy("y")
     known = F.when(F.col("value").isNotNull(), F.col("y"))
     above = F.last(known, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first(known, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    # Downwards, the first known one ahead is the last one seen: a frame that ends with its partition is gone through again for each row.
+    down = Window.partitionBy("x").orderBy(F.desc("y"))
+    below = F.last(known, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     nearer: Column = F.when(below.isNull() | (F.col("y") - above <= below - F.col("y")), above).otherwise(below)
     seeded = pixels.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "value").withColumn("seed", nearer)
     rows = seeded.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("x", "y", F.col("seed").cast("double").alias("seed")))).alias("row"))

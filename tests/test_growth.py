@@ -3,7 +3,9 @@
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from terrachron.operators import hierarchy, masks
 from terrachron.registry import ORACLE_SQL, QUERIES
 
 
@@ -26,3 +28,35 @@ def test_triangles_whose_boxes_touch_but_for_a_last_digit(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "q141_triangles", embeddings=rows)
     assert want == [(6506, 6507, 0.0, 0.19, 0.06)]
     assert got == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended"))
+
+
+def test_filled_columns_are_gone_through_once(spark):
+    """A frame from a row to its partition's end is gone through again for each row: the work was the square of a raster's height."""
+    rows = [(x, y, float(10 * y + x) if (x, y) in ((0, 4), (1, 0)) else None) for x in range(2) for y in range(6)]
+    found = masks.filled(spark.createDataFrame(rows, "x long, y long, value double"))
+    assert "currentrow$(), unboundedfollowing$()" not in plan_of(found)
+    got = {(r.x, r.y): (r.value, r.sx, r.sy) for r in found.collect()}
+    assert got[0, 0] == got[1, 1] == got[0, 1] == (1.0, 1, 0)
+    assert got[0, 5] == got[1, 3] == got[0, 3] == (40.0, 0, 4)
+    assert got[0, 2] == (40.0, 0, 4)
+
+
+def test_long_lines_of_parents_are_joined_by_sorted_parts(spark):
+    """Tables of all nodes pack well, and were sent through the driver in each round."""
+    n = 300
+    nodes = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), (F.col("id") * 7 % 101).cast("double").alias("value"))
+    ends = hierarchy.roots(nodes).collect()
+    assert all((r.root_id, r.steps, r.state) == (0, r.id, "Valid") for r in ends) and len(ends) == n
+    joined = []
+    written = hierarchy.settled
+    try:
+        hierarchy.settled = lambda df: joined.append(plan_of(df)) or written(df)
+        found = {r.id: r.value for r in hierarchy.propagate_max(nodes, "value").collect()}
+    finally:
+        hierarchy.settled = written
+    assert found == {i: max(j * 7 % 101 for j in range(i, n)) for i in range(n)}
+    assert joined and not any("BroadcastHashJoin" in p for p in joined)
