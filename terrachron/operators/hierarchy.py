@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from terrachron.sources.shared import settled
+from terrachron.sources.shared import settled, spread
 
 
 def roots(nodes: DataFrame) -> DataFrame:
@@ -20,13 +20,13 @@ def roots(nodes: DataFrame) -> DataFrame:
     A line that isn't at its end after as many steps as there are nodes goes round.
     """
     nodes = nodes.where("id is not null").select("id", "parent_id")
-    absent = nodes.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
+    absent = nodes.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().join(spread(nodes.select("id")), "id", "left_anti")
     start = nodes.select("id", F.coalesce("parent_id", "id").alias("top"), F.col("parent_id").isNotNull().cast("long").alias("steps"), F.lit(False).alias("missing"), F.lit(True).alias("there"))
     now = settled(start.unionByName(absent.select("id", F.col("id").alias("top"), F.lit(0).cast("long").alias("steps"), F.lit(True).alias("missing"), F.lit(False).alias("there"))))
     n = now.count()
     for _ in range(math.ceil(math.log2(n + 1)) + 1):
         above = now.select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"), F.col("missing").alias("_missing"))
-        now = settled(now.join(above, "top").select("id", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_missing").alias("missing"), "there", (F.col("_steps") > 0).alias("_open")))
+        now = settled(now.join(spread(above), "top").select("id", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_missing").alias("missing"), "there", (F.col("_steps") > 0).alias("_open")))
         still = now.where("_open").take(1)
         now = now.drop("_open")
         if not still:
@@ -44,14 +44,14 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     ends = settled(roots(nodes))
     nodes = nodes.where("id is not null").select("id", "parent_id")
     none = F.array().cast(f"array<{nodes.schema['id'].dataType.simpleString()}>")
-    sound = nodes.join(ends.where("state <> 'Cycle'").select("id"), "id", "left_semi")
+    sound = nodes.join(spread(ends.where("state <> 'Cycle'").select("id")), "id", "left_semi")
     lines = settled(sound.select("id", F.when(F.col("parent_id").isNotNull(), F.array("parent_id")).otherwise(none).alias("line")))
     seen = 1
     while lines.where(F.size("line") == seen).take(1):
         above = lines.select(F.col("id").alias("_top"), F.col("line").alias("_more"))
-        lines = settled(lines.join(above, F.try_element_at("line", F.lit(-1)) == F.col("_top"), "left").select("id", F.concat("line", F.coalesce("_more", none)).alias("line")))
+        lines = settled(lines.join(spread(above), F.try_element_at("line", F.lit(-1)) == F.col("_top"), "left").select("id", F.concat("line", F.coalesce("_more", none)).alias("line")))
         seen *= 2
-    return ends.join(lines, "id", "left").select("id", F.col("line").alias("ancestors"), "root_id", "state")
+    return ends.join(spread(lines), "id", "left").select("id", F.col("line").alias("ancestors"), "root_id", "state")
 
 
 def descendants(nodes: DataFrame, root) -> DataFrame:
@@ -81,10 +81,10 @@ def propagate_max(nodes: DataFrame, value: str) -> DataFrame:
     Each round a value moves twice as far, so the work is the nodes times the logarithm of the depth. Nodes in or below
     a cycle are left out.
     """
-    sound = nodes.join(roots(nodes).where("state <> 'Cycle'").select("id"), "id", "left_semi")
+    sound = nodes.join(spread(roots(nodes).where("state <> 'Cycle'").select("id")), "id", "left_semi")
     now = settled(sound.select("id", F.col("parent_id").alias("to"), value))
     while now.where("to is not null").take(1):
         sent = now.where("to is not null").groupBy(F.col("to").alias("id")).agg(F.max(value).alias("_more"))
         jump = now.select(F.col("id").alias("to"), F.col("to").alias("_further"))
-        now = settled(now.join(jump, "to", "left").join(sent, "id", "left").select("id", F.col("_further").alias("to"), F.greatest(value, "_more").alias(value)))
+        now = settled(now.join(spread(jump), "to", "left").join(spread(sent), "id", "left").select("id", F.col("_further").alias("to"), F.greatest(value, "_more").alias(value)))
     return now.select("id", value)

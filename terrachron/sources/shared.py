@@ -39,3 +39,8 @@ def counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame,
     rows = settled(df.observe(seen, (F.count(F.lit(1)) if condition is None else F.count_if(condition)).alias("n")))
     found = seen.get.get("n")
     return rows, (rows if condition is None else rows.where(condition)).count() if found is None else found
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df as a side that is joined by sorted parts: a table that grows with the input isn't collected on the driver because its files are small."""
+    return df.hint("merge")
