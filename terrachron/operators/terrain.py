@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from terrachron.operators.spatial import boxes_join
+
 SIDES = {"west": (-1, 0), "east": (1, 0), "north": (0, -1), "south": (0, 1)}
 
 
@@ -64,13 +66,17 @@ def level_within(tiles: DataFrame, wanted: int, reserve: int, budget: int) -> Da
     return sums.where(F.col("bytes") + reserve <= budget).agg(F.max("level").alias("level"))
 
 
-def ready_or_fallback(target: DataFrame, ready: DataFrame) -> DataFrame:
+def ready_or_fallback(target: DataFrame, ready: DataFrame, size: float = 1.0) -> DataFrame:
     """Ready tiles to draw: the target's own, and tiles of other levels that overlap a target tile which isn't ready.
 
-    Both have (id, level, w, s, e, n). A view's target is a few tiles; they are the side that is compared.
+    Both have (id, level, w, s, e, n). Boxes that overlap are found by cells of `size` and larger ones, each different box once.
     """
-    missing = target.join(ready.select("id"), "id", "left_anti").select(*(F.col(c).alias(f"m{c}") for c in "wsen"))
+    box = F.struct(*"wsen").alias("id")
+    missing = target.join(ready.select("id"), "id", "left_anti").select(box, *"wsen").distinct()
     own = ready.join(target.select("id"), "id", "left_semi")
-    overlap = (F.col("w") < F.col("me")) & (F.col("mw") < F.col("e")) & (F.col("s") < F.col("mn")) & (F.col("ms") < F.col("n"))
-    other = ready.join(target.select("id"), "id", "left_anti").join(missing, overlap, "left_semi")
+    others = ready.join(target.select("id"), "id", "left_anti")
+    a, b = (lambda c: F.col(f"a_id.{c}")), (lambda c: F.col(f"b_id.{c}"))
+    overlap = (a("w") < b("e")) & (b("w") < a("e")) & (a("s") < b("n")) & (b("s") < a("n"))
+    covered = boxes_join(others.select(box, *"wsen").distinct(), missing, size).where(overlap).select(*(a(c).alias(c) for c in "wsen")).distinct()
+    other = others.join(covered, list("wsen"), "left_semi").select(*ready.columns)
     return own.withColumn("fallback", F.lit(False)).unionByName(other.withColumn("fallback", F.lit(True)))

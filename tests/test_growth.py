@@ -1,11 +1,13 @@
 """What shows on larger or odd tables only: equal sums, growth of windows and joins, sizes of what is sent."""
 
+import random
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from terrachron.operators import hierarchy, masks
+from terrachron.operators import hierarchy, masks, terrain
 from terrachron.registry import ORACLE_SQL, QUERIES
 
 
@@ -60,3 +62,31 @@ def test_long_lines_of_parents_are_joined_by_sorted_parts(spark):
         hierarchy.settled = written
     assert found == {i: max(j * 7 % 101 for j in range(i, n)) for i in range(n)}
     assert joined and not any("BroadcastHashJoin" in p for p in joined)
+
+
+def test_ready_tiles_meet_missing_ones_by_cells(spark):
+    """Each ready tile was held against each missing one."""
+    rng = random.Random(5)
+    made = []
+    for i in range(300):
+        w, s = rng.randrange(-40, 40) / 2, rng.randrange(-20, 20) / 2
+        made.append((i, i % 3, w, s, w + rng.choice((0.5, 3.0, 11.0)), s + rng.choice((0.5, 2.0))))
+    tiles = spark.createDataFrame(made, "id long, level int, w double, s double, e double, n double")
+    target, ready = tiles.where("id % 20 = 1"), tiles.where("id % 2 = 0 or id % 60 = 1")
+    found = terrain.ready_or_fallback(target, ready)
+    assert not any("NestedLoop" in line and "LeftSemi" in line for line in plan_of(found).splitlines())
+    missing = [t for t in made if t[0] % 20 == 1 and t[0] % 60 != 1]
+    want = {(t[0], False) for t in made if t[0] % 60 == 1}
+    want |= {(t[0], True) for t in made if t[0] % 2 == 0 and any(t[2] < m[4] and m[2] < t[4] and t[3] < m[5] and m[3] < t[5] for m in missing)}
+    assert sorted((r.id, r.fallback) for r in found.collect()) == sorted(want)
+
+
+def test_a_large_family_is_dealt_to_several_tasks(spark):
+    """All pairs of a family were made by the task that had its parent, and all families by one task where a broadcast joined them."""
+    rows = [(i, "p", "k") for i in range(60)] + [(i, None, "k") for i in range(60, 63)] + [(i, "p", "j") for i in range(63, 66)] + [(70, "p", None), (71, "p", None)]
+    nodes = spark.createDataFrame(rows, "id long, parent_id string, kind string").coalesce(1)
+    found = hierarchy.siblings(nodes, 5)
+    families = [range(60), range(60, 63), range(63, 66)]
+    assert sorted(map(tuple, found.collect())) == sorted((a, b) for f in families for a in f for b in f if a != b)
+    most = max(r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+    assert most < 60 * 59 * 0.7
