@@ -60,10 +60,25 @@ def descendants(nodes: DataFrame, root) -> DataFrame:
     return roots(cut).where((F.col("root_id") == F.lit(root)) & (F.col("id") != F.lit(root))).select("id", F.col("steps").cast("int").alias("depth"))
 
 
-def siblings(nodes: DataFrame) -> DataFrame:
-    """Pairs of different ids with equal parents (roots among themselves) and equal kind, by an equi-join."""
-    a, b = nodes.alias("a"), nodes.alias("b")
-    return a.join(b, F.expr("a.parent_id <=> b.parent_id and a.kind = b.kind and a.id <> b.id")).select(F.col("a.id").alias("id"), F.col("b.id").alias("sibling_id"))
+#: A family is dealt in shares of so many, each of which meets the whole family in a task.
+SHARE = 1_000
+
+
+def siblings(nodes: DataFrame, share: int = SHARE) -> DataFrame:
+    """Pairs of different ids with equal parents (roots among themselves) and equal kind, by an equi-join.
+
+    The pairs of a family are as many as its square, so a large family is dealt: each share of it meets a copy of the whole.
+    """
+    family = F.struct("parent_id", "kind").alias("_family")
+    rows = nodes.where("kind is not null").select("id", family)
+    sizes = rows.groupBy("_family").agg(F.ceil(F.count("*") / share).alias("_shares"))
+    rows = rows.join(sizes, "_family")
+    a = rows.select("id", "_family", F.pmod(F.xxhash64("id"), F.col("_shares")).alias("_share"))
+    b = rows.select(F.col("id").alias("sibling_id"), "_family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)).alias("_share"))
+    # Small tables make large ones here: they are dealt to all tasks, whatever their own size.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (side.repartition(tasks, "_family", "_share") for side in (a, b))
+    return a.join(spread(b), ["_family", "_share"]).where("id <> sibling_id").select("id", "sibling_id")
 
 
 def selected(nodes: DataFrame, kind: str | None = None, parent=None, root=None) -> DataFrame:
