@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terrachron.operators import ranges
+from terrachron.sources.shared import settled, spread
 
 
 def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -57,14 +58,16 @@ def box_iou(w1, s1, e1, n1, w2, s2, e2, n2) -> Column:
 def clear_winners(pairs: DataFrame, a: str, b: str, score: str, margin: float) -> DataFrame:
     """The best b of each a, where the next best is at least `margin` behind or missing.
 
-    A pair (a, b) that comes twice counts once, with its best score. Only the two best of an a are kept on the way, also
-    before they are shuffled.
+    A pair (a, b) that comes twice counts once, with its best score. An a's best is an aggregate, and the best of its other rows
+    another one over the same rows, written once: what a task holds are groups, never an a's sorted pairs.
     """
-    each = pairs.groupBy(a, b).agg(F.max(score).alias(score))
-    place = F.row_number().over(Window.partitionBy(a).orderBy(F.desc(score), F.desc(b)))
-    two = each.withColumn("_place", place).where("_place <= 2")
-    best = two.groupBy(a).agg(F.max(F.when(F.col("_place") == 1, F.struct(b, score))).alias("m"), F.max(F.when(F.col("_place") == 2, F.col(score))).alias("_next"))
-    return best.where(F.col("_next").isNull() | (F.col(f"m.{score}") - F.col("_next") >= margin)).select(a, f"m.{b}", f"m.{score}")
+    rows = settled(pairs.select(a, b, score))
+    best = settled(rows.groupBy(a).agg(F.max(F.struct(score, b)).alias("_m")))
+    # One row for an a is hashed, so its pairs aren't sorted either.
+    others = rows.join(best.select(F.col(a).alias("_a"), F.col(f"_m.{b}").alias("_b")).hint("shuffle_hash"), F.col(a).eqNullSafe(F.col("_a"))).where(~F.col(b).eqNullSafe(F.col("_b")))
+    second = others.groupBy(F.col("_a")).agg(F.max(score).alias("_next"))
+    found = best.join(spread(second), F.col(a).eqNullSafe(F.col("_a")), "left")
+    return found.where(F.col("_next").isNull() | (F.col(f"_m.{score}") - F.col("_next") >= margin)).select(a, f"_m.{b}", f"_m.{score}")
 
 
 def merge_plan(incoming: DataFrame, current: DataFrame, key: str, ordinal: str) -> DataFrame:

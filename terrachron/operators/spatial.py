@@ -9,8 +9,8 @@ from terrachron.functions.numeric import rank_distance_km
 from terrachron.operators import cells
 
 
-def boxes_join(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """Pairs (a_id, b_id) of boxes (id, w, s, e, n) that meet, each pair once; boxes with a null side meet nothing.
+def boxes_join(a: DataFrame, b: DataFrame, size: float, sides_too: bool = False) -> DataFrame:
+    """Pairs (a_id, b_id) of boxes (id, w, s, e, n) that meet, each pair once; boxes with a null side meet nothing. With both boxes' sides (aw to bn) if asked.
 
     A box belongs to the first level whose cells are as large as the box, so it lies in four of them at most, and is known in the coarser
     levels that occur. A pair meets in the coarser one of its two levels, where the larger box is at home, in the cell of the
@@ -29,7 +29,7 @@ def boxes_join(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     pairs = own[0].join(own[1].unionByName(above[1]), at).unionByName(above[0].join(own[1], at))
     once = cells.first_shared(size, 0, F.col("aw"), F.col("bw")) & cells.first_shared(size, 1, F.col("as"), F.col("bs"))
     meet = boxes_meet(*(F.col(f"{side}{c}") for side in "ab" for c in "wsen"))
-    return pairs.where(once & meet).select("a_id", "b_id")
+    return pairs.where(once & meet).select("a_id", "b_id", *(f"{side}{c}" for side in "ab" for c in "wsen" if sides_too))
 
 
 def neighbours(points: DataFrame, km: float) -> DataFrame:

@@ -29,10 +29,8 @@ def meeting(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
 
 def meeting_boxes(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     """(a, b): boxes (id, w, s, e, n) that share more than an edge, by their sides as they are given."""
-    pairs = boxes_join(a, b, size)
-    sides = [df.select(F.col("id").alias(f"{s}_id"), *(F.col(c).alias(f"{s}{c}") for c in "wsen")) for df, s in zip((a, b), "ab", strict=True)]
     strict = (F.col("aw") < F.col("be")) & (F.col("bw") < F.col("ae")) & (F.col("as") < F.col("bn")) & (F.col("bs") < F.col("an"))
-    return pairs.join(sides[0], "a_id").join(sides[1], "b_id").where(strict).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return boxes_join(a, b, size, sides_too=True).where(strict).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def _problems(pairs: DataFrame, gid: Column, a: DataFrame, b: DataFrame) -> DataFrame:

@@ -39,9 +39,7 @@ SELECT a_id, b_id, score FROM r WHERE k = 1 AND (next IS NULL OR score - next >=
 def q37_clear_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other box that overlaps each box best, where none comes near it."""
     boxes = _xy(spark, sf_dir).select("id", (F.col("x") - 2).alias("w"), (F.col("y") - 1).alias("s"), (F.col("x") + 2).alias("e"), (F.col("y") + 1).alias("n"))
-    pairs = spatial.boxes_join(boxes, boxes, 4.0).where("a_id <> b_id")
-    for side in "ab":
-        pairs = pairs.join(boxes.select(F.col("id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}{c}") for c in "wsen")), f"{side}_id")
+    pairs = spatial.boxes_join(boxes, boxes, 4.0, sides_too=True).where("a_id <> b_id")
     iou = matching.box_iou(*(F.col(f"{side}{c}") for side in "ab" for c in "wsen"))
     return matching.clear_winners(pairs.select("a_id", "b_id", F.round(iou, 6).alias("score")), "a_id", "b_id", "score", 0.15)
 

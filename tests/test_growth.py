@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from terrachron.operators import hierarchy, masks, terrain
+from terrachron.operators import hierarchy, masks, matching, terrain
 from terrachron.registry import ORACLE_SQL, QUERIES
 
 
@@ -90,3 +90,27 @@ def test_a_large_family_is_dealt_to_several_tasks(spark):
     assert sorted(map(tuple, found.collect())) == sorted((a, b) for f in families for a in f for b in f if a != b)
     most = max(r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
     assert most < 60 * 59 * 0.7
+
+
+def test_winners_are_told_without_sorting_pairs(spark):
+    """All pairs of an owner were sorted in a task, and those of all owners grouped before."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(40), rng.randrange(12), rng.choice((None, 0.1, 0.3, 0.35, 0.9))) for _ in range(400)] + [(None, 1, 0.5), (50, 3, None)]
+    pairs = spark.createDataFrame(rows, "a long, b long, s double")
+    seen, written = [], matching.settled
+    try:
+        matching.settled = lambda df: seen.append(plan_of(df)) or written(df)
+        found = matching.clear_winners(pairs, "a", "b", "s", 0.1)
+    finally:
+        matching.settled = written
+    assert seen and not any("Window" in p for p in [*seen, plan_of(found)])
+    want = set()
+    for a in {r[0] for r in rows}:
+        best = {}
+        for x, b, s in rows:
+            if x == a:
+                best[b] = max(best.get(b, -1.0), -1.0 if s is None else s)
+        order = sorted(((s, b) for b, s in best.items()), reverse=True)
+        if len(order) == 1 or order[1][0] < 0 or order[0][0] - order[1][0] >= 0.1:
+            want.add((a, order[0][1], None if order[0][0] < 0 else order[0][0]))
+    assert set(map(tuple, found.collect())) == want
