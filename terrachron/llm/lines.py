@@ -176,8 +176,8 @@ def _together(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, now
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, bit-parallel: one column of the table is two integers."""
+def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
+    """Levenshtein distance, bit-parallel: one column of the table is two integers. Some number above `most` where it is more than that."""
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -191,7 +191,10 @@ def edit_distance(a: str, b: str) -> int:
         at[c] = at.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, score = full, 0, len(a)
-    for c in b:
+    for left_over, c in zip(range(len(b), 0, -1), b):
+        # A column more lowers the distance by one at most.
+        if score - left_over > most:
+            return score - left_over
         eq = at.get(c, 0)
         flat = (((eq & up) + up) ^ up) | eq | down
         right, left = down | ~(flat | up) & full, up & flat
@@ -205,14 +208,28 @@ def _ascii(text: str) -> np.ndarray:
     return np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)[:128]
 
 
+def _triples(text: str) -> np.ndarray:
+    """How often each class of three characters in a row occurs."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(x) < 3:
+        return np.zeros(4096, np.int64)
+    return np.bincount((x[:-2] * np.uint32(0x9E3779B1) ^ x[1:-1] * np.uint32(0x85EBCA77) ^ x[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(20), minlength=4096)
+
+
 def similar(a: str, b: str, share: float) -> bool:
-    """Whether an edit distance leaves `share` of the longer text. An edit adds one character at most and removes one, so the counts of characters bound it from below."""
+    """Whether an edit distance leaves `share` of the longer text.
+
+    An edit adds one character at most and removes one, and three runs of three characters at most, so the counts of either bound it from below.
+    """
     longest = max(len(a), len(b))
     most = (1 - share) * longest
     if longest - min(len(a), len(b)) > most:
         return False
-    more = _ascii(a) - _ascii(b)
-    return max(int(more[more > 0].sum()), -int(more[more < 0].sum())) <= most and edit_distance(a, b) <= most
+    for counts, each in ((_ascii, 1), (_triples, 3)):
+        more = counts(a) - counts(b)
+        if max(int(more[more > 0].sum()), -int(more[more < 0].sum())) > each * most:
+            return False
+    return edit_distance(a, b, most) <= most
 
 
 LINES = "doc long, th long, h long, n int, size long, c0 long, c1 long, blocks array<int>, halves array<long>"
@@ -335,7 +352,10 @@ def remove_lines(docs: DataFrame, min_words: int = 3, share: float = 0.9) -> Dat
         found = docs.select(doc.alias("d0"), th.alias("t0"), "text").join(small_side(asked), ["d0", "t0"]).select("text", "wanted").mapInArrow(_wanted, "h long, line string")
         found = materialise(found.dropDuplicates(["h"]))
         x, y = found.select(F.col("h").alias("a"), F.col("line").alias("xa")), found.select(F.col("h").alias("b"), F.col("line").alias("xb"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_compare(share), "a long, b long")
+        # Pairs are small and their comparison is long: they go to all tasks, also those of one line.
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").repartition(tasks, "a", "b")
+        return both.mapInArrow(_compare(share), "a long, b long")
 
     found = linked_components(keys, facts_of, near, confirm, rounds=6)
     named = nodes.join(found, F.col("h") == F.col("node"), "left").select("h", "d0", "n", F.coalesce("component", "h").alias("group"))
