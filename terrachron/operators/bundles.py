@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from terrachron.functions.names import finished_hydronym, squeezed, stripped_hydronym
 from terrachron.operators.hierarchy import roots
 from terrachron.operators.intervals import coalesced
+from terrachron.sources.shared import dealt
 
 
 def hydronyms(rows: DataFrame, aliases: DataFrame, name: str, category: str) -> DataFrame:
@@ -79,6 +80,7 @@ def record_issues(lifetimes: DataFrame, geometries: DataFrame, parents: DataFram
     (of a table's records of one object), outside lifetime, gap (of geometries within one), inactive parent, cycle (an
     object that is its own parent).
     """
+    lifetimes, geometries, parents = (dealt(rows, "object_id") for rows in (lifetimes, geometries, parents))
     end = F.col("lo") <= F.col("_reach") + 1
     merged = lambda rows: coalesced(rows, ["object_id"], "lo", "hi", end, ["id"]).select(F.col("object_id").alias("owner"), "lo", "hi")
     lives, shown = merged(lifetimes), merged(geometries)

@@ -44,3 +44,13 @@ def counted(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame,
 def spread(df: DataFrame) -> DataFrame:
     """df as a side that is joined by sorted parts: a table that grows with the input isn't collected on the driver because its files are small."""
     return df.hint("merge")
+
+
+#: Rows of a task that sorts them.
+SORTED = 250_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as its rows ask for, the session's shuffle partitions at least, so that what one sorts doesn't grow with the table."""
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SORTED))
+    return df.repartition(tasks, *keys)

@@ -7,8 +7,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from terrachron.operators import hierarchy, masks, matching, terrain
+from terrachron.operators import bundles, hierarchy, masks, matching, terrain
 from terrachron.registry import ORACLE_SQL, QUERIES
+from terrachron.sources import shared
 
 
 def against_sql(spark, folder, name, **tables):
@@ -114,3 +115,14 @@ def test_winners_are_told_without_sorting_pairs(spark):
         if len(order) == 1 or order[1][0] < 0 or order[0][0] - order[1][0] >= 0.1:
             want.add((a, order[0][1], None if order[0][0] < 0 else order[0][0]))
     assert set(map(tuple, found.collect())) == want
+
+
+def test_larger_tables_are_dealt_to_more_tasks(spark, monkeypatch):
+    """What a task sorted of dated records and of tiles grew with the table, up to gigabytes."""
+    monkeypatch.setattr(shared, "SORTED", 10)
+    tasks = lambda df: df.rdd.getNumPartitions()
+    rows = spark.range(95).select("id", (F.col("id") % 30).alias("object_id"), F.col("id").alias("lo"), (F.col("id") + 3).alias("hi"))
+    assert tasks(shared.dealt(rows, "object_id")) == 10 and tasks(shared.dealt(rows.limit(5), "object_id")) == 4
+    found = bundles.record_issues(rows, rows, rows.withColumn("parent_id", F.col("object_id")))
+    assert plan_of(found).count("RepartitionByExpression [object_id") >= 3
+    assert {r.issue for r in found.collect()} == {"cycle"}
