@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from terrachron.functions.temporal import let
+from terrachron.sources.shared import dealt, spread
 
 
 def coalesced_reads(packs: DataFrame, gap: int = 32 * 1024, span: int = 1024 * 1024) -> DataFrame:
@@ -50,10 +51,11 @@ def edge_mismatches(tiles: DataFrame, columns: int, rows: int) -> DataFrame:
     w, h, data = F.col("width"), F.col("height"), F.col("data")
     column = lambda x: F.transform(F.sequence(F.lit(0), h - 1), lambda y: F.get(data, (y * w + x).cast("int")))
     line = lambda y: F.slice(data, (y * w + 1).cast("int"), w)
-    edges = tiles.select("col", "row", *(column(x).alias(n) for n, x in (("w0", F.lit(0)), ("w1", F.lit(1)), ("e1", w - 2), ("e0", w - 1))), *(line(y).alias(n) for n, y in (("n0", F.lit(0)), ("n1", F.lit(1)), ("s1", h - 2), ("s0", h - 1))))
+    edges = dealt(tiles, "col", "row").select("col", "row", *(column(x).alias(n) for n, x in (("w0", F.lit(0)), ("w1", F.lit(1)), ("e1", w - 2), ("e0", w - 1))), *(line(y).alias(n) for n, y in (("n0", F.lit(0)), ("n1", F.lit(1)), ("s1", h - 2), ("s0", h - 1))))
     west = edges.select(((F.col("col") - 1 + columns) % columns).alias("col"), "row", F.col("w0").alias("x0"), F.col("w1").alias("x1"))
     north = edges.select("col", (F.col("row") - 1).alias("row"), F.col("n0").alias("y0"), F.col("n1").alias("y1"))
-    both = edges.join(west, ["col", "row"], "left").join(north, ["col", "row"], "left")
+    # Files of tiles may pack well, and their edges then pass for small: they are never sent whole to a task.
+    both = edges.join(spread(west), ["col", "row"], "left").join(spread(north), ["col", "row"], "left")
     same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
     wrong = {
         "east": ~(same("e0", "x1") & same("e1", "x0")), "south": (F.col("row") < rows - 1) & ~(same("s0", "y1") & same("s1", "y0")),

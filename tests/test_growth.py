@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from terrachron.operators import bundles, hierarchy, masks, matching, terrain
+from terrachron.operators import bundles, hierarchy, masks, matching, packs, terrain
 from terrachron.registry import ORACLE_SQL, QUERIES
 from terrachron.sources import shared
 
@@ -126,3 +126,10 @@ def test_larger_tables_are_dealt_to_more_tasks(spark, monkeypatch):
     found = bundles.record_issues(rows, rows, rows.withColumn("parent_id", F.col("object_id")))
     assert plan_of(found).count("RepartitionByExpression [object_id") >= 3
     assert {r.issue for r in found.collect()} == {"cycle"}
+
+
+def test_edges_of_tiles_are_not_sent_whole_to_tasks(spark):
+    rows = spark.range(20).select((F.col("id") % 5).alias("col"), F.floor(F.col("id") / 5).alias("row"), F.lit(3).alias("width"), F.lit(3).alias("height"), F.array(*[F.lit(7)] * 9).alias("data"))
+    found = packs.edge_mismatches(rows, 5, 4)
+    assert "BroadcastHashJoin" not in plan_of(found)
+    assert found.count() == 0
