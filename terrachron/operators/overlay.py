@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terrachron.functions.geometry import signed_area
-from terrachron.operators import cells
+from terrachron.operators import cells, few
+from terrachron.operators.few import ENDS, orient as _orient
 from terrachron.operators.walks import in_order, walks
 from terrachron.sources.shared import counted, settled
 
 #: Grid steps of a unit. Coordinates may reach 500 units either way: then no product of differences leaves 64 bits.
 SCALE = 1_000_000
-ENDS = ["x1", "y1", "x2", "y2"]
 #: Rounds of splitting; each but the last finds something to split, and two are the rule.
 ROUNDS = 24
 #: Level 0 of the cells that edges meet in, in grid steps.
@@ -58,11 +58,6 @@ def net(edges: DataFrame) -> DataFrame:
     return edges.groupBy("gid", *ENDS).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a <> 0 or b <> 0")
 
 
-def _orient(px: Column, py: Column, qx: Column, qy: Column, x: Column, y: Column) -> Column:
-    """Positive if (x, y) lies left of the way from p to q, 0 if on its line."""
-    return (qx - px) * (y - py) - (qy - py) * (x - px)
-
-
 def _cuts(edges: DataFrame, cell: int) -> DataFrame:
     """(gid, x1, y1, x2, y2, px, py): points inside of edges at which others touch or cross them."""
     extent = F.greatest(F.col("x2") - F.col("x1"), F.abs(F.col("y2") - F.col("y1")))
@@ -163,22 +158,58 @@ def labelled(pieces: DataFrame, cell: int = CELL) -> DataFrame:
     return every.groupBy(*keys).agg(F.sum("ra").alias("ra"), F.sum("rb").alias("rb"))
 
 
+def _bounds(rules: list[str]) -> Column:
+    """What a labelled piece bounds under each rule, as structs (rule, x1, y1, x2, y2) with what is kept to their left; null where nothing."""
+    def of(rule: str) -> Column:
+        left, right = RULES[rule](F.col("ra") + F.col("a"), F.col("rb") + F.col("b")), RULES[rule](F.col("ra"), F.col("rb"))
+        pick = lambda x, y: F.when(left, F.col(x)).otherwise(F.col(y))
+        return F.when(left != right, F.struct(F.lit(rule).alias("rule"), pick("x1", "x2").alias("x1"), pick("y1", "y2").alias("y1"), pick("x2", "x1").alias("x2"), pick("y2", "y1").alias("y2")))
+
+    return F.array(*(of(rule) for rule in rules))
+
+
 def bounded_by(labels: DataFrame, rules: list[str]) -> DataFrame:
     """(gid, rule, x1, y1, x2, y2): the pieces that bound what a rule keeps, which lies to their left."""
-    out = None
-    for rule in rules:
-        left, right = RULES[rule](F.col("ra") + F.col("a"), F.col("rb") + F.col("b")), RULES[rule](F.col("ra"), F.col("rb"))
-        kept = labels.where(left != right)
-        pick = lambda x, y: F.when(left, F.col(x)).otherwise(F.col(y))  # noqa: E731, B023
-        part = kept.select("gid", F.lit(rule).alias("rule"), pick("x1", "x2").alias("x1"), pick("y1", "y2").alias("y1"), pick("x2", "x1").alias("x2"), pick("y2", "y1").alias("y2"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return labels.select("gid", F.explode(F.array_compact(_bounds(rules))).alias("o")).select("gid", "o.*")
 
 
 def overlay(rings: DataFrame, rules: list[str] | str, scale: int = SCALE, cell: int = CELL) -> DataFrame:
     """Bounding pieces (gid, rule, x1, y1, x2, y2; on the grid) of rings (gid, side, hole, ring) under one or more rules."""
     rules = [rules] if isinstance(rules, str) else rules
-    return settled(bounded_by(labelled(arranged(ring_edges(rings, scale), cell), cell), rules))
+    return _kept(rings, lambda: _bounds(rules), lambda pieces: bounded_by(labelled(pieces, cell), rules), True, scale, cell)
+
+
+def common(rings: DataFrame, scale: int = SCALE, cell: int = CELL) -> DataFrame:
+    """Pieces (gid, x1, y1, x2, y2) that both sides of rings (gid, side, hole, ring) run along, one on either side of them."""
+    kept = lambda: F.array(F.when(F.signum("a") * F.signum("b") < 0, F.struct(F.lit("common").alias("rule"), *ENDS)))
+    general = lambda pieces: pieces.select("gid", F.explode(F.array_compact(kept())).alias("o")).select("gid", "o.*")
+    return _kept(rings, kept, general, False, scale, cell).select("gid", *ENDS)
+
+
+def _kept(rings: DataFrame, kept, general, wound: bool, scale: int, cell: int) -> DataFrame:
+    """(gid, rule, x1, y1, x2, y2) of rings: overlays of few edges by `kept` (as few.cut_and_kept takes it), the arranged pieces of others by `general`."""
+    rings, n = counted(rings)
+    small, large = few.parted(rings, ["gid"], F.coalesce(F.size("ring"), F.lit(0)), few.CORNERS)
+    columns = ["gid", "rule", *ENDS]
+    edges = ring_edges(few.dealt_by(small, n, ["gid"]), scale)
+    rest = None if large is None else ring_edges(large, scale)
+    out = None
+    for _ in range(ROUNDS):
+        found, left = counted(few.cut_and_kept(edges, kept, wound), F.col("again") > 0)
+        done = found.where("again = 0").select(*columns)
+        out = done if out is None else out.unionByName(done)
+        if not left:
+            break
+        # Rounded crossings bend edges: only overlays that have some are cut again.
+        more = found.where("again = 2").select("gid", *ENDS, "a", "b")
+        rest = more if rest is None else rest.unionByName(more)
+        edges = few.dealt_by(found.where("again = 1").select("gid", *ENDS, "a", "b"), left, ["gid"])
+    else:
+        raise RuntimeError("edges did not settle on the grid")
+    if rest is None:
+        return out
+    rest, n = counted(rest)
+    return out.unionByName(settled(general(arranged(rest, cell)).select(*columns))) if n else out
 
 
 def areas(pieces: DataFrame, keys: list[str], scale: int = SCALE) -> DataFrame:
@@ -192,8 +223,14 @@ def turns(edges: DataFrame, keys: list[str]) -> DataFrame:
 
     Edges with their area to the left are so walked around that area. Directions are compared exactly, by quadrant and quotient.
     """
-    spoke = lambda x, y, u, v, out: edges.select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), (F.col(u) - F.col(x)).alias("dx"), (F.col(v) - F.col(y)).alias("dy"), "id", F.lit(out).alias("out"))
-    spokes = spoke("x1", "y1", "x2", "y2", True).unionByName(spoke("x2", "y2", "x1", "y1", False))
+    return _following(edges, keys).select("id", "next")
+
+
+def _following(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges (keys, id, x1, y1, x2, y2) with the next one."""
+    spoke = lambda x, y, u, v, out: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), (F.col(u) - F.col(x)).alias("dx"), (F.col(v) - F.col(y)).alias("dy"), F.lit(out).alias("out"))
+    both = F.explode(F.array(spoke("x1", "y1", "x2", "y2", True), spoke("x2", "y2", "x1", "y1", False)))
+    spokes = edges.select(*keys, "id", *ENDS, both.alias("s")).select(*keys, "id", *ENDS, "s.*")
     dx, dy = F.col("dx"), F.col("dy")
     quadrant = F.when((dx > 0) & (dy >= 0), 0).when((dx <= 0) & (dy > 0), 1).when((dx < 0) & (dy <= 0), 2).otherwise(3)
     over, under = F.when(quadrant % 2 == 0, F.abs(dy)).otherwise(F.abs(dx)), F.when(quadrant % 2 == 0, F.abs(dx)).otherwise(F.abs(dy))
@@ -204,7 +241,7 @@ def turns(edges: DataFrame, keys: list[str]) -> DataFrame:
     spokes = spokes.withColumns({"quadrant": quadrant, "whole": whole, "rest": rest})
     leaving = F.last(F.when(F.col("out"), F.col("id")), ignorenulls=True)
     before, round_ = leaving.over(node.rowsBetween(Window.unboundedPreceding, -1)), leaving.over(node.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return spokes.withColumn("next", F.coalesce(before, round_)).where("not out").select("id", "next")
+    return spokes.withColumn("next", F.coalesce(before, round_)).where("not out").select(*keys, "id", *ENDS, "next")
 
 
 def walked(edges: DataFrame, keys: list[str], scale: int = SCALE) -> DataFrame:
@@ -212,16 +249,27 @@ def walked(edges: DataFrame, keys: list[str], scale: int = SCALE) -> DataFrame:
 
     A ring is closed and begins where its least edge does; its area is positive, a hole's negative. ring_id is a number of this run only.
     """
-    edges = settled(edges.select(*keys, *ENDS).withColumn("id", F.monotonically_increasing_id()))
-    return _rings(edges, keys, scale, walks(turns(edges, keys)).withColumnRenamed("head", "ring_id"))
+    small, large = _few_rings(edges, keys, scale)
+    if large is None:
+        return small
+    large = settled(large.withColumn("id", -1 - F.monotonically_increasing_id()))
+    return small.unionByName(_rings(large.join(walks(turns(large, keys)).withColumnRenamed("head", "ring_id"), "id"), keys, scale))
+
 
+def _few_rings(edges: DataFrame, keys: list[str], scale: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rings of keys with few edges, ring_id from 0, and the edges of the other keys, if there are some."""
+    edges, n = counted(edges.select(*keys, *ENDS))
+    small, large = few.parted(edges, keys, F.lit(1), few.PIECES)
+    numbered = few.dealt_by(small, n, keys).withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy(*ENDS)) - 1)
+    found = _rings(few.rings_within(_following(numbered, keys), keys), keys, scale)
+    return settled(found.withColumn("ring_id", F.monotonically_increasing_id())), large
 
-def _rings(edges: DataFrame, keys: list[str], scale: int, place: DataFrame) -> DataFrame:
-    """Rings of edges and their places (id, ring_id, offset)."""
-    rows = edges.join(place, "id")
+
+def _rings(rows: DataFrame, keys: list[str], scale: int) -> DataFrame:
+    """Rings of edges with their places (keys, x1, y1, x2, y2, ring_id, offset)."""
     corner = F.struct((F.col("x1") / scale).alias("x"), (F.col("y1") / scale).alias("y"))
     cross = (F.col("x1").cast("decimal(20,0)") * F.col("y2") - F.col("x2").cast("decimal(20,0)") * F.col("y1")).cast("decimal(28,0)")
-    found = rows.groupBy(*keys, "ring_id").agg(F.count("*").alias("n"), (F.sum(cross).cast("double") / (2.0 * scale * scale)).alias("area"), F.array_sort(F.collect_list(F.struct((-F.when(F.col("offset") == 0, F.lit(1 << 62)).otherwise(F.col("offset"))).alias("o"), corner.alias("p")))).alias("s"))
+    found = rows.groupBy(*keys, "ring_id").agg(F.count("*").alias("n"), (F.sum(cross).cast("double") / (2.0 * scale * scale)).alias("area"), F.sort_array(F.collect_list(F.struct((-F.when(F.col("offset") == 0, F.lit(1 << 62)).otherwise(F.col("offset"))).alias("o"), corner.alias("p")))).alias("s"))
     points = F.transform("s", lambda s: s["p"])
     return found.select(*keys, "ring_id", "n", "area", F.concat(points, F.slice(points, 1, 1)).alias("ring"))
 
@@ -242,13 +290,25 @@ def without_straight(ring: Column, tolerance: float = 0.0) -> Column:
 
 
 def polygons(pieces: DataFrame, keys: list[str], scale: int = SCALE, cell: int = CELL) -> DataFrame:
-    """Bounding pieces as polygons (keys, polygon_id, area, rings): an outer ring, and the holes that lie in it, by their least corner.
+    """Bounding pieces as polygons (keys, polygon_id, area, rings): an outer ring, and the holes that lie in it, by their least corner."""
+    small, large = _few_rings(pieces, keys, scale)
+    with_holes, n = counted(small.where("area < 0").select(*keys).distinct())
+    plain = small.join(with_holes, keys, "left_anti") if n else small
+    plain = plain.select(*keys, F.col("ring_id").alias("polygon_id"), "area", F.array("ring").alias("rings"))
+    if n:
+        more = pieces.select(*keys, *ENDS).join(with_holes, keys, "left_semi")
+        large = more if large is None else large.unionByName(more)
+    return plain if large is None else plain.unionByName(_nested(large, keys, scale, cell))
+
+
+def _nested(pieces: DataFrame, keys: list[str], scale: int, cell: int) -> DataFrame:
+    """Polygons of pieces whose rings may lie in each other. polygon_id is negative.
 
     A hole looks down from its least corner: what it meets first is its polygon's outer ring, or another hole of the same polygon.
     """
-    edges = settled(pieces.select(*keys, *ENDS).withColumn("id", F.monotonically_increasing_id()))
+    edges = settled(pieces.select(*keys, *ENDS).withColumn("id", -1 - F.monotonically_increasing_id()))
     place = walks(turns(edges, keys)).select("id", F.col("head").alias("ring_id"), "offset")
-    found, holes = counted(_rings(edges, keys, scale, place), F.col("area") < 0)
+    found, holes = counted(_rings(edges.join(place, "id"), keys, scale), F.col("area") < 0)
     if not holes:
         return found.select(*keys, F.col("ring_id").alias("polygon_id"), "area", F.array("ring").alias("rings"))
     # Of each hole: its least corner, and the lower one of the two edges there.
@@ -287,18 +347,41 @@ def _upwards(chain: DataFrame) -> DataFrame:
         now = settled(nxt.select("id", "next").unionByName(now.where("next is null").select("id", "next")))
 
 
+def _through(edges: DataFrame) -> DataFrame:
+    """Different edges (gid, x1, y1, x2, y2), and at which ends exactly one other edge follows: through1, through2."""
+    ends = F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(True).alias("first")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"), F.lit(False).alias("first"))))
+    spokes = edges.select("gid", *ENDS).distinct().select("*", ends.alias("s")).select("gid", *ENDS, "s.*")
+    spokes = spokes.withColumn("two", F.count("*").over(Window.partitionBy("gid", "x", "y")) == 2)
+    return spokes.groupBy("gid", *ENDS).agg(F.max(F.col("first") & F.col("two")).alias("through1"), F.max(~F.col("first") & F.col("two")).alias("through2"))
+
+
 def chains(edges: DataFrame, scale: int = SCALE) -> DataFrame:
     """Lines (gid, line_id, n, closed, length, points) of undirected edges (gid, x1, y1, x2, y2): they end where other than two edges meet.
 
     A line is given once, from the lesser of its ends; a loop begins at its least corner, towards the lesser neighbour. Equal edges count once.
     """
-    forward = edges.select("gid", *ENDS).distinct()
-    both = settled(forward.unionByName(forward.select("gid", F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"))).withColumn("id", F.monotonically_increasing_id()))
-    leaving = both.groupBy("gid", F.col("x1").alias("x"), F.col("y1").alias("y")).agg(F.count("*").alias("degree"), F.min(F.struct("x2", "y2", "id")).alias("p"), F.max(F.struct("x2", "y2", "id")).alias("q")).where("degree = 2")
+    edges, n = counted(edges.select("gid", *ENDS))
+    small, large = few.parted(edges, ["gid"], F.lit(1), few.PIECES)
+    found = _through(few.dealt_by(small, n, ["gid"]))
+    found, n = counted(found if large is None else found.unionByName(_through(large)), F.col("through1") | F.col("through2"))
+    # An edge that nothing follows at either end is a line.
+    corner = lambda x, y: F.struct((F.col(x) / scale).alias("x"), (F.col(y) / scale).alias("y"))
+    ends = F.when(F.struct("x1", "y1") < F.struct("x2", "y2"), F.array(corner("x1", "y1"), corner("x2", "y2"))).otherwise(F.array(corner("x2", "y2"), corner("x1", "y1")))
+    alone = found.where("not through1 and not through2").select(
+        "gid", (-1 - F.monotonically_increasing_id()).alias("line_id"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("closed"), (F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / scale).alias("length"), ends.alias("points")
+    )
+    return alone.unionByName(_longer(found.where("through1 or through2"), scale)) if n else alone
+
+
+def _longer(forward: DataFrame, scale: int) -> DataFrame:
+    """The lines of edges as _through gives them."""
+    turned = forward.select("gid", F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("through2").alias("through1"), F.col("through1").alias("through2"))
+    both = settled(forward.unionByName(turned).withColumn("id", F.monotonically_increasing_id()))
+    leaving = both.where("through1").groupBy("gid", F.col("x1").alias("x"), F.col("y1").alias("y")).agg(F.min(F.struct("x2", "y2", "id")).alias("p"), F.max(F.struct("x2", "y2", "id")).alias("q"))
     # At a corner of two edges, the way on is the one that doesn't lead back.
     at = both.select("gid", F.col("x2").alias("x"), F.col("y2").alias("y"), "id", F.struct("x1", "y1").alias("came"))
     back = (F.col("p.x2") == F.col("came.x1")) & (F.col("p.y2") == F.col("came.y1"))
-    links = at.join(leaving, ["gid", "x", "y"], "left").select("id", F.when(F.col("degree") == 2, F.when(back, F.col("q.id")).otherwise(F.col("p.id"))).alias("next"))
+    links = at.join(leaving, ["gid", "x", "y"], "left").select("id", F.when(back, F.col("q.id")).otherwise(F.col("p.id")).alias("next"))
     place = walks(links)
     rows = both.join(place, "id")
     size = rows.groupBy("gid", "head", "cyclic").agg(

@@ -55,7 +55,12 @@ def shape_areas(shapes: DataFrame) -> DataFrame:
 
 def overlapping(shapes: DataFrame, size: float) -> DataFrame:
     """(a, b, area): pairs of shapes, a < b, that share an area which counts beside either's own."""
-    pairs = settled(meeting(shapes, shapes, size).where("a < b"))
+    return overlapping_of(meeting(shapes, shapes, size).where("a < b"), shapes)
+
+
+def overlapping_of(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of shapes that share an area which counts beside either's own, with that area."""
+    pairs = settled(pairs.select("a", "b"))
     shared = pair_areas(pairs, shapes, shapes, ["intersection"])
     own = settled(shape_areas(shapes))
     rows = shared.join(own.select(F.col("id").alias("a"), F.col("area").alias("area_a")), "a").join(own.select(F.col("id").alias("b"), F.col("area").alias("area_b")), "b")
@@ -68,8 +73,7 @@ def pair_borders(pairs: DataFrame, shapes: DataFrame, scale: int = ov.SCALE, sho
 
     A border has one of the shapes on either side; where both lie on the same side, they overlap there and it is none.
     """
-    pieces = ov.arranged(ov.ring_edges(_problems(pairs, F.struct("a", "b"), shapes, shapes), scale))
-    lines = ov.chains(pieces.where(F.signum("a") * F.signum("b") < 0), scale).where(F.col("length") > shortest)
+    lines = ov.chains(ov.common(_problems(pairs, F.struct("a", "b"), shapes, shapes), scale), scale).where(F.col("length") > shortest)
     by = F.row_number().over(ov.Window.partitionBy("gid").orderBy("points"))
     return lines.select(F.col("gid.a").alias("a"), F.col("gid.b").alias("b"), by.alias("line_no"), "length", "points")
 
@@ -166,7 +170,9 @@ def adjusted(rows: DataFrame, shapes: DataFrame, size: float, replacements: list
     if changed is not None:
         shapes = cut_children(shapes, changed)
     known = [ids.select(F.col("id").alias(s), F.col("parent").alias(f"parent_{s}"), F.col("snapshot").alias(f"snapshot_{s}")) for s in "ab"]
-    rivals = overlapping(shapes, size).join(known[0], "a").join(known[1], "b").where(F.col("parent_a").eqNullSafe(F.col("parent_b")) & ~(F.col("snapshot_a") & F.col("snapshot_b")))
+    # Who may be rivals is told before any shapes are overlaid.
+    near = meeting(shapes, shapes, size).where("a < b").join(known[0], "a").join(known[1], "b")
+    rivals = overlapping_of(near.where(F.col("parent_a").eqNullSafe(F.col("parent_b")) & ~(F.col("snapshot_a") & F.col("snapshot_b"))), shapes)
     links, n = counted(rivals.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("l")).select("l.id", "l.other"))
     if n:
         shapes, left = _replaced(shapes, _sides(shapes, links, shapes), "difference")

@@ -52,5 +52,9 @@ SORTED = 250_000
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by keys to as many tasks as its rows ask for, the session's shuffle partitions at least, so that what one sorts doesn't grow with the table."""
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SORTED))
-    return df.repartition(tasks, *keys)
+    return df.repartition(tasks_for(df.sparkSession, df.count(), SORTED), *keys)
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks for so many rows: the session's shuffle partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))

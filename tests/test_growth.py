@@ -3,11 +3,12 @@
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from terrachron.operators import bundles, hierarchy, masks, matching, packs, terrain
+from terrachron.operators import bundles, few, hierarchy, lod, masks, matching, overlay, packs, shapes, terrain, territories
 from terrachron.registry import ORACLE_SQL, QUERIES
 from terrachron.sources import shared
 
@@ -133,3 +134,103 @@ def test_edges_of_tiles_are_not_sent_whole_to_tasks(spark):
     found = packs.edge_mismatches(rows, 5, 4)
     assert "BroadcastHashJoin" not in plan_of(found)
     assert found.count() == 0
+
+
+def _box(x, y, w, h, clockwise=False):
+    ring = [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+    return [{"x": float(p), "y": float(q)} for p, q in (ring[::-1] if clockwise else ring)]
+
+
+RINGS = "array<struct<x:double,y:double>>"
+
+
+def _never(*_, **__):
+    raise AssertionError("overlays of few edges need no such step")
+
+
+def _problems(spark):
+    rng = random.Random(5)
+    rows = []
+    for gid in range(30):
+        for side in "ab":
+            ring = [{"x": rng.randint(0, 40) / 7, "y": rng.randint(0, 40) / 7} for _ in range(rng.randint(3, 6))]
+            rows.append((gid, side, False, ring + ring[:1]))
+    return shared.settled(spark.createDataFrame(rows, f"gid long, side string, hole boolean, ring {RINGS}"))
+
+
+def _areas(pieces):
+    return {(r.gid, r.rule): round(r.area, 3) for r in overlay.areas(pieces, ["gid", "rule"]).collect()}
+
+
+def test_overlays_of_few_edges_are_those_of_many(spark, monkeypatch):
+    """Slanted edges cross off the grid, so some overlays are cut again."""
+    rings, rules = _problems(spark), ["intersection", "union", "difference", "xor"]
+    with monkeypatch.context() as m:
+        m.setattr(overlay, "_cuts", _never)
+        found = overlay.overlay(rings, rules)
+        areas = _areas(found)
+        kept = sorted((r.gid, round(r.area, 3), len(r.rings)) for r in overlay.polygons(found.where("rule = 'union'"), ["gid"]).collect())
+    for limit in ("CORNERS", "PIECES"):
+        with monkeypatch.context() as m:
+            m.setattr(few, limit, 8)
+            found = overlay.overlay(rings, rules)
+            other = _areas(found)
+            assert areas.keys() == other.keys() and all(abs(areas[k] - other[k]) < 0.002 for k in areas)
+            again = sorted((r.gid, round(r.area, 3), len(r.rings)) for r in overlay.polygons(found.where("rule = 'union'"), ["gid"]).collect())
+            assert [(g, n) for g, _, n in again] == [(g, n) for g, _, n in kept]
+
+
+def test_rivals_are_told_before_shapes_are_overlaid(spark, monkeypatch):
+    boxes = {1: _box(0, 0, 2, 1), 2: _box(1, 0, 2, 1), 3: _box(1.5, 0, 2, 1)}
+    made = spark.createDataFrame([(k, False, r) for k, r in boxes.items()], f"id long, hole boolean, ring {RINGS}")
+    rows = spark.createDataFrame([(1, 7, False), (2, 7, False), (3, 8, False)], "id long, parent long, snapshot boolean")
+    asked = []
+    inner = territories.pair_areas
+    monkeypatch.setattr(territories, "pair_areas", lambda pairs, *rest: asked.extend(tuple(r) for r in pairs.collect()) or inner(pairs, *rest))
+    after, log = territories.adjusted(rows, made, 1.0)
+    assert asked == [(1, 2)]
+    assert {r.id: round(r.area, 6) for r in territories.shape_areas(after).collect()} == {1: 1.0, 2: 1.0, 3: 2.0}
+
+
+def test_polygons_of_few_edges_are_walked_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(overlay, "walks", _never)
+    parts = spark.createDataFrame([(1, 0, False, _box(0, 0, 3, 1)), (2, 0, False, _box(9, 9, 1, 1, True))], f"id long, component int, hole boolean, ring {RINGS}")
+    cutters = spark.createDataFrame([(5, False, _box(1, -1, 1, 3))], f"id long, hole boolean, ring {RINGS}")
+    found = territories.component_difference(parts, cutters, 1.0).collect()
+    assert sorted((r.id, r.area, len(r.rings[0])) for r in found) == [(1, 1.0, 5), (1, 1.0, 5), (2, 1.0, 5)]
+
+
+def test_borders_of_one_edge_are_not_walked(spark, monkeypatch):
+    monkeypatch.setattr(overlay, "walks", _never)
+    made = spark.createDataFrame([(1, False, _box(0, 0, 1, 1)), (2, False, _box(1, 0.25, 1, 1))], f"id long, hole boolean, ring {RINGS}")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    found = territories.pair_borders(pairs, made).collect()
+    assert [(r.a, r.b, r.line_no, r.length, [tuple(p) for p in r.points]) for r in found] == [(1, 2, 1, 0.75, [(1.0, 0.25), (1.0, 1.0)])]
+
+
+def test_owners_of_a_simplified_map_are_walked_where_they_lie(spark, monkeypatch):
+    """Only arcs, which may be as long as the map, go round by round."""
+    rows = [(1, k, False, _box(k % 3, k // 3, 1, 1)) for k in range(9)]
+    calls, inner = [], overlay.walks
+    monkeypatch.setattr(overlay, "walks", lambda links: calls.append(1) or inner(links))
+    found = lod.simplified_map(spark.createDataFrame(rows, f"gid int, owner int, hole boolean, ring {RINGS}"), 0.01).collect()
+    assert sorted((r.owner, r.area) for r in found) == [(k, 1.0) for k in range(9)]
+    assert len(calls) == 1
+
+
+def test_large_row_groups_are_dealt_to_all_tasks(spark, tmp_path):
+    rows = pa.table({"p_partkey": pa.array(range(400), pa.int64()), "p_size": pa.array([k % 50 + 1 for k in range(400)], pa.int64())})
+    pq.write_table(rows, f"{tmp_path}/part.parquet")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("q112_rings", "q152_label_anchors"):
+        assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == tasks > 1
+
+
+def test_rings_are_compared_with_those_of_their_length(spark):
+    """Long ones alone, short ones together: the results stay in their rows."""
+    wheel = [{"x": float(np.cos(2 * np.pi * i / 80)), "y": float(np.sin(2 * np.pi * i / 80))} for i in range(80)]
+    bow = [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 1.0}, {"x": 1.0, "y": 0.0}, {"x": 0.0, "y": 1.0}, {"x": 0.0, "y": 0.0}]
+    rings = [wheel + wheel[:1], _box(0, 0, 1, 1), bow, None, _box(0, 0, 1, 1)[:4], [], wheel]
+    rows = spark.createDataFrame([(i, r, _box(-0.1, -0.1, 0.2, 0.2)) for i, r in enumerate(rings)], f"i int, a {RINGS}, b {RINGS}").coalesce(1)
+    got = {r.i: (r.issues, r.holds) for r in rows.select("i", shapes.ring_issues(F.col("a")).alias("issues"), shapes.contains(F.col("a"), F.col("b")).alias("holds")).collect()}
+    assert got == {0: ([], True), 1: ([], False), 2: (["flat", "crossing"], False), 3: (None, None), 4: (["open"], False), 5: (["few", "flat"], False), 6: (["open"], True)}
