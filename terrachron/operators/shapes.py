@@ -88,11 +88,25 @@ def _cross(o: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def proper_crossings(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Which edges p-q and r-s cross inside both, as a matrix (edges of the first by edges of the second)."""
-    p, q, r, s = p[:, None], q[:, None], r[None, :], s[None, :]
+    """Which edges p-q and r-s cross inside both, as a matrix (edges of the first by edges of the second); of several rings at once if they have as many vertices."""
+    p, q, r, s = p[..., :, None, :], q[..., :, None, :], r[..., None, :, :], s[..., None, :, :]
     return (_cross(p, q, r) * _cross(p, q, s) < 0) & (_cross(r, s, p) * _cross(r, s, q) < 0)
 
 
+#: Rings of at most so many vertices are compared together with those that have as many, and so many pairs of vertices at a time.
+SHORT, PAIRS = 64, 1 << 20
+
+
+def _alike(known: np.ndarray, *sizes: np.ndarray):
+    """Places of known rows with equal sizes of at most SHORT: blocks that are compared at once."""
+    rows = np.flatnonzero(known & (np.maximum.reduce(sizes) <= SHORT))
+    order = rows[np.lexsort([s[rows] for s in sizes])]
+    new = np.logical_or.reduce([np.diff(s[order]) != 0 for s in sizes])
+    for part in np.split(order, np.flatnonzero(new) + 1) if len(order) else []:
+        most = max(1, PAIRS // int(max(s[part[0]] for s in sizes)) ** 2)
+        yield from (part[i : i + most] for i in range(0, len(part), most))
+
+
 def ring_issues(ring: Column) -> Column:
     """What is wrong with a ring, in order: few (fewer than four vertices), open, repeated (a vertex beside itself), flat (no area), crossing (edges cross).
 
@@ -115,23 +129,37 @@ def ring_issues(ring: Column) -> Column:
             out.append("crossing")
         return out
 
+    names = np.array(["few", "open", "repeated", "flat", "crossing"])
+
     def run(rings: pa.Array) -> pa.Array:
         xy, starts = _flat(rings)
-        return pa.array([found(xy[a:b]) if v else None for a, b, v in zip(starts, starts[1:], rings.is_valid().to_pylist())], pa.list_(pa.string()))
+        known, sizes = rings.is_valid().to_numpy(zero_copy_only=False), np.diff(starts)
+        out = [found(xy[a:b]) if v and (n < 3 or n > SHORT) else None for a, b, v, n in zip(starts, starts[1:], known.tolist(), sizes.tolist())]
+        for rows in _alike(known & (sizes > 2), sizes):
+            n = int(sizes[rows[0]])
+            p = xy[starts[rows][:, None] + np.arange(n)]
+            x, y = np.moveaxis(p - p[:, :1], 2, 0)
+            a, b = p[:, :-1], p[:, 1:]
+            flat = np.abs((x[:, :-1] * y[:, 1:] - x[:, 1:] * y[:, :-1]).sum(axis=1)) / 2 <= 1e-12
+            marks = [np.full(len(p), n < 4), (p[:, 0] != p[:, -1]).any(axis=1), (a == b).all(axis=2).any(axis=1), flat, proper_crossings(a, b, a, b).any(axis=(1, 2))]
+            for i, m in zip(rows.tolist(), np.stack(marks, axis=1)):
+                out[i] = names[m].tolist()
+        return pa.array(out, pa.list_(pa.string()))
 
     return F.arrow_udf(run, "array<string>")(ring)
 
 
 def inside(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
     """0 outside, 1 inside, 2 on the boundary, for each point."""
-    a, b = ring[:-1], ring[1:]
-    x, y = points[:, None, 0], points[:, None, 1]
-    on = (np.abs(_cross(a[None], b[None], points[:, None])) <= 1e-10) & (x >= np.minimum(a, b)[:, 0] - 1e-10) & (x <= np.maximum(a, b)[:, 0] + 1e-10) & (y >= np.minimum(a, b)[:, 1] - 1e-10) & (y <= np.maximum(a, b)[:, 1] + 1e-10)
-    rise = b[:, 1] - a[:, 1]
+    a, b = ring[..., None, :-1, :], ring[..., None, 1:, :]
+    p = points[..., :, None, :]
+    x, y = p[..., 0], p[..., 1]
+    low, high = np.minimum(a, b) - 1e-10, np.maximum(a, b) + 1e-10
+    on = (np.abs(_cross(a, b, p)) <= 1e-10) & (x >= low[..., 0]) & (x <= high[..., 0]) & (y >= low[..., 1]) & (y <= high[..., 1])
     with np.errstate(divide="ignore", invalid="ignore"):
-        at = a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / rise
-    hit = ((a[:, 1] > y) != (b[:, 1] > y)) & (x < at)
-    return np.where(on.any(axis=1), 2, hit.sum(axis=1) % 2)
+        at = a[..., 0] + (y - a[..., 1]) * (b[..., 0] - a[..., 0]) / (b[..., 1] - a[..., 1])
+    hit = ((a[..., 1] > y) != (b[..., 1] > y)) & (x < at)
+    return np.where(on.any(axis=-1), 2, hit.sum(axis=-1) % 2)
 
 
 def contains(outer: Column, inner: Column) -> Column:
@@ -142,18 +170,22 @@ def contains(outer: Column, inner: Column) -> Column:
 
     def run(outers: pa.Array, inners: pa.Array) -> pa.Array:
         (p, at), (q, to) = _flat(outers), _flat(inners)
-        out = []
-        for i, known in enumerate((outers.is_valid().to_numpy(zero_copy_only=False) & inners.is_valid().to_numpy(zero_copy_only=False)).tolist()):
+        known = outers.is_valid().to_numpy(zero_copy_only=False) & inners.is_valid().to_numpy(zero_copy_only=False)
+        sizes = np.diff(at), np.diff(to)
+        rings = known & (np.minimum(*sizes) >= 4)
+        out = np.where(known, False, None)
+        for rows in _alike(rings, *sizes):
+            a, b = p[at[rows][:, None] + np.arange(sizes[0][rows[0]])], q[to[rows][:, None] + np.arange(sizes[1][rows[0]])]
+            held = (inside(np.concatenate([b[:, :-1], (b[:, :-1] + b[:, 1:]) / 2], axis=1), a) > 0).all(axis=1)
+            out[rows] = held & ~proper_crossings(a[:, :-1], a[:, 1:], b[:, :-1], b[:, 1:]).any(axis=(1, 2))
+        for i in np.flatnonzero(rings & (np.maximum(*sizes) > SHORT)).tolist():
             a, b = p[at[i] : at[i + 1]], q[to[i] : to[i + 1]]
-            if not known or len(a) < 4 or len(b) < 4:
-                out.append(False if known else None)
-                continue
             probes = np.concatenate([b[:-1], (b[:-1] + b[1:]) / 2])
             # A million pairs of points and edges at a time, however long the rings are.
             some = max(1, 1_000_000 // len(a))
             held = all((inside(probes[k : k + some], a) > 0).all() for k in range(0, len(probes), some))
-            out.append(held and not any(proper_crossings(a[:-1], a[1:], b[:-1][k : k + some], b[1:][k : k + some]).any() for k in range(0, len(b) - 1, some)))
-        return pa.array(out, pa.bool_())
+            out[i] = held and not any(proper_crossings(a[:-1], a[1:], b[:-1][k : k + some], b[1:][k : k + some]).any() for k in range(0, len(b) - 1, some))
+        return pa.array([None if v is None else bool(v) for v in out.tolist()], pa.bool_())
 
     return F.arrow_udf(run, "boolean")(outer, inner)
 

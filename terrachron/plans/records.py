@@ -12,7 +12,7 @@ from terrachron.operators import calibration, changes, edits, entities, matching
 from terrachron.plans.proofs import _DAY, _LAT, _LON, _RING, _TREE, _tree, day, points
 from terrachron.plans.queries import query
 from terrachron.sources import files, geonames, geopackage
-from terrachron.sources.shared import shared_dir
+from terrachron.sources.shared import dealt, shared_dir
 from terrachron.sources.tables import table
 from terrachron.streaming import latest
 
@@ -405,19 +405,19 @@ def q109_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.supplement_diff(rows.where(k % 3 != 0), rows.where(k % 7 != 0).withColumn("c_acctbal", F.when(k % 5 == 0, -1.0).otherwise(F.col("c_acctbal"))), "c_custkey")
 
 
-def _squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _squares(parts: DataFrame, *more: str) -> DataFrame:
     """A unit square for each part on a grid of 40 columns; every third one runs clockwise."""
     k = F.col("p_partkey")
     corner = lambda dx, dy: F.struct((k % 40 + dx).cast("double").alias("x"), (F.floor(k / 40) + dy).cast("double").alias("y"))
     ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
-    return table(spark, sf_dir, "part").select(k.alias("owner"), F.when(k % 3 == 0, F.reverse(ring)).otherwise(ring).alias("ring"))
+    return parts.select(k.alias("owner"), F.when(k % 3 == 0, F.reverse(ring)).otherwise(ring).alias("ring"), *more)
 
 
 @query("""
 SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(1 AS BIGINT) AS n, CAST(1 AS DOUBLE) AS length FROM part a JOIN part b ON (b.p_partkey = a.p_partkey + 1 AND b.p_partkey % 40 <> 0) OR b.p_partkey = a.p_partkey + 40""")
 def q110_shared_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who shares a border with whom, and how long it is."""
-    return shapes.shared_borders(_squares(spark, sf_dir))
+    return shapes.shared_borders(_squares(table(spark, sf_dir, "part")))
 
 
 @query("""
@@ -425,7 +425,7 @@ WITH k AS (SELECT p_partkey AS k, p_partkey % 40 AS c, p_partkey // 40 AS r FROM
 SELECT CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2 FROM e GROUP BY ALL HAVING count(*) % 2 = 1""")
 def q111_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outer edges of a mesh."""
-    return shapes.perimeter(_squares(spark, sf_dir))
+    return shapes.perimeter(_squares(table(spark, sf_dir, "part")))
 
 
 @query("SELECT p_partkey AS owner, p_partkey % 3 <> 0 AS was, true AS now, CAST(1 AS DOUBLE) AS area, 0.25 + p_size / 50 <= 1 AS holds, false AS held, CAST(5 AS INTEGER) AS positions, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'open' WHEN 2 THEN 'repeated' ELSE 'flat,crossing' END AS issues, p_partkey % 5 <> 0 AS equal FROM part")
@@ -439,7 +439,8 @@ def q112_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     bow = F.array(p(0.0, 0.0), p(1.0, 1.0), p(1.0, 0.0), p(0.0, 1.0), p(0.0, 0.0))
     odd = F.when(k % 4 == 0, ring).when(k % 4 == 1, F.slice(ring, 1, 4)).when(k % 4 == 2, F.concat(F.slice(ring, 1, 1), ring)).otherwise(bow)
     moved = F.transform(ring, lambda v: F.struct((v["x"] + F.when(k % 5 == 0, 1e-9).otherwise(0.0)).alias("x"), v["y"].alias("y")))
-    rows = _squares(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("owner"), "p_size"), "owner")
+    # A table of some large row groups is read by as few tasks.
+    rows = _squares(dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey"), "p_size")
     return rows.select(
         "owner", shapes.is_wound(ring).alias("was"), shapes.is_wound(shapes.wound(ring)).alias("now"), F.abs(signed_area(ring)).alias("area"),
         shapes.contains(ring, across).alias("holds"), shapes.contains(small, ring).alias("held"), shapes.polygon_statistics(F.array(F.array(ring)))["positions"].alias("positions"),
