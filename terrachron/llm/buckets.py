@@ -17,20 +17,29 @@ def _apart(members: DataFrame, found: DataFrame, facts: DataFrame) -> DataFrame:
     return materialise(now.join(mixed, "key").join(facts, "id"))
 
 
+#: Pairs of different components for each member of a key beyond which they don't meet as rows, where there is another way.
+CROWD = 16
+
+
+def _by_component(apart: DataFrame) -> DataFrame:
+    """(key, n, same): the members of a key, and the sum of the squares of how many each component has."""
+    return apart.groupBy("key", "c").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+
+
 def _pairs_to_meet(apart: DataFrame) -> tuple[float, float]:
     """How many members there are, and how many pairs of them are of one key and of different components."""
-    of = apart.groupBy("key", "c").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    n, pairs = of.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+    n, pairs = _by_component(apart).agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
     return n or 0.0, pairs or 0.0
 
 
-def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, first: Callable[[str, str, str], Column] | None = None, rounds: int = 0) -> DataFrame:
+def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, first: Callable[[str, str, str], Column] | None = None, rounds: int = 0, meet: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of the confirmed links among ids that share a key; nodes that are their component's least id are left out.
 
     keys: (key, id), repeats allowed. facts_of: a table of ids that share a key to (id, ...), what `near` compares, given the suffixes of
     two sides. confirm: pairs (a, b) to the linked ones. links: (a, b) that hold already. first: given a key column and
     the suffixes, whether the key is the first that two ids share, so that they meet once. rounds: how often, at most,
     members that are still apart are first compared with one of their key, while that is less work than that all meet and each round halves it.
+    meet: members (key, id, c, ...) of keys with more than CROWD pairs for each member still apart to links (a, b) that hold, enough to join what can be joined; without it they meet as rows like others.
 
     First each id is compared with the least and the greatest id that it shares a key with. Links found are contracted,
     and only members of a key that are still apart meet each other, so the components are those of all links, while a
@@ -65,10 +74,19 @@ def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame
         apart = _apart(members, found, facts)
     if not apart.take(1):
         return found
+    if meet:
+        of = _by_component(apart).where((F.col("n") * F.col("n") - F.col("same")) / 2 > CROWD * F.col("n")).select("key")
+        crowded = materialise(apart.join(small_side(of), "key"))
+        if crowded.take(1):
+            more = materialise(meet(crowded))
+            found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+            apart = _apart(members.join(crowded.select("key").distinct(), "key", "left_anti"), found, facts)
+            if not apart.take(1):
+                return found
     x, y = (apart.select(*(F.col(c).alias(f"{c}_{s}") for c in ("key", "id", "c", *names))) for s in "ab")
-    meet = (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b"))
-    meet = meet & (first("key_a", "_a", "_b") if first else F.lit(True)) & near("_a", "_b")
-    more = x.join(y, meet).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    together = (F.col("key_a") == F.col("key_b")) & (F.col("c_a") < F.col("c_b"))
+    together = together & (first("key_a", "_a", "_b") if first else F.lit(True)) & near("_a", "_b")
+    more = x.join(y, together).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     more = materialise(confirm(materialise(more if first else more.distinct())))
     if not more.take(1):
         return found

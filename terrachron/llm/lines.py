@@ -22,6 +22,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from terrachron.llm.buckets import linked_components
@@ -36,6 +37,8 @@ BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 BASE = 0x9E3779B97F4A7C15
 #: Blocks of a line; the most words of a line that is keyed word by word; and the least words of a half that is a key.
 BLOCKS, SHORT, HALF = 4, 7, 3
+#: Members of a crowded key in a tile; each two tiles are compared in one task.
+TILE = 128
 #: Letters to 16 classes, whose counts bound the edit distance; 16 isn't counted.
 CLASSES = np.full(256, 16, np.int8)
 for _i, _c in enumerate(b"etaoinshrdlucmfwypvbgkjqxz0"):
@@ -261,14 +264,46 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, hashes) to (h, line): the normalised lines asked for."""
     for batch in batches:
         out: dict[int, str] = {}
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data, wanted = (text or "").encode("utf-8", "surrogatepass"), set(wanted)
-            for h, line in zip(line_features([data])[1].tolist(), data.split(b"\n")):
-                if h in wanted:
-                    out[h] = b" ".join(line.translate(NORMAL).split()).decode("utf-8", "surrogatepass")
+        asked = batch.column(1).to_pylist()
+        for first, group in _together(batch.column(0).to_pylist()):
+            # Hashes of a run of texts are made at once.
+            _, h, _, _, lines = line_features(group)
+            h, at = h.tolist(), 0
+            for i, (data, size) in enumerate(zip(group, lines.tolist()), first):
+                wanted = set(asked[i])
+                found = [k for k in range(size) if h[at + k] in wanted]
+                if found:
+                    of = data.split(b"\n")
+                    out.update((h[at + k], b" ".join(of[k].translate(NORMAL).split()).decode("utf-8", "surrogatepass")) for k in found)
+                at += size
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.string())], names=["h", "line"])
 
 
+def _met(share: float):
+    """Two tiles of a key's members (key, id, c, size, c0, c1, line, tile) to the links (a, b) that join their components c: who is joined already isn't compared."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        ids, c, size, tile = (group.column(n).to_numpy() for n in ("id", "c", "size", "tile"))
+        counts = np.stack([group.column(n).to_numpy() for n in ("c0", "c1")], axis=1).astype("<i8").view(np.uint8).astype(np.int16)
+        lines, root = group.column("line").to_pylist(), np.unique(c, return_inverse=True)[1]
+        one, other = key[1].as_py(), key[2].as_py()
+        right = np.flatnonzero(tile == other)
+        links = []
+        for i in np.flatnonzero(tile == one):
+            j = right[right > i] if one == other else right
+            most = np.maximum(size[i], size[j]) * (1 - share) + 1e-6
+            apart = counts[i] - counts[j]
+            fits = (np.abs(size[i] - size[j]) <= most) & (np.maximum(apart, 0).sum(axis=1) <= most) & (np.maximum(-apart, 0).sum(axis=1) <= most)
+            for k in j[fits].tolist():
+                if root[i] != root[k] and similar(lines[i], lines[k], share):
+                    root[root == root[k]] = root[i]
+                    links.append((i, k))
+        at = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[at].min(axis=1), "b": ids[at].max(axis=1)})
+
+    return run
+
+
 def _compare(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,8 +316,7 @@ def _compare(share: float):
 def _rewrite(min_words: int):
     """A text and the groups of its lines to the text without the lines that stand elsewhere or above (null if it stays), its lines and those removed."""
 
-    def kept_lines(n: list[int], h: list[int], known: list[dict]) -> list[int]:
-        group = {g["h"]: (g["group"], g["gone"]) for g in known}
+    def kept_lines(n: list[int], h: list[int], group: dict[int, tuple[int, bool]]) -> list[int]:
         seen, kept = set(), []
         for i, (words, x) in enumerate(zip(n, h)):
             if words >= min_words:
@@ -296,23 +330,28 @@ def _rewrite(min_words: int):
     def run(every: pa.Array, every_groups: pa.Array) -> pa.Array:
         out, total, removed = [], [], []
         for start in range(0, len(every), 512):
-            texts, groups = every.slice(start, 512).to_pylist(), every_groups.slice(start, 512).to_pylist()
+            rows, groups = every.slice(start, 512), every_groups.slice(start, 512)
+            ends = np.cumsum(groups.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            known = [groups.flatten().field(c).to_pylist() for c in ("h", "group", "gone")]
+            sizes = pc.add(pc.count_substring(rows, "\n"), 1).fill_null(0).to_pylist()
             # A text without groups has no line that occurs twice, here or elsewhere.
-            some = [i for i, g in enumerate(groups) if g and texts[i] is not None]
-            kept_of: dict[int, list[int]] = {}
-            for first, data in _together([texts[i] for i in some]):
+            some = [i for i, (a, b) in enumerate(zip([0, *ends], ends)) if b > a and rows[i].is_valid]
+            texts = rows.take(pa.array(some, pa.int64())).to_pylist()
+            left: dict[int, tuple[str, int]] = {}
+            for first, data in _together(texts):
                 n, h, _, _, lines = line_features(data)
                 n, h, at = n.tolist(), h.tolist(), 0
-                for i, size in zip(some[first:], lines.tolist()):
-                    kept_of[i] = kept_lines(n[at : at + size], h[at : at + size], groups[i])
+                for k, size in enumerate(lines.tolist(), first):
+                    i = some[k]
+                    a, b = ends[i - 1] if i else 0, ends[i]
+                    kept = kept_lines(n[at : at + size], h[at : at + size], dict(zip(known[0][a:b], zip(known[1][a:b], known[2][a:b]))))
+                    if len(kept) < size:
+                        of = texts[k].split("\n")
+                        left[i] = "\n".join([of[j] for j in kept]), size - len(kept)
                     at += size
-            for i, text in enumerate(texts):
-                size = 0 if text is None else text.count("\n") + 1
-                kept = kept_of.get(i)
-                gone = 0 if kept is None else size - len(kept)
-                if gone:
-                    lines_in = text.split("\n")
-                out.append("\n".join([lines_in[k] for k in kept]) if gone else None)
+            for i, size in enumerate(sizes):
+                text, gone = left.get(i, (None, 0))
+                out.append(text)
                 total.append(size)
                 removed.append(gone)
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["left", "lines", "removed"])
@@ -345,19 +384,32 @@ def remove_lines(docs: DataFrame, min_words: int = 3, share: float = 0.9) -> Dat
         added, removed = (reduce(lambda x, y: x + y, (F.greatest(zero, sign * d) for d in apart)) for sign in (1, -1))
         return (F.abs(F.col(f"size{a}") - F.col(f"size{b}")) <= most) & (added <= most) & (removed <= most)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
+    def lines_of(ids: DataFrame) -> DataFrame:
         # The list of a text has that text's own lines.
         asked = ids.join(nodes, "h").groupBy("d0", "t0").agg(F.collect_list("h").alias("wanted"))
         found = docs.select(doc.alias("d0"), th.alias("t0"), "text").join(small_side(asked), ["d0", "t0"]).select("text", "wanted").mapInArrow(_wanted, "h long, line string")
-        found = materialise(found.dropDuplicates(["h"]))
+        return materialise(found.dropDuplicates(["h"]))
+
+    def meet(crowded: DataFrame) -> DataFrame:
+        # Each two tiles of a key meet in one task, to which a member's line goes once, not once for each pair.
+        lines_in = lines_of(crowded.select(F.col("id").alias("h")).distinct())
+        tiles = crowded.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+        rows = crowded.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+        rows = rows.join(lines_in, rows.id == lines_in.h).withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rows = rows.select("key", F.least("tile", "_t").alias("one"), F.greatest("tile", "_t").alias("other"), "id", "c", "size", "c0", "c1", "line", "tile")
+        # Few bytes are long to compare: they go to all tasks.
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(tasks, "key", "one", "other").groupBy("key", "one", "other").applyInArrow(_met(share), "a long, b long")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        found = lines_of(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
         x, y = found.select(F.col("h").alias("a"), F.col("line").alias("xa")), found.select(F.col("h").alias("b"), F.col("line").alias("xb"))
         # Pairs are small and their comparison is long: they go to all tasks, also those of one line.
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").repartition(tasks, "a", "b")
         return both.mapInArrow(_compare(share), "a long, b long")
 
-    found = linked_components(keys, facts_of, near, confirm, rounds=6)
+    found = linked_components(keys, facts_of, near, confirm, rounds=6, meet=meet)
     named = nodes.join(found, F.col("h") == F.col("node"), "left").select("h", "d0", "n", F.coalesce("component", "h").alias("group"))
     fuzzy = found.select(F.col("component").alias("group")).distinct().withColumn("fuzzy", F.lit(True))
     named = named.join(fuzzy, "group", "left").where("n > 1 or fuzzy")
