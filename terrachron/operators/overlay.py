@@ -30,12 +30,12 @@ RULES = {
 }
 
 
-def ring_edges(rings: DataFrame, scale: int = SCALE) -> DataFrame:
+def ring_edges(rings: DataFrame, scale: int = SCALE, added_up: bool = True) -> DataFrame:
     """Net edges (gid, x1, y1, x2, y2, a, b) of rings (gid, side: a or b, hole, ring), least end first.
 
     a and b say how often an edge is run through forwards, less backwards, by rings of either side: outer rings count anticlockwise, holes
     clockwise, whatever their sense. Rings of a side may overlap. Rings that are null or not closed are closed; edges without length, and
-    those that cancel, are left out.
+    those that cancel, are left out. Not added up, an edge has a row for each time that it is run through.
     """
     first, last = F.get("ring", F.lit(0)), F.get("ring", F.size("ring") - 1)
     closed = F.when((first["x"] == last["x"]) & (first["y"] == last["y"]), F.col("ring")).otherwise(F.concat("ring", F.array(first)))
@@ -50,7 +50,8 @@ def ring_edges(rings: DataFrame, scale: int = SCALE) -> DataFrame:
     pick = lambda x, y: F.when(forward, F.col(x)).otherwise(F.col(y))
     e = e.where((F.col("px") != F.col("qx")) | (F.col("py") != F.col("qy")))
     e = e.select("gid", "side", pick("px", "qx").alias("x1"), pick("py", "qy").alias("y1"), pick("qx", "px").alias("x2"), pick("qy", "py").alias("y2"), F.when(forward, F.col("turn")).otherwise(-F.col("turn")).alias("d"))
-    return net(e.select("gid", *ENDS, *(F.when(F.col("side") == s, F.col("d")).otherwise(0).cast("long").alias(s) for s in "ab")))
+    e = e.select("gid", *ENDS, *(F.when(F.col("side") == s, F.col("d")).otherwise(0).cast("long").alias(s) for s in "ab"))
+    return net(e) if added_up else e
 
 
 def net(edges: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def _kept(rings: DataFrame, kept, general, wound: bool, scale: int, cell: int) -
     rings, n = counted(rings)
     small, large = few.parted(rings, ["gid"], F.coalesce(F.size("ring"), F.lit(0)), few.CORNERS)
     columns = ["gid", "rule", *ENDS]
-    edges = ring_edges(few.dealt_by(small, n, ["gid"]), scale)
+    edges = ring_edges(few.dealt_by(small, n, ["gid"]), scale, added_up=False)
     rest = None if large is None else ring_edges(large, scale)
     out = None
     for _ in range(ROUNDS):

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from terrachron.functions.numeric import EARTH_RADIUS_KM
 from terrachron.operators import linear, lod, overlay, seam, territories
 from terrachron.plans.queries import query
-from terrachron.sources.shared import settled
+from terrachron.sources.shared import dealt, settled
 from terrachron.sources.tables import table
 
 
@@ -21,7 +21,8 @@ def rectangle(x: Column, y: Column, w, h) -> Column:
 
 
 def _shapes(rows: DataFrame, key: str, ring: Column) -> DataFrame:
-    return rows.select(F.col(key).alias("id"), F.lit(False).alias("hole"), ring.alias("ring"))
+    # A table of few row groups is read by few tasks.
+    return dealt(rows, key).select(F.col(key).alias("id"), F.lit(False).alias("hole"), ring.alias("ring"))
 
 
 _RECTS = "SELECT p_partkey AS k, p_partkey % 40 AS x, p_partkey // 40 AS y, 0.4 + p_size / 50 AS w, 0.4 + p_size % 8 / 10 AS h FROM part"
@@ -83,7 +84,7 @@ SELECT id, component, round(w * h - coalesce(gone, 0), 5) AS area FROM k LEFT JO
 def q142_component_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What cutters leave of each component of each territory (U4, P25)."""
     k, i = F.col("c_custkey"), F.col("component")
-    rows = table(spark, sf_dir, "customer").withColumn("component", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = dealt(table(spark, sf_dir, "customer"), "c_custkey").withColumn("component", F.explode(F.array(F.lit(0), F.lit(1))))
     parts = rows.select(k.alias("id"), "component", F.lit(False).alias("hole"), rectangle(k % 50, F.floor(k / 50) * 4 + 2 * i, 1 + k % 7 / 4, 1.5).alias("ring"))
     s = F.col("s_suppkey")
     cutters = _shapes(table(spark, sf_dir, "supplier"), "s_suppkey", rectangle(s % 25 * 2 + 0.25, F.floor(s / 25) * 3 + 0.5, 1.0, 1.0))

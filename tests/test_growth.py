@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from terrachron.operators import bundles, few, hierarchy, lod, masks, matching, overlay, packs, shapes, terrain, territories
+from terrachron.plans import territories as plans
 from terrachron.registry import ORACLE_SQL, QUERIES
 from terrachron.sources import shared
 
@@ -234,3 +235,24 @@ def test_rings_are_compared_with_those_of_their_length(spark):
     rows = spark.createDataFrame([(i, r, _box(-0.1, -0.1, 0.2, 0.2)) for i, r in enumerate(rings)], f"i int, a {RINGS}, b {RINGS}").coalesce(1)
     got = {r.i: (r.issues, r.holds) for r in rows.select("i", shapes.ring_issues(F.col("a")).alias("issues"), shapes.contains(F.col("a"), F.col("b")).alias("holds")).collect()}
     assert got == {0: ([], True), 1: ([], False), 2: (["flat", "crossing"], False), 3: (None, None), 4: (["open"], False), 5: (["few", "flat"], False), 6: (["open"], True)}
+
+
+def test_overlays_of_few_edges_make_no_rows_of_pairs(spark):
+    """Each two edges of an overlay were a row, grouped again by edge: most of the time of all overlays."""
+    rings = _problems(spark)
+    found = few.cut_and_kept(overlay.ring_edges(rings), lambda: F.array(F.struct(F.lit("any").alias("rule"), *few.ENDS)))
+    assert "Generate inline(es" not in plan_of(found)
+    labels = found.where("again = 0").count(), found.where("again = 1").count()
+    assert all(labels)
+    # Whole numbers need no rounding: the pieces are those of the general way.
+    square = spark.createDataFrame([(g, s, False, _box(x, x, 4, 4)) for g in range(3) for s, x in (("a", 0), ("b", g))], f"gid int, side string, hole boolean, ring {RINGS}")
+    kept = lambda: F.array(F.struct(F.concat_ws(",", "ra", "rb").alias("rule"), *few.ENDS))
+    got = few.cut_and_kept(overlay.ring_edges(square, added_up=False), kept).select("gid", "rule", *few.ENDS)
+    want = overlay.labelled(overlay.arranged(overlay.ring_edges(square))).select("gid", F.concat_ws(",", "ra", "rb").alias("rule"), *few.ENDS)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_shapes_of_one_row_group_are_made_by_all_tasks(spark):
+    rows = spark.range(400).coalesce(1)
+    shapes = plans._shapes(rows, "id", plans.rectangle(F.col("id"), F.lit(0), 1, 1))
+    assert shapes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
