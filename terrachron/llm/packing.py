@@ -94,6 +94,10 @@ class ByteBpe:
         behind = {b: self._head(b) for b in {b for _, _, b in parts}}
         known.update([(w, known[a] + behind[b]) for w, a, b in parts])
 
+    def forget(self) -> None:
+        """Lets go of what was known before: a worker that is done with a task may hold memory for other work next."""
+        self.older = {}
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.known, self.older, self.heads = {}, self.known, {}
@@ -190,6 +194,7 @@ def _pack(vocabulary: str, as_text: bool, end_id: int, size: int):
                     if whole < total and (full := levels.place((doc, whole, ids[whole:], total))):
                         emit(full)
             yield out()
+        encode.forget()
         for window in levels.rest():
             emit(window)
         yield out()

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from terrachron.llm import hmm, packing, substrings
@@ -63,3 +64,13 @@ def test_special_tokens_are_tokens(spark):
     got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     for i, t in enumerate(texts):
         assert {r.doc_tokens for r in got if r.doc_id == i} == {len(tokenizer.encode(t, add_special_tokens=False).ids) + 1}
+
+
+def test_a_packing_task_leaves_no_second_memory(monkeypatch):
+    """A worker kept up to twice REMEMBERED words after its task, beside what the next stage needs."""
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": classmethod(lambda cls: cls()), "partitionId": lambda self: 0}))
+    encode = packing.tokenizer("byte_bpe_50k.json", False)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [" ".join(f"name{i}" for i in range(100 * k, 100 * k + 100))]}) for k in range(4)]
+    assert sum(b.num_rows for b in packing._pack("byte_bpe_50k.json", False, 1, 2048)(iter(batches))) >= 4
+    assert encode.known and not encode.older
