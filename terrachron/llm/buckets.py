@@ -26,9 +26,9 @@ def _by_component(apart: DataFrame) -> DataFrame:
     return apart.groupBy("key", "c").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
 
 
-def _pairs_to_meet(apart: DataFrame) -> tuple[float, float]:
+def _pairs_to_meet(of: DataFrame) -> tuple[float, float]:
     """How many members there are, and how many pairs of them are of one key and of different components."""
-    n, pairs = _by_component(apart).agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+    n, pairs = of.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
     return n or 0.0, pairs or 0.0
 
 
@@ -56,10 +56,12 @@ def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame
     found_links = materialise(confirm(materialise(pairs.join(sides[0], "a").join(sides[1], "b").where(near("_a", "_b")).select("a", "b"))))
     found = connected_components(found_links if links is None else found_links.union(links))
     apart = _apart(members, found, facts)
+    of = None
     before = float("inf")
     for i in range(rounds):
         # A round costs about as much as 32 pairs for each member, and the next one only pays if this one halves them.
-        n, pairs = _pairs_to_meet(apart)
+        of = materialise(_by_component(apart))
+        n, pairs = _pairs_to_meet(of)
         if pairs <= 32 * n or pairs > before / 2:
             break
         before = pairs
@@ -71,12 +73,12 @@ def linked_components(keys: DataFrame, facts_of: Callable[[DataFrame], DataFrame
         if not more.take(1):
             break
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-        apart = _apart(members, found, facts)
+        apart, of = _apart(members, found, facts), None
     if not apart.take(1):
         return found
     if meet:
-        of = _by_component(apart).where((F.col("n") * F.col("n") - F.col("same")) / 2 > CROWD * F.col("n")).select("key")
-        crowded = materialise(apart.join(small_side(of), "key"))
+        crowds = (_by_component(apart) if of is None else of).where((F.col("n") * F.col("n") - F.col("same")) / 2 > CROWD * F.col("n")).select("key")
+        crowded = materialise(apart.join(small_side(crowds), "key"))
         if crowded.take(1):
             more = materialise(meet(crowded))
             found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

@@ -179,32 +179,57 @@ def _together(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, now
 
 
-def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
-    """Levenshtein distance, bit-parallel: one column of the table is two integers. Some number above `most` where it is more than that."""
-    start = 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    a, b = a[start:], b[start:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    if not a or not b:
-        return len(a) + len(b)
+def _common(a: str, b: str) -> int:
+    """Characters that both begin with."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """What is left without a common beginning and end: as far apart as before."""
+    start = _common(a, b)
+    end = _common(a[start:][::-1], b[start:][::-1])
+    return a[start : len(a) - end], b[start : len(b) - end]
+
+
+def _table(a: str, b: str, most: float, since: int) -> tuple[int, float]:
+    """The distance of a and b, and the least one of a and of what b begins with, from `since` characters on. Bit-parallel: one column of the table is two integers."""
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
+    up, down, score, least = full, 0, len(a), float("inf")
     for left_over, c in zip(range(len(b), 0, -1), b):
         # A column more lowers the distance by one at most.
         if score - left_over > most:
-            return score - left_over
+            return score - left_over, min(least, score - left_over)
         eq = at.get(c, 0)
         flat = (((eq & up) + up) ^ up) | eq | down
         right, left = down | ~(flat | up) & full, up & flat
         score += bool(right & top) - bool(left & top)
         right, left = (right << 1 | 1) & full, left << 1 & full
         up, down = left | ~(flat | right) & full, right & flat
-    return score
+        if score < least and len(b) - left_over + 1 >= since:
+            least = score
+    return score, least
+
+
+def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
+    """Levenshtein distance. Some number above `most` where it is more than that."""
+    a, b = _trimmed(a, b)
+    if not a or not b:
+        return len(a) + len(b)
+    # Within `most` edits the first characters of a are as near to as many of b, give or take `most`: those of other texts are not.
+    if 4 * most + 16 < min(len(a), len(b)):
+        k = int(most)
+        head = 2 * k + 16
+        least = _table(a[:head], b[: head + k], float("inf"), head - k)[1]
+        if least > most:
+            return least
+    return _table(a, b, most, len(b))[0]
 
 
 def _ascii(text: str) -> np.ndarray:
@@ -228,6 +253,9 @@ def similar(a: str, b: str, share: float) -> bool:
     most = (1 - share) * longest
     if longest - min(len(a), len(b)) > most:
         return False
+    a, b = _trimmed(a, b)
+    if max(len(a), len(b)) <= most:
+        return True
     for counts, each in ((_ascii, 1), (_triples, 3)):
         more = counts(a) - counts(b)
         if max(int(more[more > 0].sum()), -int(more[more < 0].sum())) > each * most:
@@ -280,7 +308,15 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(share: float):
-    """Two tiles of a key's members (key, id, c, size, c0, c1, line, tile) to the links (a, b) that join their components c: who is joined already isn't compared."""
+    """Two tiles of a key's members (key, id, c, size, c0, c1, line, tile) to the links (a, b) that join their components c: who is joined already isn't compared.
+
+    The bounds of `similar` are taken for a member and all others at once.
+    """
+
+    def differs(counts: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+        # The larger one of what is added and what is removed.
+        apart = counts[j] - counts[i]
+        return (np.abs(apart).sum(axis=1) + np.abs(apart.sum(axis=1))) / 2
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         ids, c, size, tile = (group.column(n).to_numpy() for n in ("id", "c", "size", "tile"))
@@ -288,14 +324,20 @@ def _met(share: float):
         lines, root = group.column("line").to_pylist(), np.unique(c, return_inverse=True)[1]
         one, other = key[1].as_py(), key[2].as_py()
         right = np.flatnonzero(tile == other)
+        letters, triples = (np.array([f(x) for x in lines], np.int32) for f in (_ascii, _triples))
         links = []
         for i in np.flatnonzero(tile == one):
             j = right[right > i] if one == other else right
             most = np.maximum(size[i], size[j]) * (1 - share) + 1e-6
             apart = counts[i] - counts[j]
             fits = (np.abs(size[i] - size[j]) <= most) & (np.maximum(apart, 0).sum(axis=1) <= most) & (np.maximum(-apart, 0).sum(axis=1) <= most)
+            fits &= root[j] != root[i]
+            for counts_of, each in ((letters, 1), (triples, 3)):
+                j, most = j[fits], most[fits]
+                fits = differs(counts_of, i, j) <= each * most
             for k in j[fits].tolist():
-                if root[i] != root[k] and similar(lines[i], lines[k], share):
+                least = (1 - share) * max(len(lines[i]), len(lines[k]))
+                if root[i] != root[k] and edit_distance(lines[i], lines[k], least) <= least:
                     root[root == root[k]] = root[i]
                     links.append((i, k))
         at = np.array(links, np.int64).reshape(-1, 2)
@@ -372,8 +414,16 @@ def remove_lines(docs: DataFrame, min_words: int = 3, share: float = 0.9) -> Dat
     nodes = materialise(lines.groupBy("h").agg(*(F.min(c).alias(c) for c in ("size", "c0", "c1")), F.min("doc").alias("d0"), F.min_by("th", "doc").alias("t0"), F.count("*").alias("n")))
     keys = lines.select(F.explode(keys_of(F.col("n"), F.col("blocks"), F.col("halves"))).alias("key"), F.col("h").alias("id"))
 
+    candidates: list[DataFrame] = []
+
     def facts_of(ids: DataFrame) -> DataFrame:
-        return materialise(nodes.select(F.col("h").alias("id"), "size", "c0", "c1").join(ids, "id", "left_semi"))
+        # What shares a key is looked up among all lines once, and its lines are read again once.
+        facts = materialise(nodes.select(F.col("h").alias("id"), "size", "c0", "c1", "d0", "t0").join(ids, "id", "left_semi"))
+        # The list of a text has that text's own lines.
+        asked = facts.groupBy("d0", "t0").agg(F.collect_list("id").alias("wanted"))
+        found = docs.select(doc.alias("d0"), th.alias("t0"), "text").join(small_side(asked), ["d0", "t0"]).select("text", "wanted").mapInArrow(_wanted, "h long, line string")
+        candidates.append(materialise(found.dropDuplicates(["h"])))
+        return facts.select("id", "size", "c0", "c1")
 
     def near(a: str, b: str) -> Column:
         # An edit changes the length by one at most, and adds one letter at most and removes one.
@@ -384,26 +434,18 @@ def remove_lines(docs: DataFrame, min_words: int = 3, share: float = 0.9) -> Dat
         added, removed = (reduce(lambda x, y: x + y, (F.greatest(zero, sign * d) for d in apart)) for sign in (1, -1))
         return (F.abs(F.col(f"size{a}") - F.col(f"size{b}")) <= most) & (added <= most) & (removed <= most)
 
-    def lines_of(ids: DataFrame) -> DataFrame:
-        # The list of a text has that text's own lines.
-        asked = ids.join(nodes, "h").groupBy("d0", "t0").agg(F.collect_list("h").alias("wanted"))
-        found = docs.select(doc.alias("d0"), th.alias("t0"), "text").join(small_side(asked), ["d0", "t0"]).select("text", "wanted").mapInArrow(_wanted, "h long, line string")
-        return materialise(found.dropDuplicates(["h"]))
-
     def meet(crowded: DataFrame) -> DataFrame:
         # Each two tiles of a key meet in one task, to which a member's line goes once, not once for each pair.
-        lines_in = lines_of(crowded.select(F.col("id").alias("h")).distinct())
         tiles = crowded.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
         rows = crowded.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-        rows = rows.join(lines_in, rows.id == lines_in.h).withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        rows = rows.join(candidates[0].select(F.col("h").alias("id"), "line"), "id").withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rows = rows.select("key", F.least("tile", "_t").alias("one"), F.greatest("tile", "_t").alias("other"), "id", "c", "size", "c0", "c1", "line", "tile")
         # Few bytes are long to compare: they go to all tasks.
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(tasks, "key", "one", "other").groupBy("key", "one", "other").applyInArrow(_met(share), "a long, b long")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        found = lines_of(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
-        x, y = found.select(F.col("h").alias("a"), F.col("line").alias("xa")), found.select(F.col("h").alias("b"), F.col("line").alias("xb"))
+        x, y = (candidates[0].select(F.col("h").alias(s), F.col("line").alias(f"x{s}")) for s in "ab")
         # Pairs are small and their comparison is long: they go to all tasks, also those of one line.
         tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").repartition(tasks, "a", "b")

@@ -37,3 +37,15 @@ def test_a_crowded_key_makes_no_rows_of_pairs(spark, monkeypatch):
                 part = [part[a] if p == part[b] else p for p in part]
     want = {a for a in order if any(part[b] == part[a] for b in range(a))}
     assert {150, 151} <= want and {r.doc_id for r in found if r._tc_removed} == want
+
+
+def test_lines_are_looked_up_once(spark, monkeypatch):
+    """Each comparison read all texts and joined all lines again."""
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(400)]
+    texts = [" ".join(rng.sample(words, 12)) for _ in range(40)]
+    texts += [f"{t[:-1]}x" for t in texts] + [f"{texts[0]} {w}" for w in words[:30]]
+    looked, inner = [], lines.small_side
+    monkeypatch.setattr(lines, "small_side", lambda df, *limit: looked.append(df) or inner(df, *limit))
+    found = lines.remove_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("_tc_removed > 0").count()
+    assert len(looked) == 1 and found >= 40
